@@ -149,13 +149,17 @@ def flt8(spark, sf):
     )
 
 
-@query("FLT9", "SELECT page_id, replace(url, 'http://', '') AS path FROM pages WHERE replace(url, 'http://', '') LIKE '%.com/%'")
+FOLDERS = ["fr/src0", "en/src1", "de"]
+
+
+@query(
+    "FLT9",
+    "SELECT * FROM (SELECT doc_id, lang || '/' || source || '/' || CAST(doc_id AS STRING) AS path FROM documents) d WHERE "
+    + " OR ".join(f"path = '{f}' OR path LIKE '{f}/%'" for f in FOLDERS),
+)
 def flt9(spark, sf):
-    pages = fx.table(spark, sf, "pages").select("page_id", F.replace("url", F.lit("http://"), F.lit("")).alias("path"))
-    hosts = F.regexp_extract("path", r"^([^/]*\.com)/", 1)
-    return pages.withColumn("_host", hosts).filter(
-        (F.col("_host") != "") & F.col("path").startswith(F.concat("_host", F.lit("/")))
-    ).drop("_host")
+    docs = fx.table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")).alias("path"))
+    return docs.filter(filters.path_selected(F.col("path"), FOLDERS))
 
 
 @query("FLT10", fx.ctes(items=ITEMS) + "SELECT dataset, key, event_id FROM items WHERE part = 'meta' AND key IN ('title', 'description')")

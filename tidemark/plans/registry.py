@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return file
 
 
-MODULES = ["q_diff", "q_filters"]
+MODULES = ["q_diff", "q_filters", "q_patches", "q_merge"]
 
 
 def load_all() -> None:
