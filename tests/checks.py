@@ -55,7 +55,7 @@ def compare(df, con, sql: str) -> list[str]:
         return [f"columns {sorted(df.columns)} vs {sorted(names)}"]
     described = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
     for name, kind in df.dtypes:
-        a, b = FAMILY.get(kind, kind), FAMILY.get(described[name], described[name])
+        a, b = (FAMILY.get(k, k).lower() for k in (kind, described[name]))
         if a != b:
             problems.append(f"type of {name}: {kind} vs {described[name]}")
     ours = [tuple(r) for r in df.collect()]

@@ -58,8 +58,13 @@ def uint32_hash(value: Column) -> Column:
     return F.conv(F.substring(F.sha2(value, 256), 1, 8), 16, 10).cast("bigint")
 
 
+def plain_base64(value: Column) -> Column:
+    """Base64 on one line; Spark breaks long values into lines."""
+    return F.translate(F.base64(value), "\r\n", "")
+
+
 def url_base64(value: Column) -> Column:
-    return F.translate(F.base64(value), "+/", "-_")
+    return F.translate(plain_base64(value), "+/", "-_")
 
 
 def url_unbase64(value: Column) -> Column:

@@ -7,9 +7,11 @@ bytes and laid out as one buffer per batch.
 from __future__ import annotations
 
 import struct
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,6 +114,7 @@ def _lists(counts: list[int], values: pa.Array) -> pa.Array:
 
 
 def decode_batch(column: pa.Array) -> pa.Array:
+    """Geometry structs of a batch, laid out as one coordinate buffer."""
     parsed = [None if v is None else parse(v) for v in column.to_pylist()]
     member_counts, ring_counts, point_counts, dims, coords = [], [], [], [], []
     boxes = np.full((len(parsed), 6), np.nan)
@@ -196,47 +199,44 @@ def gpkg_one(g: dict | None) -> bytes | None:
     return b"GP\x00" + bytes([flags]) + struct.pack("<i", 0) + struct.pack(f"<{len(box)}d", *box) + wkb
 
 
-@F.arrow_udf(GEOMETRY)
-def _decode(column: pa.Array) -> pa.Array:
-    return decode_batch(column)
+# Workers get this module's functions by value: a cluster needs no copy of the package.
+# The functions become UDFs only when they are used, since declaring one needs a session.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.arrow_udf("binary")
-def _encode(column: pa.Array) -> pa.Array:
+def _encode_batch(column: pa.Array) -> pa.Array:
     return pa.array([encode_one(g) for g in column.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("binary")
-def _encode_ewkb(column: pa.Array) -> pa.Array:
+def _encode_ewkb_batch(column: pa.Array) -> pa.Array:
     return pa.array([encode_one(g, g["srid"] if g else 0) for g in column.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("binary")
-def _encode_gpkg(column: pa.Array) -> pa.Array:
+def _encode_gpkg_batch(column: pa.Array) -> pa.Array:
     return pa.array([gpkg_one(g) for g in column.to_pylist()], pa.binary())
 
 
 def decode(column: Column) -> Column:
     """Geometry struct of WKB, EWKB or GeoPackage bytes; NULL for bytes that are neither."""
-    return _decode(column)
+    return F.arrow_udf(decode_batch, GEOMETRY)(column)
 
 
 def decode_hex(column: Column) -> Column:
-    return _decode(F.unhex(column))
+    return decode(F.unhex(column))
 
 
 def to_wkb(geom: Column) -> Column:
-    return _encode(geom)
+    return F.arrow_udf(_encode_batch, "binary")(geom)
 
 
 def to_hex_wkb(geom: Column) -> Column:
-    return F.hex(_encode(geom))
+    return F.hex(to_wkb(geom))
 
 
 def to_ewkb(geom: Column) -> Column:
-    return _encode_ewkb(geom)
+    return F.arrow_udf(_encode_ewkb_batch, "binary")(geom)
 
 
 def to_gpkg(geom: Column) -> Column:
     """The stored form: equal geometries have equal bytes."""
-    return _encode_gpkg(geom)
+    return F.arrow_udf(_encode_gpkg_batch, "binary")(geom)

@@ -58,7 +58,7 @@ def tracked_counts(dirty: DataFrame) -> DataFrame:
 def touched_by(log: DataFrame, key: str, old_key: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Keys an edit log touches; a key change touches the old key too."""
     keys = F.array(F.col(key), F.col(old_key)) if old_key else F.array(F.col(key))
-    return log.select(*by, F.explode(F.array_compact(keys)).cast("string").alias("pk")).distinct()
+    return log.select(*by, F.explode(F.array_compact(keys)).alias("pk")).select(*by, F.col("pk").cast("string")).distinct()
 
 
 def apply_log(table: DataFrame, log: DataFrame, pk: str, order: str) -> DataFrame:

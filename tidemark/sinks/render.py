@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import geometry, wkb
+from tidemark.functions.hashing import plain_base64
 from tidemark.operators.numbering import number_all
 
 #: Tags written at the head of documents. Readers look only at the part after the dot.
@@ -227,7 +228,7 @@ def file_delta_text(delta: DataFrame, old: str = "old_content", new: str = "new_
         binary = ~F.is_valid_utf8(data.cast("string")) | F.hex(data).rlike("^(..)*00")
         return F.when(
             data.isNotNull(),
-            F.when(binary, F.concat(F.lit("base64:"), F.base64(data))).otherwise(F.concat(F.lit("text:"), F.decode(data, "UTF-8"))),
+            F.when(binary, F.concat(F.lit("base64:"), plain_base64(data))).otherwise(F.concat(F.lit("text:"), F.decode(data, "UTF-8"))),
         )
 
     return delta.withColumns({old: shown(old), new: shown(new)})
