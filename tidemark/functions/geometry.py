@@ -37,31 +37,44 @@ def all_points(parts: Column) -> Column:
     return F.flatten(F.flatten(parts))
 
 
-def _struct(kind, has_z, has_m, srid, parts) -> Column:
-    """Geometry struct of known parts; the box is read off the points."""
-    points = F.filter(all_points(parts), lambda p: ~F.isnan(p[0]) & ~F.isnan(p[1]))
-    empty = F.coalesce(F.size(points) <= 0, F.lit(True))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def low(i: int) -> Column:
-        return F.array_min(F.transform(points, lambda p: p[i]))
 
-    def high(i: int) -> Column:
-        return F.array_max(F.transform(points, lambda p: p[i]))
+def _struct(kind, has_z, has_m, srid, parts) -> Column:
+    """Geometry struct of known parts; the box is read off the points."""
 
-    return F.struct(
-        kind.alias("kind"),
-        has_z.alias("has_z"),
-        has_m.alias("has_m"),
-        srid.cast("int").alias("srid"),
-        empty.alias("empty"),
-        low(0).alias("minx"),
-        low(1).alias("miny"),
-        high(0).alias("maxx"),
-        high(1).alias("maxy"),
-        F.when(has_z, F.array_min(F.transform(points, lambda p: F.get(p, F.lit(2))))).alias("minz"),
-        F.when(has_z, F.array_max(F.transform(points, lambda p: F.get(p, F.lit(2))))).alias("maxz"),
-        parts.alias("parts"),
+    def whole(head: Column) -> Column:
+        points = F.filter(all_points(head["parts"]), lambda p: ~F.isnan(p[0]) & ~F.isnan(p[1]))
+        return let(points, lambda pts: boxed(head, pts))
+
+    def boxed(head: Column, points: Column) -> Column:
+        def low(i: int) -> Column:
+            return F.array_min(F.transform(points, lambda p: F.get(p, F.lit(i))))
+
+        def high(i: int) -> Column:
+            return F.array_max(F.transform(points, lambda p: F.get(p, F.lit(i))))
+
+        return F.struct(
+            head["kind"].alias("kind"),
+            head["has_z"].alias("has_z"),
+            head["has_m"].alias("has_m"),
+            head["srid"].alias("srid"),
+            F.coalesce(F.size(points) <= 0, F.lit(True)).alias("empty"),
+            low(0).alias("minx"),
+            low(1).alias("miny"),
+            high(0).alias("maxx"),
+            high(1).alias("maxy"),
+            F.when(head["has_z"], low(2)).alias("minz"),
+            F.when(head["has_z"], high(2)).alias("maxz"),
+            head["parts"].alias("parts"),
+        )
+
+    head = F.struct(
+        kind.alias("kind"), has_z.alias("has_z"), has_m.alias("has_m"), srid.cast("int").alias("srid"), parts.alias("parts")
     )
+    return let(head, whole)
 
 
 def build(kind: str, parts: Column, srid: int = 0) -> Column:
@@ -124,7 +137,6 @@ def from_geojson(text: Column) -> Column:
 def _from_nested(kind: Column, json: Column, has_z: Column, has_m: Column, srid: Column) -> Column:
     flat = F.from_json(json, "array<array<double>>")
     # MULTIPOINT members may stand in their own parentheses.
-    members = F.from_json(F.regexp_replace(json, r"\[(\[[^\[\]]*\])\]", "$1"), "array<array<double>>")
     multipoint = F.when(json.startswith("[[["), F.from_json(F.regexp_replace(F.regexp_replace(json, r"\[\[\[", "[["), r"\]\],\[\[", "],["), "array<array<double>>")).otherwise(flat)
     lines = F.from_json(json, "array<array<array<double>>>")
     deep = F.from_json(json, PARTS)

@@ -34,17 +34,15 @@ class CommitGraph:
             .join(self.ids.withColumnRenamed("commit_id", "up"), "up", "left_semi")
             .select("commit_id", "up")
         )
-        self.jumps = []
-        reach = 1
-        while True:
-            self.jumps.append(jump)
-            reach *= 2
-            if reach >= n:
-                break
+        self.jumps = [jump]
+        # A level is the join of the level below with itself, so plans double from level to
+        # level; they are cut at every third one.
+        for level in range(1, max(n - 1, 1).bit_length()):
             step = jump.select(F.col("commit_id").alias("up"), F.col("up").alias("_next"))
-            jump = cut(jump.join(step, "up").select("commit_id", F.col("_next").alias("up")))
-            if jump.isEmpty():
-                break
+            jump = jump.join(step, "up").select("commit_id", F.col("_next").alias("up"))
+            if level % 3 == 0:
+                jump = cut(jump)
+            self.jumps.append(jump)
 
     def _along_first_parents(self, starts: DataFrame) -> DataFrame:
         out = starts
@@ -61,16 +59,14 @@ class CommitGraph:
         others = self.commits.select(
             "commit_id", F.explode(F.slice("parents", 2, F.greatest(F.size("parents") - 1, F.lit(0)))).alias("up")
         )
-        reached = cut(self.first_parent_chain(tips))
-        frontier = reached
+        reached = frontier = cut(self.first_parent_chain(tips))
         while True:
             side = frontier.join(others, "commit_id").select("tip", F.col("up").alias("commit_id")).distinct()
             side = side.join(self.ids, "commit_id", "left_semi").join(reached, ["tip", "commit_id"], "left_anti")
-            found = self._along_first_parents(side).join(reached, ["tip", "commit_id"], "left_anti")
-            frontier = cut(found)
+            frontier = cut(self._along_first_parents(side).join(reached, ["tip", "commit_id"], "left_anti"))
             if frontier.isEmpty():
                 return reached
-            reached = cut(reached.unionByName(frontier))
+            reached = reached.unionByName(frontier)
 
     def merge_bases(self, pairs: DataFrame) -> DataFrame:
         """The latest common ancestor of each pair ``(a, b)``; NULL when unrelated.

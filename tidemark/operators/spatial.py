@@ -226,10 +226,15 @@ def left_out(delta: DataFrame, area: Area, geom: str, dataset: str) -> DataFrame
 
 def reproject(geom: Column, source: str, target: str, key: Column) -> Column:
     """Geometry in another system; a point that has no image fails the job and names the key."""
-    moved = geometry.map_points(geom, lambda x, y: reproject_xy(source, target, x, y))
-    bad = F.exists(geometry.all_points(moved["parts"]), lambda p: F.isnan(p[0]) | F.isnan(p[1]) | p[0].isNull() | p[1].isNull())
     message = F.concat(F.lit(f"cannot reproject from {source} to {target}: row "), key.cast("string"))
-    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast(GEOMETRY)).otherwise(moved)
+
+    def checked(moved: Column) -> Column:
+        bad = F.exists(
+            geometry.all_points(moved["parts"]), lambda p: F.isnan(p[0]) | F.isnan(p[1]) | p[0].isNull() | p[1].isNull()
+        )
+        return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast(GEOMETRY)).otherwise(moved)
+
+    return geometry.let(geometry.map_points(geom, lambda x, y: reproject_xy(source, target, x, y)), checked)
 
 
 # -- box index ------------------------------------------------------------------------
