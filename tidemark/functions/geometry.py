@@ -47,7 +47,9 @@ def _struct(kind, has_z, has_m, srid, parts) -> Column:
 
     def whole(head: Column) -> Column:
         points = F.filter(all_points(head["parts"]), lambda p: ~F.isnan(p[0]) & ~F.isnan(p[1]))
-        return let(points, lambda pts: boxed(head, pts))
+        # One variable that holds both: an inner lambda that reaches for an outer variable
+        # keeps Spark from recognising a Python function this expression is passed to.
+        return let(F.struct(head.alias("head"), points.alias("points")), lambda t: boxed(t["head"], t["points"]))
 
     def boxed(head: Column, points: Column) -> Column:
         def low(i: int) -> Column:
