@@ -29,18 +29,12 @@ def tile_name(name: Column) -> Column:
 
 
 def with_extension(name: Column, fmt: Column) -> Column:
-    """File name with the extension its format calls for; the case of a known one is kept."""
+    """File name with the extension its format calls for."""
     base = F.element_at(F.split(name, "/"), -1)
-    plain = F.regexp_replace(base, EXTENSIONS, "")
-    raster = fmt.startswith("geotiff")
-    keeps = base.rlike(r"(?i)\.tiff?$")
-    return (
-        F.when(raster & keeps, base)
-        .when(raster, F.concat(plain, F.lit(".tif")))
-        .when(fmt.contains("copc"), F.concat(plain, F.lit(".copc.laz")))
-        .when(fmt.startswith("laz"), F.concat(plain, F.lit(".laz")))
-        .otherwise(F.concat(plain, F.lit(".las")))
-    )
+    plain = F.regexp_replace(F.regexp_replace(base, SIDECAR, ""), EXTENSIONS, "")
+    raster = F.when(is_sidecar(base), ".tif.aux.xml").otherwise(".tif")
+    cloud = F.concat(F.when(fmt.contains("copc"), ".copc.").otherwise("."), F.substring(fmt, 1, 3))
+    return F.concat(plain, F.when(fmt.startswith("geotiff"), raster).otherwise(cloud))
 
 
 def pointer_record(text: Column) -> Column:
@@ -150,21 +144,24 @@ def relaxed_format(fmt: Column, how: str) -> Column:
     raise ValueError(f"no such relaxation: {how}")
 
 
-def envisioned(tiles: DataFrame, target_format: str, changed_oid: str | None = None) -> DataFrame:
-    """Summary after a conversion; what it was before is kept as ``source_*``.
+def envisioned(tiles: DataFrame, target_format: str) -> DataFrame:
+    """Summary after a conversion; whatever changes keeps its former value in ``source_*``.
 
-    The content of a converted file is not known yet, so its id and size are NULL.
+    Names are put into standard form either way. The content of a converted file is not
+    known yet, so its id and size are NULL.
     """
     convert = ~is_compatible(F.col("format"), F.lit(target_format))
-    return tiles.select(
-        F.when(convert, with_extension(F.col("name"), F.lit(target_format))).otherwise(F.col("name")).alias("name"),
-        F.when(convert, F.lit(target_format)).otherwise(F.col("format")).alias("format"),
-        F.when(~convert, F.col("oid")).alias("oid"),
-        F.when(~convert, F.col("size")).alias("size"),
-        F.when(convert, F.col("name")).alias("source_name"),
-        F.when(convert, F.col("format")).alias("source_format"),
-        F.when(convert, F.col("oid")).alias("source_oid"),
-        F.when(convert, F.col("size")).alias("source_size"),
+    fmt = F.when(convert, F.lit(target_format)).otherwise(F.col("format"))
+    renamed = tiles.withColumn("_name", with_extension(F.col("name"), fmt)).withColumn("_convert", convert)
+    return renamed.select(
+        F.col("_name").alias("name"),
+        fmt.alias("format"),
+        F.when(~F.col("_convert"), F.col("oid")).alias("oid"),
+        F.when(~F.col("_convert"), F.col("size")).alias("size"),
+        F.when(F.col("_name") != F.col("name"), F.col("name")).alias("source_name"),
+        F.when(F.col("_convert"), F.col("format")).alias("source_format"),
+        F.when(F.col("_convert"), F.col("oid")).alias("source_oid"),
+        F.when(F.col("_convert"), F.col("size")).alias("source_size"),
     )
 
 
@@ -219,23 +216,35 @@ def category_labels(xml: Column) -> Column:
     return F.xpath(xml, F.lit("/PAMDataset/PAMRasterBand/CategoryNames/Category/text()"))
 
 
-def reusable(imported: DataFrame, existing: DataFrame) -> DataFrame:
-    """Imported tiles that are not there already, by current or original content id."""
-    have = existing.select(F.lower("name").alias("_n"), F.col("oid").alias("_o"))
-    if "source_oid" in existing.columns:
-        original = existing.filter(F.col("source_oid").isNotNull()).select(F.lower("name").alias("_n"), F.col("source_oid").alias("_o"))
-        have = have.unionByName(original)
-    return imported.join(have, (F.lower(imported["name"]) == F.col("_n")) & (imported["oid"] == F.col("_o")), "left_anti")
+def is_optimised(fmt: Column) -> Column:
+    return fmt.contains("copc") | fmt.contains("cog")
+
+
+def not_yet_imported(incoming: DataFrame, existing: DataFrame, optimise: bool = False) -> DataFrame:
+    """Incoming tiles (``name, oid, format, crs``) that an import cannot take over as they are.
+
+    A tile is already there when the existing one of its name came from the same content
+    (its id or its original id) and would end up with the same optimisation and system.
+    """
+    def facts(oid: str) -> DataFrame:
+        return existing.filter(F.col(oid).isNotNull()).select(
+            F.lower(tile_name(F.col("name"))).alias("_t"), F.col(oid).alias("_o"), is_optimised(F.col("format")).alias("_c"), F.col("crs").alias("_crs")
+        )
+
+    have = facts("oid").unionByName(facts("source_oid")) if "source_oid" in existing.columns else facts("oid")
+    keyed = incoming.withColumn("_key", F.lower(tile_name(F.col("name")))).withColumn(
+        "_will", F.lit(True) if optimise else is_optimised(F.col("format"))
+    )
+    same = (F.col("_key") == F.col("_t")) & (F.col("oid") == F.col("_o")) & (F.col("_will") == F.col("_c")) & (F.col("crs") == F.col("_crs"))
+    return keyed.join(have.distinct(), same, "left_anti").drop("_key", "_will")
 
 
 def import_tiles(incoming: DataFrame, existing: DataFrame, mode: str, delete: DataFrame | None = None) -> DataFrame:
     """The catalogue after an import: ``new``, ``replace`` or ``update``; named tiles may be deleted."""
     key = F.lower(tile_name(F.col("name")))
-    keyed_in = incoming.withColumn("_t", key)
+    keyed_in = incoming.select(*existing.columns, key.alias("_t"))
     keyed_old = existing.withColumn("_t", key)
-    if mode == "new":
-        out = keyed_in
-    elif mode == "replace":
+    if mode in ("new", "replace"):
         out = keyed_in
     elif mode == "update":
         out = keyed_old.join(keyed_in.select("_t"), "_t", "left_anti").unionByName(keyed_in)

@@ -26,7 +26,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return file
 
 
-MODULES = ["q_diff", "q_filters", "q_patches", "q_merge", "q_imports", "q_history", "q_workspace", "q_scalars", "q_streams", "q_spatial"]
+MODULES = [
+    "q_diff",
+    "q_filters",
+    "q_patches",
+    "q_merge",
+    "q_imports",
+    "q_history",
+    "q_workspace",
+    "q_scalars",
+    "q_spatial",
+    "q_tiles",
+    "q_streams",
+]
 
 
 def load_all() -> None:
