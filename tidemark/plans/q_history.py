@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, diffing, filters, history, ordering, patches, sets, snapshots
+from tidemark.operators import diffing, filters, history, ordering, patches, snapshots
 from tidemark.operators.history import CommitGraph
 from tidemark.plans import fixtures as fx
 from tidemark.plans.registry import query
@@ -363,5 +363,3 @@ def src16(spark, sf):
     beside = docs.withColumn("dataset", F.substring_index("path", "/", 1))
     return beside.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).cast("bigint").alias("n_bytes"))
 
-
-_ = (aggregates, sets)

@@ -118,7 +118,7 @@ def partial_patch(spark, sf):
     """Status edits that name only the key and the status."""
     d = edit_diff(spark, sf).filter("change_type = 'update' AND NOT (old.o_orderstatus <=> new.o_orderstatus)")
 
-    def half(side: str) -> F.Column:
+    def half(side: str):
         return F.to_json(F.struct(F.col(f"{side}.o_orderkey").alias("o_orderkey"), F.col(f"{side}.o_orderstatus").alias("o_orderstatus")))
 
     return d.select(F.concat(F.lit('{"-":'), half("old"), F.lit(',"+":'), half("new"), F.lit("}")).alias("change"))
@@ -230,26 +230,27 @@ def pat8(spark, sf):
     return patches.apply_files(f.select("path", "content"), changes, datasets)
 
 
-ORDER = delta_order("_key", "bigint")
+def in_order():
+    return delta_order("_key", "bigint")
 
 
 @query("PAT10")
 def pat10(spark, sf):
     d = edit_diff(spark, sf).withColumn("_key", algebra.delta_key())
-    return render.patch_lines(d, "orders", "v1", ORDER, "edit of orders")
+    return render.patch_lines(d, "orders", "v1", in_order(), "edit of orders")
 
 
 @query("SNK7")
 def snk7(spark, sf):
     """With a reference system, updates carry no old row."""
     d = edit_diff(spark, sf).withColumn("_key", algebra.delta_key())
-    return render.patch_lines(d, "orders", "v1", ORDER, "edit of orders", crs="EPSG:4326")
+    return render.patch_lines(d, "orders", "v1", in_order(), "edit of orders", crs="EPSG:4326")
 
 
 @query("SNK2")
 def snk2(spark, sf):
     d = edit_diff(spark, sf).withColumn("_key", algebra.delta_key())
-    return render.json_diff(d, "orders", ORDER)
+    return render.json_diff(d, "orders", in_order())
 
 
 @query("SNK3")

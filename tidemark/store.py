@@ -31,6 +31,7 @@ from tidemark.operators.aggregates import bucket_sums, differing_buckets, type_c
 from tidemark.operators.history import CommitGraph
 from tidemark.operators.schemas import violation_examples
 from tidemark.schema import VersionedSchema
+from tidemark.session import cut
 
 COMMITS = T.StructType(
     [
@@ -92,6 +93,9 @@ class VersionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        # What a commit id stands for never changes, so it is worked out once.
+        self._chains: dict[str, DataFrame] = {}
+        self._versions: dict[tuple[str, str], Version | None] = {}
 
     # -- small tables ---------------------------------------------------------------
 
@@ -153,14 +157,27 @@ class VersionStore:
     # -- datasets -------------------------------------------------------------------
 
     def _chain(self, commit: str) -> DataFrame:
-        """Commits a version is made of, newest to oldest along first parents."""
-        tips = self.spark.createDataFrame([(commit,)], "tip string")
-        return self.graph().first_parent_chain(tips).select("commit_id")
+        """Commits a version is made of: the commit, its first parent, and so on down."""
+        if commit not in self._chains:
+            row = self.commits().filter(F.col("commit_id") == commit).first()
+            below = self._chains.get(row.parents[0]) if row.parents else None
+            own = self.spark.createDataFrame([(commit,)], "commit_id string")
+            if below is not None:
+                self._chains[commit] = cut(below.unionByName(own).coalesce(1))
+                return self._chains[commit]
+            tips = self.spark.createDataFrame([(commit,)], "tip string")
+            self._chains[commit] = cut(self.graph().first_parent_chain(tips).select("commit_id"))
+        return self._chains[commit]
 
     def version(self, path: str, revision: str) -> Version | None:
         commit = self.resolve(revision)
         if commit is None:
             return None
+        if (path, commit) not in self._versions:
+            self._versions[path, commit] = self._find_version(path, commit)
+        return self._versions[path, commit]
+
+    def _find_version(self, path: str, commit: str) -> Version | None:
         found = self.versions().filter(F.col("path") == path).join(self._chain(commit), "commit_id", "left_semi")
         row = found.orderBy(F.col("seq").desc()).first()
         if row is None or row.dropped:
