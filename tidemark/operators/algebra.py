@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.diffing import DELTA_COLUMNS
+from tidemark.session import cut
 
 
 def delta_key() -> Column:
@@ -95,36 +96,43 @@ def is_rename() -> Column:
 def find_renames(delta: DataFrame, content: list[str]) -> DataFrame:
     """Pair deletes with inserts of equal content, at most one pair per content.
 
-    The row of the highest key stands for its content on each side; that is one
+    The row of the highest key stands for its content on each side. Both come from one
     aggregate, so a content shared by a third of all rows costs no more than any other.
+    The diff is read several times and therefore written once first: it is small beside
+    the versions it was made from.
     """
-    def side(kind: str, struct: str) -> DataFrame:
-        rows = delta.filter(F.col("change_type") == kind)
-        parts: list[Column] = []
-        for name in content:
-            value = F.col(struct)[name]
-            parts += [value.isNull(), value]
-        h1, h2 = F.xxhash64(*parts), F.xxhash64(F.lit(7), *parts)
-        return rows.groupBy(h1.alias("_h1"), h2.alias("_h2")).agg(F.max(f"{struct}_key").alias(f"{struct}_key"))
-
-    pairs = side("delete", "old").join(side("insert", "new"), ["_h1", "_h2"]).select("old_key", "new_key")
-    deletes = delta.filter(F.col("change_type") == "delete")
-    inserts = delta.filter(F.col("change_type") == "insert")
+    delta = cut(delta.select(*DELTA_COLUMNS))
+    kind = F.col("change_type")
+    row = F.when(kind == "delete", F.col("old")).otherwise(F.col("new"))
+    parts: list[Column] = []
+    for name in content:
+        value = row[name]
+        parts += [value.isNull(), value]
+    whole = delta.filter(kind != "update").select(
+        F.xxhash64(*parts).alias("_h1"),
+        F.xxhash64(F.lit(7), *parts).alias("_h2"),
+        F.when(kind == "delete", F.col("old_key")).alias("_d"),
+        F.when(kind == "insert", F.col("new_key")).alias("_i"),
+    )
+    sides = whole.groupBy("_h1", "_h2").agg(F.max("_d").alias("_d"), F.max("_i").alias("_i"))
+    pairs = cut(sides.filter(F.col("_d").isNotNull() & F.col("_i").isNotNull()).select("_d", "_i"))
+    deletes, inserts = delta.filter(kind == "delete"), delta.filter(kind == "insert")
     renamed = (
-        pairs.join(deletes.select("old_key", "old", F.col("flags").alias("_f1")), "old_key")
-        .join(inserts.select("new_key", "new", F.col("flags").alias("_f2")), "new_key")
+        deletes.select(F.col("old_key").alias("_d"), "old", F.col("flags").alias("_f1"))
+        .join(pairs, "_d")
+        .join(inserts.select(F.col("new_key").alias("_i"), "new", F.col("flags").alias("_f2")), "_i")
         .select(
-            "old_key",
-            "new_key",
+            F.col("_d").alias("old_key"),
+            F.col("_i").alias("new_key"),
             F.lit("update").alias("change_type"),
             "old",
             "new",
             F.col("_f1").bitwiseOR(F.col("_f2")).alias("flags"),
         )
     )
-    rest = delta.filter(F.col("change_type") == "update").select(*DELTA_COLUMNS)
-    left_deletes = deletes.join(pairs.select("old_key"), "old_key", "left_anti").select(*DELTA_COLUMNS)
-    left_inserts = inserts.join(pairs.select("new_key"), "new_key", "left_anti").select(*DELTA_COLUMNS)
+    rest = delta.filter(kind == "update")
+    left_deletes = deletes.join(pairs.select(F.col("_d").alias("old_key")), "old_key", "left_anti").select(*DELTA_COLUMNS)
+    left_inserts = inserts.join(pairs.select(F.col("_i").alias("new_key")), "new_key", "left_anti").select(*DELTA_COLUMNS)
     return renamed.unionByName(rest).unionByName(left_deletes).unionByName(left_inserts)
 
 

@@ -7,6 +7,7 @@ the content id it was generated for.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,24 +72,23 @@ def leave_one_out(rows: DataFrame, key: str, columns: dict[str, str], side: str)
     def field(cid: str, name: str, seed: int) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(cid), F.col(name).isNull(), F.col(name))
 
-    def pieces(seed: int) -> list[Column]:
-        return [field(cid, name, seed) for cid, name in columns.items()]
+    def xor(values: list[Column]) -> Column:
+        return reduce(lambda a, b: a.bitwiseXOR(b), values, F.lit(0).cast("bigint"))
 
-    with_pieces = rows.select(
-        F.col(key).alias(f"{side}_key"), F.array(*pieces(11)).alias("_p1"), F.array(*pieces(13)).alias("_p2")
+    # Plain columns, not arrays with lambdas: the whole of it stays in generated code.
+    ones = [f"_a{i}" for i in range(len(columns))]
+    twos = [f"_b{i}" for i in range(len(columns))]
+    pieces = rows.select(
+        F.col(key).alias(f"{side}_key"),
+        *[field(cid, name, 11).alias(p) for p, (cid, name) in zip(ones, columns.items())],
+        *[field(cid, name, 13).alias(p) for p, (cid, name) in zip(twos, columns.items())],
     )
-    zero = F.lit(0).cast("bigint")
-    whole = with_pieces.withColumn("_w1", F.aggregate("_p1", zero, lambda a, x: a.bitwiseXOR(x))).withColumn(
-        "_w2", F.aggregate("_p2", zero, lambda a, x: a.bitwiseXOR(x))
-    )
-    pair = F.arrays_zip("_p1", "_p2")
-    variants = F.concat(
-        F.array(F.struct(F.col("_w1").alias("h1"), F.col("_w2").alias("h2"))),
-        F.transform(
-            pair, lambda p: F.struct(F.col("_w1").bitwiseXOR(p["_p1"]).alias("h1"), F.col("_w2").bitwiseXOR(p["_p2"]).alias("h2"))
-        ),
-    )
-    return whole.select(f"{side}_key", F.explode(variants).alias("_v")).select(f"{side}_key", "_v.h1", "_v.h2")
+    whole = pieces.withColumn("_w1", xor([F.col(p) for p in ones])).withColumn("_w2", xor([F.col(p) for p in twos]))
+    variants = [F.struct(F.col("_w1").alias("h1"), F.col("_w2").alias("h2"))] + [
+        F.struct(F.col("_w1").bitwiseXOR(F.col(p)).alias("h1"), F.col("_w2").bitwiseXOR(F.col(q)).alias("h2"))
+        for p, q in zip(ones, twos)
+    ]
+    return whole.select(f"{side}_key", F.explode(F.array(*variants)).alias("_v")).select(f"{side}_key", "_v.h1", "_v.h2")
 
 
 def similar_pairs(

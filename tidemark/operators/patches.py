@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut
+
 HALVES = {"--": "minus_minus", "-": "minus", "+": "plus", "++": "plus_plus"}
 
 
@@ -156,8 +158,10 @@ def apply_checked(delta: DataFrame, current: DataFrame, pk: str, base: DataFrame
     """As :func:`apply`, but any conflict fails the job before a row is returned.
 
     The check is a one-row aggregate joined to every row, so nothing is collected and
-    nothing is applied when it is not zero.
+    nothing is applied when it is not zero. The patch is needed for the check, for the
+    rows that go and for those that come: it is parsed once and written.
     """
+    delta = cut(delta)
     count = conflicts(delta, current, pk, base).agg(F.count(F.lit(1)).alias("_bad"))
     guarded = count.select(
         F.when(F.col("_bad") > 0, F.raise_error(F.concat(F.lit("patch does not apply, conflicts: "), F.col("_bad").cast("string"))))

@@ -21,7 +21,7 @@ import time
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,16 @@ class Version:
     checksum: str
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType) and value:
+        return F.array(*[F.lit(v) for v in value]).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.array().cast(kind)
+    if isinstance(kind, T.MapType):
+        return F.create_map(*[F.lit(x) for pair in (value or {}).items() for x in pair]).cast(kind)
+    return F.lit(value).cast(kind)
+
+
 class VersionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -111,7 +121,9 @@ class VersionStore:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def _append(self, name: str, row: tuple, schema: T.StructType) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        """One row as literals of a plan: nothing goes through Python workers."""
+        cols = [_literal(v, f.dataType).alias(f.name) for v, f in zip(row, schema.fields)]
+        self.spark.range(1, numPartitions=1).select(*cols).write.mode("append").parquet(f"{self.root}/{name}")
 
     def commits(self) -> DataFrame:
         return self._table("commits", COMMITS)
@@ -129,6 +141,8 @@ class VersionStore:
 
     def resolve(self, revision: str) -> str | None:
         """Commit id of a ref, an id or a unique prefix of one, with ``^`` and ``~n`` suffixes."""
+        if revision in self._chains:
+            return revision
         base, steps = revision, 0
         while base and (base.endswith("^") or "~" in base):
             if base.endswith("^"):
@@ -355,6 +369,7 @@ class VersionStore:
         When the stored bucket checksums agree on most buckets, only rows of the others
         are joined.
         """
+        a, b = (self.resolve(r) or "[EMPTY]" for r in (a, b))
         va, vb = self.version(path, a), self.version(path, b)
         if va is None and vb is None:
             raise KeyError(f"no dataset {path} at {a} or {b}")
