@@ -10,7 +10,7 @@ def test_assign_keys_is_a_multiset_match(spark):
     old = [(i + 1, "hot" if rnd.random() < 0.6 else rnd.choice("abcd")) for i in range(60)]
     new = ["hot" if rnd.random() < 0.6 else rnd.choice("bcdef") for _ in range(80)]
     key_map = spark.createDataFrame(old, "pk long, v string").select("pk", text_content_id(["v"]).alias("hash"))
-    keyed = keygen.assign_keys(spark.createDataFrame([(v,) for v in new], "v string"), key_map, text_content_id(["v"])).collect()
+    keyed = keygen.assign_keys(spark.createDataFrame([(v,) for v in new], "v string"), key_map, text_content_id(["v"]), stride=7).collect()
     assert Counter(r.v for r in keyed) == Counter(new)
     assert len({r.auto_pk for r in keyed}) == len(new)
     top = max(k for k, _ in old)

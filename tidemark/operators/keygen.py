@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.numbering import expand, offset_before, rank_in_group
+from tidemark.operators.numbering import KEY_STRIDE, expand, offset_before, rank_in_group
 
 
 def next_generated(key_map: DataFrame, pk: str = "pk") -> DataFrame:
@@ -30,7 +30,9 @@ def distinct_contents(rows: DataFrame, content: Column) -> DataFrame:
     return counts
 
 
-def assign_keys(rows: DataFrame, key_map: DataFrame, content: Column, pk: str = "auto_pk") -> DataFrame:
+def assign_keys(
+    rows: DataFrame, key_map: DataFrame, content: Column, pk: str = "auto_pk", stride: int = KEY_STRIDE
+) -> DataFrame:
     """Rows with a key each: an unused earlier key of the same content, else a new one.
 
     Earlier keys of a content are used in ascending order; new keys start above every key
@@ -39,21 +41,42 @@ def assign_keys(rows: DataFrame, key_map: DataFrame, content: Column, pk: str =
     contents = distinct_contents(rows, content)
     slim = contents.select("hash", "copies")
     ranked = rank_in_group(key_map.select("hash", F.col("pk").cast("bigint").alias("pk")), ["hash"], "pk", "rank")
-    reused = ranked.join(slim, "hash").filter(F.col("rank") <= F.col("copies")).select("hash", F.col("pk").alias(pk))
+    reused = (
+        ranked.withColumn("_chunk", _chunk_of(F.col("rank") - 1, stride))
+        .join(_in_chunks(slim, stride), ["hash", "_chunk"])
+        .filter(F.col("rank") <= F.col("copies"))
+        .select("hash", "_chunk", F.col("pk").alias(pk))
+    )
     known = key_map.groupBy("hash").agg(F.count(F.lit(1)).alias("known"))
     extra = (
         slim.join(known, "hash", "left")
-        .select("hash", (F.col("copies") - F.coalesce("known", F.lit(0))).alias("extra"))
+        .select("hash", F.coalesce("known", F.lit(0)).alias("known"), (F.col("copies") - F.coalesce("known", F.lit(0))).alias("extra"))
         .filter(F.col("extra") > 0)
     )
     placed = offset_before(extra, "hash", "extra", "_offset").withColumn("_one", F.lit(1))
     start = next_generated(key_map).withColumn("_one", F.lit(1))
     # The broadcast side is one aggregate row.
-    fresh = expand(placed.join(F.broadcast(start), "_one").drop("_one"), "extra", "_copy").select(
-        "hash", (F.col("next_pk") + F.col("_offset") + F.col("_copy")).cast("bigint").alias(pk)
+    fresh = expand(placed.join(F.broadcast(start), "_one").drop("_one"), "extra", "_copy", stride).select(
+        "hash",
+        _chunk_of(F.col("known") + F.col("_copy"), stride).alias("_chunk"),
+        (F.col("next_pk") + F.col("_offset") + F.col("_copy")).cast("bigint").alias(pk),
     )
     keys = reused.unionByName(fresh)
-    return keys.join(contents.drop("copies"), "hash").select(pk, *rows.columns, "hash")
+    return keys.join(_in_chunks(contents, stride), ["hash", "_chunk"]).select(pk, *rows.columns, "hash")
+
+
+def _chunk_of(index: Column, stride: int) -> Column:
+    return F.floor(index / stride).cast("bigint")
+
+
+def _in_chunks(contents: DataFrame, stride: int) -> DataFrame:
+    """A content once per ``stride`` of its copies.
+
+    Keys meet their content on (hash, chunk), so that no join key stands for more than
+    ``stride`` rows, however many copies one content has.
+    """
+    last = _chunk_of(F.col("copies") - 1, stride)
+    return contents.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
 
 
 def updated_map(keyed: DataFrame, key_map: DataFrame, pk: str = "auto_pk") -> DataFrame:

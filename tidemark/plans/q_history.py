@@ -270,13 +270,14 @@ def dif3(spark, sf):
     "MRG1",
     graph_sql()
     + """SELECT a.name AS a_name, b.name AS b_name, (SELECT max_by(c.commit_id, c.seq) FROM commits c WHERE c.commit_id IN (SELECT commit_id FROM reach r WHERE r.ref = a.name) AND c.commit_id IN (SELECT commit_id FROM reach s WHERE s.ref = b.name)) AS base
-FROM refs a, refs b WHERE a.name < b.name""",
+FROM refs a, refs b WHERE a.name = 'main' AND b.name <> 'main'""",
 )
 def mrg1(spark, sf):
     refs = fx.refs(spark, sf)
-    named = refs.select(F.lit(1).alias("_one"), F.col("name").alias("a_name"), F.col("commit_id").alias("a")).join(
-        refs.select(F.lit(1).alias("_one"), F.col("name").alias("b_name"), F.col("commit_id").alias("b")), "_one"
-    ).filter("a_name < b_name")
+    # One row joined to every other ref.
+    main = refs.filter("name = 'main'").select(F.lit(1).alias("_one"), F.col("name").alias("a_name"), F.col("commit_id").alias("a"))
+    others = refs.filter("name <> 'main'").select(F.lit(1).alias("_one"), F.col("name").alias("b_name"), F.col("commit_id").alias("b"))
+    named = others.join(main, "_one")
     bases = graph(spark, sf).merge_bases(named.select("a", "b").distinct())
     return named.join(bases, ["a", "b"]).select("a_name", "b_name", "base")
 
