@@ -75,10 +75,23 @@ def mrg5(spark, sf):
     return flat.select("label", F.col("row.o_totalprice").alias("price"))
 
 
-@query("MRG6")
+@query(
+    "MRG6",
+    MERGED
+    + " UNION ALL ".join(
+        f"SELECT 'orders:feature:' || CAST(key AS STRING) || ':{v}' AS id, 'Feature' AS type, {s}.o_custkey AS o_custkey, {s}.o_orderpriority AS o_orderpriority FROM merged WHERE outcome LIKE 'conflict%' AND {s} IS NOT NULL"
+        for v, s in (("ancestor", "a"), ("ours", "o"), ("theirs", "t"))
+    ),
+)
 def mrg6(spark, sf):
+    """Conflicts as GeoJSON features, one per version, read back."""
     flat = merging.flatten(merging.conflicts(merged(spark, sf)), "orders")
-    return flat.select("label", render.row_geojson(flat, "row", F.col("label")).alias("feature"))
+    feature = flat.select(render.row_geojson(flat, "row", F.col("label")).alias("f"))
+    return feature.select(
+        F.get_json_object("f", "$.id").alias("id"), F.get_json_object("f", "$.type").alias("type"),
+        F.get_json_object("f", "$.properties.o_custkey").cast("bigint").alias("o_custkey"),
+        F.get_json_object("f", "$.properties.o_orderpriority").alias("o_orderpriority"),
+    )
 
 
 @query("AGG7", MERGED + "SELECT 'orders' AS dataset, 'feature' AS part, CAST(count(*) AS BIGINT) AS conflicts FROM merged WHERE outcome LIKE 'conflict%'")

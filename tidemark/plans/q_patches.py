@@ -234,33 +234,72 @@ def in_order():
     return delta_order("_key", "bigint")
 
 
-@query("PAT10")
+def read_back(lines, marks=("-", "+")):
+    """Position and the keys a document's lines hold under each mark."""
+    change = F.regexp_replace("line", "^,", "")
+    body = F.when(F.col("line").rlike(r'^,?\{"[-+]{1,2}":'), change)
+    names = {"-": "minus", "+": "plus", "--": "minus_minus", "++": "plus_plus"}
+    return lines.select(
+        F.col("position").cast("bigint").alias("position"),
+        *[F.get_json_object(body, f"$['{m}'].o_orderkey").cast("bigint").alias(names[m]) for m in marks],
+    )
+
+
+POSITIONED = "numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY coalesce(old_key, new_key)) AS BIGINT) AS position FROM diff)"
+ENDS = "UNION ALL SELECT 0 AS position, {nulls} UNION ALL SELECT CAST(count(*) + 1 AS BIGINT) AS position, {nulls} FROM diff"
+ADVANCED = """CASE WHEN change_type = 'delete' THEN old_key END AS minus_minus, CASE WHEN change_type = 'update' THEN new_key END AS plus, CASE WHEN change_type = 'insert' THEN new_key END AS plus_plus"""
+
+
+@query(
+    "PAT10",
+    WITH_DIFF.rstrip() + ",\n" + POSITIONED
+    + f" SELECT position, CASE WHEN change_type = 'update' THEN old_key END AS minus, {ADVANCED} FROM numbered "
+    + ENDS.format(nulls="NULL, NULL, NULL, NULL"),
+)
 def pat10(spark, sf):
+    """A patch document line by line, and the keys read back from it."""
     d = edit_diff(spark, sf).withColumn("_key", algebra.delta_key())
-    return render.patch_lines(d, "orders", "v1", in_order(), "edit of orders")
+    return read_back(render.patch_lines(d, "orders", "v1", in_order(), "edit of orders"), ("-", "--", "+", "++"))
 
 
-@query("SNK7")
+@query(
+    "SNK7",
+    WITH_DIFF.rstrip() + ",\n" + POSITIONED + f" SELECT position, CAST(NULL AS BIGINT) AS minus, {ADVANCED} FROM numbered " + ENDS.format(nulls="NULL, NULL, NULL, NULL"),
+)
 def snk7(spark, sf):
     """With a reference system, updates carry no old row."""
     d = edit_diff(spark, sf).withColumn("_key", algebra.delta_key())
-    return render.patch_lines(d, "orders", "v1", in_order(), "edit of orders", crs="EPSG:4326")
+    return read_back(render.patch_lines(d, "orders", "v1", in_order(), "edit of orders", crs="EPSG:4326"), ("-", "--", "+", "++"))
 
 
-@query("SNK2")
+@query(
+    "SNK2",
+    WITH_DIFF.rstrip() + ",\n" + POSITIONED + " SELECT position, old_key AS minus, new_key AS plus FROM numbered " + ENDS.format(nulls="NULL, NULL"),
+)
 def snk2(spark, sf):
     d = edit_diff(spark, sf).withColumn("_key", algebra.delta_key())
-    return render.json_diff(d, "orders", in_order())
+    return read_back(render.json_diff(d, "orders", in_order()))
 
 
-@query("SNK3")
+@query(
+    "SNK3",
+    fx.ctes(edited=fx.EDITED, diff=fx.EDIT_DIFF, mo=META_OLD, mn=META_NEW, m=META_DIFF)
+    + """SELECT CAST(r AS INTEGER) AS rank, t AS type, CAST(NULL AS BIGINT) AS old_key, CAST(NULL AS BIGINT) AS new_key, CAST(NULL AS STRING) AS item FROM (SELECT 0 AS r, 'version' AS t UNION ALL SELECT 1, 'datasetInfo' UNION ALL SELECT 2, 'metaInfo') h
+UNION ALL SELECT 3, 'meta', NULL, NULL, item FROM m UNION ALL SELECT 4, 'feature', old_key, new_key, NULL FROM diff""",
+)
 def snk3(spark, sf):
     from tidemark.schema import VersionedSchema
 
     schema = VersionedSchema.infer(fx.orders(spark, sf), PK, "orders").to_json()
     old, new = meta_sides(spark, sf)
     meta = diffing.diff_maps(old, new, ["dataset", "item"], "value")
-    return render.jsonl_diff(edit_diff(spark, sf), "orders", schema, meta)
+    lines = render.jsonl_diff(edit_diff(spark, sf), "orders", schema, meta)
+    return lines.select(
+        "rank", F.get_json_object("line", "$.type").alias("type"),
+        F.get_json_object("line", "$.change['-'].o_orderkey").cast("bigint").alias("old_key"),
+        F.get_json_object("line", "$.change['+'].o_orderkey").cast("bigint").alias("new_key"),
+        F.when(F.get_json_object("line", "$.type") == "meta", F.get_json_object("line", "$.key")).alias("item"),
+    )
 
 
 @query(
