@@ -53,10 +53,8 @@ def assign_keys(
         .select("hash", F.coalesce("known", F.lit(0)).alias("known"), (F.col("copies") - F.coalesce("known", F.lit(0))).alias("extra"))
         .filter(F.col("extra") > 0)
     )
-    placed = offset_before(extra, "hash", "extra", "_offset").withColumn("_one", F.lit(1))
-    start = next_generated(key_map).withColumn("_one", F.lit(1))
-    # The broadcast side is one aggregate row.
-    fresh = expand(placed.join(F.broadcast(start), "_one").drop("_one"), "extra", "_copy", stride).select(
+    placed = offset_before(extra, "hash", "extra", "_offset").withColumn("next_pk", next_generated(key_map).scalar())
+    fresh = expand(placed, "extra", "_copy", stride).select(
         "hash",
         _chunk_of(F.col("known") + F.col("_copy"), stride).alias("_chunk"),
         (F.col("next_pk") + F.col("_offset") + F.col("_copy")).cast("bigint").alias(pk),

@@ -140,12 +140,11 @@ def renumber(
     tops = [d.agg(F.max(pk).alias("_m")) for d in (ours, theirs)]
     if resolves is not None:
         tops.append(resolves.filter(F.col("row").isNotNull()).agg(F.max(F.col("row")[pk]).alias("_m")))
-    # One aggregate row.
-    start = reduce(DataFrame.unionByName, tops).agg(F.coalesce(F.max("_m") + 1, F.lit(0)).alias("_start"), F.lit(1).alias("_one"))
-    numbered = number_all(clashing.select("key", keep, side), ["key"], "_n").withColumn("_one", F.lit(1))
+    start = reduce(DataFrame.unionByName, tops).agg(F.coalesce(F.max("_m") + 1, F.lit(0)).alias("_start"))
+    numbered = number_all(clashing.select("key", keep, side), ["key"], "_n").withColumn("_start", start.scalar())
     fresh = (F.col("_start") + F.col("_n") - 1).cast("bigint")
     moved = F.col(side).withField(pk, fresh)
-    both = numbered.join(F.broadcast(start), "_one").select(
+    both = numbered.select(
         "key",
         F.explode(
             F.array(
@@ -175,15 +174,9 @@ def merged_snapshot(merged: DataFrame, resolves: DataFrame | None = None, unreso
 def finish(merged: DataFrame, resolves: DataFrame) -> DataFrame:
     """The merged relation; the job fails while a conflict is unresolved."""
     left = unresolved(conflicts(merged), resolves).agg(F.count(F.lit(1)).alias("_left"))
-    guarded = left.select(
-        F.when(F.col("_left") > 0, F.raise_error(F.concat(F.lit("unresolved conflicts: "), F.col("_left").cast("string"))))
-        .cast("string")
-        .alias("_error"),
-        F.lit(1).alias("_one"),
-    )
-    rows = merged_snapshot(merged, resolves, None).withColumn("_one", F.lit(1))
-    # The broadcast side is a single aggregate row.
-    return rows.join(F.broadcast(guarded), "_one").filter(F.col("_error").isNull()).drop("_one", "_error")
+    message = F.concat(F.lit("unresolved conflicts: "), F.col("_left").cast("string"))
+    error = left.select(F.when(F.col("_left") > 0, F.raise_error(message)).cast("string"))
+    return merged_snapshot(merged, resolves, None).filter(error.scalar().isNull())
 
 
 def merge_kind(base: str | None, ours: str, theirs: str, fast_forward: str = "auto") -> str:

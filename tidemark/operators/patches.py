@@ -157,21 +157,15 @@ def apply(delta: DataFrame, current: DataFrame, pk: str) -> DataFrame:
 def apply_checked(delta: DataFrame, current: DataFrame, pk: str, base: DataFrame | None = None) -> DataFrame:
     """As :func:`apply`, but any conflict fails the job before a row is returned.
 
-    The check is a one-row aggregate joined to every row, so nothing is collected and
-    nothing is applied when it is not zero. The patch is needed for the check, for the
-    rows that go and for those that come: it is parsed once and written.
+    The check is a scalar subquery, so nothing is applied when it is not zero. The patch
+    is needed for the check, for the rows that go and for those that come: it is parsed
+    once and written.
     """
     delta = cut(delta)
-    count = conflicts(delta, current, pk, base).agg(F.count(F.lit(1)).alias("_bad"))
-    guarded = count.select(
-        F.when(F.col("_bad") > 0, F.raise_error(F.concat(F.lit("patch does not apply, conflicts: "), F.col("_bad").cast("string"))))
-        .cast("string")
-        .alias("_error"),
-        F.lit(1).alias("_one"),
-    )
-    result = apply(delta, current, pk).withColumn("_one", F.lit(1))
-    # The broadcast side is a single aggregate row.
-    return result.join(F.broadcast(guarded), "_one").filter(F.col("_error").isNull()).drop("_one", "_error")
+    bad = conflicts(delta, current, pk, base).agg(F.count(F.lit(1)).alias("_bad"))
+    message = F.concat(F.lit("patch does not apply, conflicts: "), F.col("_bad").cast("string"))
+    error = bad.select(F.when(F.col("_bad") > 0, F.raise_error(message)).cast("string"))
+    return apply(delta, current, pk).filter(error.scalar().isNull())
 
 
 def classify_meta(meta: DataFrame, existing: DataFrame) -> DataFrame:

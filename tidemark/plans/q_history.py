@@ -118,8 +118,8 @@ def his6(spark, sf):
 )
 def his7(spark, sf):
     refs = fx.refs(spark, sf)
-    main = refs.filter("name = 'main'").select(F.col("commit_id").alias("upstream"), F.lit(1).alias("_one"))
-    pairs = refs.filter("name <> 'main'").select("name", F.col("commit_id").alias("branch"), F.lit(1).alias("_one")).join(main, "_one").drop("_one")
+    main = refs.filter("name = 'main'").select("commit_id").scalar()
+    pairs = refs.filter("name <> 'main'").select("name", F.col("commit_id").alias("branch"), main.alias("upstream"))
     counts = graph(spark, sf).ahead_behind(pairs.select("branch", "upstream"))
     return pairs.join(counts, ["branch", "upstream"]).select("name", "ahead", "behind")
 
@@ -274,10 +274,10 @@ FROM refs a, refs b WHERE a.name = 'main' AND b.name <> 'main'""",
 )
 def mrg1(spark, sf):
     refs = fx.refs(spark, sf)
-    # One row joined to every other ref.
-    main = refs.filter("name = 'main'").select(F.lit(1).alias("_one"), F.col("name").alias("a_name"), F.col("commit_id").alias("a"))
-    others = refs.filter("name <> 'main'").select(F.lit(1).alias("_one"), F.col("name").alias("b_name"), F.col("commit_id").alias("b"))
-    named = others.join(main, "_one")
+    main = refs.filter("name = 'main'").select("commit_id").scalar()
+    named = refs.filter("name <> 'main'").select(
+        F.lit("main").alias("a_name"), main.alias("a"), F.col("name").alias("b_name"), F.col("commit_id").alias("b")
+    )
     bases = graph(spark, sf).merge_bases(named.select("a", "b").distinct())
     return named.join(bases, ["a", "b"]).select("a_name", "b_name", "base")
 
