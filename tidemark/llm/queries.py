@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +64,44 @@ FROM sized s JOIN picked k ON s.source IS NOT DISTINCT FROM k.source AND s.ticke
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped water-filling over all documents."""
     return mixing.plan_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _quality_twin() -> str:
+    """The base statistics said anew in SQL; the estimate's steps are plain SQL on both sides."""
+    p = range(1, quality.P + 1)
+    parts = {
+        "base": r"SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents",
+        "spots": "SELECT row, i, w[i:i+7] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM base WHERE len(w) >= 8)",
+        "twice": "SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM spots) WHERE n > 1",
+        "covered": "SELECT row, sum(least(8, coalesce(later - i, 8))) AS n FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS later FROM twice) GROUP BY row",
+        "lined": r"SELECT row, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM base",
+        "stats": r"""
+SELECT b.row, doc_id, lang, source, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
+       len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+       len(l)::BIGINT AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+FROM base b JOIN lined USING (row) LEFT JOIN covered c USING (row)""",
+        "feats": """
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       floor(ln((word_chars + 250)::DOUBLE / (n_words + 50)::DOUBLE) * 1000 + 0.5)::BIGINT AS x1,
+       floor(sqrt(n_symbols::DOUBLE / (word_chars + 100)::DOUBLE) * 1000 + 0.5)::BIGINT AS x2,
+       floor(sqrt(n_dup_lines::DOUBLE / (n_lines + 4)::DOUBLE) * 1000 + 0.5)::BIGINT AS x3,
+       floor(sqrt(n_repeat_words::DOUBLE / (n_words + 50)::DOUBLE) * 1000 + 0.5)::BIGINT AS x4,
+       floor(ln(n_words + 1.0::DOUBLE) * 1000 + 0.5)::BIGINT AS x5,
+       coalesce('v' || lang, 'n') || '/' || coalesce('v' || source, 'n') AS own
+FROM stats""",
+        "numbers": f"SELECT row, grp, {', '.join(f'x{i}' for i in p)} FROM ({quality.grouping_sql('feats')}) q",
+        "p0": quality.start_sql("numbers"),
+    }
+    for k in range(quality.STEPS):
+        parts[f"p{k + 1}"] = quality.step_sql("numbers", f"p{k}")
+    parts["far"] = quality.distance_sql("numbers", f"p{quality.STEPS}")
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in parts.items())
+    return f"""WITH {ctes}
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(d2 <= {quality.CUTOFF}, false) AS kept
+FROM feats f LEFT JOIN far USING (row)"""
+
+
+@_file("op3_quality_outliers", _quality_twin())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers per language and source over all documents."""
+    return quality.verdicts(_table(spark, sf_dir, "documents")).drop("key", "distance")
