@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality
+from tidemark.llm import mixing, pseudonyms, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,3 +106,11 @@ FROM feats f LEFT JOIN far USING (row)"""
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers per language and source over all documents."""
     return quality.verdicts(_table(spark, sf_dir, "documents")).drop("key", "distance")
+
+
+@_file("op10_pseudonyms")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data under pseudonyms, and how many values of each kind it had."""
+    out = pseudonyms.found(_table(spark, sf_dir, "documents"), key="tidemark")
+    counts = [(F.size("kinds") - F.size(F.array_remove("kinds", k))).cast("bigint").alias(f"n_{k}") for k in pseudonyms.KINDS]
+    return out.select(F.col("row.doc_id").alias("doc_id"), *counts, F.col("made").alias("text"))
