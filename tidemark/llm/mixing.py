@@ -10,6 +10,8 @@ from tidemark.session import cut
 
 #: Hash digits that make a bucket: a source's documents are summed in 16**3 pieces.
 BUCKET_DIGITS = 3
+#: Pieces a source is dealt in when its documents meet its one row of the plan.
+SALTS = 64
 
 
 def ticket(doc_id: Column, text: Column, seed: int) -> Column:
@@ -72,6 +74,13 @@ def draw(sized: DataFrame, weights: tuple[float, ...], share: float, epochs: flo
     return joined.select("source", "source_size", "target", "whole", F.coalesce("first_out", "bucket_end").alias("cutoff"))
 
 
+def meet(rows: DataFrame, source: Column, ticket: Column, drawn: DataFrame) -> DataFrame:
+    """``rows`` with the plan of their source, the plan repeated so that no source is one join key."""
+    salted = drawn.withColumnRenamed("source", "s").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(ticket), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, (F.col("_salt") == F.col("salt")) & source.eqNullSafe(F.col("s")))
+
+
 def plan_mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17, sizes: bool = True) -> DataFrame:
     """Per document, how often the mix takes it: doc_id, source, size, source_size, target, repeats, taken.
 
@@ -84,9 +93,8 @@ def plan_mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share:
     sized = cut(
         docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), ticket(F.col("doc_id"), F.col("text"), seed).alias("ticket"))
     )
-    drawn = draw(sized, weights, share, epochs).withColumnRenamed("source", "s")
     repeats = F.col("whole") + F.coalesce((F.col("ticket") < F.col("cutoff")), F.lit(False)).cast("bigint")
-    out = sized.join(drawn, F.col("source").eqNullSafe(F.col("s"))).withColumn("repeats", repeats)
+    out = meet(sized, F.col("source"), F.col("ticket"), draw(sized, weights, share, epochs)).withColumn("repeats", repeats)
     return out.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
@@ -101,9 +109,8 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     mark = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     mark = mark.withColumn("_ticket", ticket(F.col("row.doc_id"), F.col("row.text"), seed)).withColumn("_size", word_count(F.col("row.text")))
     sized = cut(mark.select(F.col("row.source").alias("source"), F.col("_ticket").alias("ticket"), F.col("_size").alias("size")))
-    drawn = draw(sized, weights, share, epochs).withColumnRenamed("source", "s")
-    drawn = drawn.select("s", "whole", "cutoff")
+    drawn = draw(sized, weights, share, epochs).select("source", "whole", "cutoff")
     repeats = F.col("whole") + F.coalesce((F.col("_ticket") < F.col("cutoff")), F.lit(False)).cast("bigint")
-    met = mark.join(drawn, F.col("row.source").eqNullSafe(F.col("s")))
+    met = meet(mark, F.col("row.source"), F.col("_ticket"), drawn)
     times = F.when(F.col("_size") == 0, F.lit(1).cast("bigint")).otherwise(repeats)
     return met.select("row", F.explode(F.array_repeat(F.lit(True), times.cast("int"))).alias("_again")).select("row.*")
