@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pseudonyms, quality
+from tidemark.llm import mixing, pseudonyms, quality, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +115,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonyms.found(_table(spark, sf_dir, "documents"), key="tidemark")
     counts = [(F.size("kinds") - F.size(F.array_remove("kinds", k))).cast("bigint").alias(f"n_{k}") for k in pseudonyms.KINDS]
     return out.select(F.col("row.doc_id").alias("doc_id"), *counts, F.col("made").alias("text"))
+
+
+def _token_digest(codec: trie_bpe.Codec, ids: list[int]) -> tuple[int, str, str]:
+    listed = ",".join(map(str, ids))
+    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+
+
+@_file("op7_trie_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's tokens and of their decoding."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return trie_bpe.encoded(_table(spark, sf_dir, "documents"), path, _token_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
