@@ -11,8 +11,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
@@ -147,7 +149,7 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def encoded(docs: DataFrame, path: str, emit: Callable[[Codec, list[int]], tuple], schema: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -160,6 +162,7 @@ def encoded(docs: DataFrame, path: str, emit: Callable[[Codec, list[int]], tuple
     """
     spark = docs.sparkSession
     tables = spark.sparkContext.broadcast(read_tables(path))
+    mark = uuid4().hex
     rows = docs.select(*keep, "text")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -168,10 +171,10 @@ def encoded(docs: DataFrame, path: str, emit: Callable[[Codec, list[int]], tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        codec = _codecs.get(tables.id)
+        codec = _codecs.get(mark)
         if codec is None:
             _codecs.clear()
-            codec = _codecs[tables.id] = Codec(tables.value)
+            codec = _codecs[mark] = Codec(tables.value)
         arrow = to_arrow_schema(types)
         for batch in batches:
             at, sizes = 0, batch.column(len(keep))
