@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pseudonyms, quality, trie_bpe
+from tidemark.llm import mixing, pseudonyms, quality, sentence_spans, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,3 +129,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     return trie_bpe.encoded(_table(spark, sf_dir, "documents"), path, _token_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+OP4_SQL = r"""
+WITH base AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^.!?;:,\n]+[.!?;:,\n]*|[.!?;:,\n]+') AS s
+  FROM documents),
+runs AS (
+  SELECT row, doc_id, p, list_transform(s[p:p + 2], lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS run,
+         list_sum(list_transform(s[p:p + 2], lambda x: len(x))) AS chars
+  FROM (SELECT row, doc_id, s, unnest(range(1, greatest(len(s) - 3, 0) + 2)) AS p FROM base WHERE len(s) > 0)),
+later AS (
+  SELECT row, p FROM (SELECT row, p, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, row, p) AS k FROM runs WHERE chars >= 60) WHERE k > 1),
+covered AS (SELECT DISTINCT row, q FROM (SELECT row, unnest([p, p + 1, p + 2]) AS q FROM later)),
+pieces AS (SELECT row, q, s[q] AS piece FROM (SELECT row, s, unnest(range(1, len(s) + 1)) AS q FROM base)),
+kept AS (
+  SELECT row, count(c.q) AS n_removed, coalesce(string_agg(CASE WHEN c.q IS NULL THEN piece END, '' ORDER BY q), '') AS text
+  FROM pieces LEFT JOIN covered c USING (row, q) GROUP BY row)
+SELECT b.doc_id, len(b.s)::BIGINT AS n_sentences, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.text, '') AS text
+FROM base b LEFT JOIN kept k USING (row)
+"""
+
+
+@_file("op4_sentence_spans", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of passages that stand elsewhere before."""
+    out = sentence_spans.dedup(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "n_removed", F.col("made").alias("text"))
