@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pseudonyms, quality, sentence_spans, trie_bpe
+from tidemark.llm import jaccard, mixing, pseudonyms, quality, sentence_spans, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,3 +156,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of passages that stand elsewhere before."""
     out = sentence_spans.dedup(_table(spark, sf_dir, "documents"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_sentences", "n_removed", F.col("made").alias("text"))
+
+
+@_file("op5_bayes_jaccard")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates and its number of links."""
+    return jaccard.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
