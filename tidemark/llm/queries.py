@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, mixing, pseudonyms, quality, sentence_spans, trie_bpe
+from tidemark.llm import jaccard, mixing, pseudonyms, quality, sentence_spans, templates, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -162,3 +162,37 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates and its number of links."""
     return jaccard.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+OP2_SQL = r"""
+WITH base AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+lined AS (SELECT row, doc_id, string_split(text, chr(10)) AS l FROM base),
+plain AS (SELECT row, doc_id, num, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS s
+          FROM (SELECT row, doc_id, unnest(range(1, len(l) + 1)) AS num, unnest(l) AS line FROM lined)),
+shaped AS MATERIALIZED (SELECT row, doc_id, num, line, regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS s FROM plain),
+placed AS MATERIALIZED (
+  SELECT row, doc_id, num, s, len(string_split(s, ' ')) AS n, string_split(s, ' ')[1:3] AS lead FROM shaped WHERE s <> ''),
+per_line AS (SELECT s, n, lead, count(DISTINCT row) AS docs FROM placed GROUP BY ALL),
+leaves AS (SELECT n, lead FROM per_line GROUP BY n, lead HAVING sum(docs) >= 10),
+fields AS MATERIALIZED (
+  SELECT s, n, lead, docs, unnest(range(1, n + 1)) AS p, unnest(string_split(s, ' ')) AS token FROM per_line JOIN leaves USING (n, lead)),
+common AS (SELECT n, lead, p, token FROM fields WHERE p > 3 GROUP BY ALL HAVING sum(docs) >= 10),
+marked AS (
+  SELECT f.s, f.p, f.token, f.token <> '<*>' AND (f.p <= 3 OR c.p IS NOT NULL) AS fixed
+  FROM fields f LEFT JOIN common c ON f.n = c.n AND f.lead = c.lead AND f.p = c.p AND f.token = c.token),
+general AS MATERIALIZED (
+  SELECT s, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, ' ' ORDER BY p) AS template FROM marked GROUP BY s HAVING avg(fixed::INT) >= 0.7),
+standing AS (SELECT row, doc_id, num, template FROM placed JOIN general USING (s)),
+again AS (SELECT template, count(DISTINCT row) AS docs, min(doc_id) AS first FROM standing GROUP BY template HAVING count(DISTINCT row) >= 10),
+gone AS (SELECT DISTINCT row, num FROM standing JOIN again USING (template) WHERE doc_id <> first)
+SELECT s.doc_id, count(*)::BIGINT AS n_lines, count(g.num)::BIGINT AS n_dropped,
+       coalesce(string_agg(CASE WHEN g.num IS NULL THEN s.line END, chr(10) ORDER BY s.num), '') AS text
+FROM shaped s LEFT JOIN gone g USING (row, num) GROUP BY s.row, s.doc_id
+"""
+
+
+@_file("op2_line_templates", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs across documents."""
+    out = templates.dedup(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.col("made").alias("text"))
