@@ -24,6 +24,8 @@ BANDS = HASHES // BAND
 TOLERANCE = 1e-7
 #: Values compared between two looks at the odds.
 LOOK = 16
+#: Bits of the bitmap that spares texts without a partner a shuffle: 1 MB.
+SIEVE_BITS = 1 << 23
 #: Members of a bucket that are held against each other at once; larger buckets go in pairs of such pieces.
 BLOCK = 512
 
@@ -89,24 +91,46 @@ def signatures(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, "tid string, sig binary, bands array<bigint>")
 
 
-def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(tid, text) rows to (tid, grams): the sorted distinct shingle hashes as bytes."""
+def sieve(tids: DataFrame) -> np.ndarray:
+    """A bitmap of SIEVE_BITS bits with two set for each tid; its size does not depend on theirs.
+
+    It only saves work: texts it lets through are joined exactly afterwards, and once it is
+    full it lets all through.
+    """
+    spots = tids.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "tid"), F.lit(SIEVE_BITS)) for k in (1, 2)])).alias("bit"))
+    words = spots.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 AS INT))")).alias("bits"))
+    out = np.zeros(SIEVE_BITS // 32, dtype=np.uint32)
+    for row in words.toLocalIterator():
+        out[row.word] = row.bits
+    return out
+
+
+def shingle_sets(texts: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """(tid, text) rows to (tid, grams), the sorted distinct shingle hashes as bytes, of the tids in ``wanted``.
+
+    Texts that are not wanted are left out where they stand, by a bitmap, before any shuffle.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(sieve(wanted))
+    marked = texts.select("tid", "text", *[F.pmod(F.xxhash64(F.lit(k), "tid"), F.lit(SIEVE_BITS)).alias(f"p{k}") for k in (1, 2)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
         for batch in batches:
+            spots = [batch.column(i).to_numpy() for i in (2, 3)]
+            batch = batch.filter(pa.array(np.logical_and(*[(table[p >> 5] >> (p & 31).astype(np.uint32)) & 1 > 0 for p in spots])))
             grams = [np.unique(h).tobytes() for h in shingles(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["tid", "grams"])
 
-    return texts.select("tid", "text").mapInArrow(run, "tid string, grams binary")
+    return marked.mapInArrow(run, "tid string, grams binary").join(wanted, "tid", "left_semi")
 
 
-def block_links(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, band: int, least: dict[int, int], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of one block whose first common band is ``band``.
+def likely_pairs(sigs: np.ndarray, side: np.ndarray, band: int, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block whose first common band is ``band`` and that the comparison of their MinHash values leaves in.
 
     ``side`` tells the two pieces of a bucket apart; when all are of one piece, every pair
     inside it is looked at, else every pair across.
     """
-    a, b = np.nonzero(side[:, None] < side[None, :]) if side.any() and not side.all() else np.triu_indices(len(sets), 1)
+    a, b = np.nonzero(side[:, None] < side[None, :]) if side.any() and not side.all() else np.triu_indices(len(side), 1)
     keys = bands(sigs)
     for k in range(band):
         if not len(a):
@@ -115,14 +139,19 @@ def block_links(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, band
         a, b = a[new], b[new]
     same = keys[a, band] == keys[b, band]
     a, b = a[same], b[same]
-    sizes = np.array([len(s) for s in sets])
-    near = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
-    a, b = a[near], b[near]
     hits = np.zeros(len(a), dtype=np.int64)
     for n in range(LOOK, HASHES + 1, LOOK):
         hits += (sigs[a, n - LOOK : n] == sigs[b, n - LOOK : n]).sum(axis=1)
         stay = hits >= least[n]
         a, b, hits = a[stay], b[stay], hits[stay]
+    return a, b
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs, sorted by ``a``, whose sets reach the threshold, by exact intersection."""
+    sizes = np.array([len(s) for s in sets])
+    near = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+    a, b = a[near], b[near]
     linked = np.zeros(len(a), dtype=bool)
     bounds = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
     for at, end in zip(bounds, [*bounds[1:], len(a)]):
@@ -154,6 +183,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def pruned(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """Of rows (block, band, side, tid, sig), sorted by block, those with a likely partner in their block, without sig."""
+    least = least_matches(threshold, tolerance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            if table.num_rows < 2:
+                continue
+            sigs = np.stack([np.frombuffer(s, dtype=np.uint32) for s in table.column("sig").to_pylist()])
+            a, b = likely_pairs(sigs, table.column("side").to_numpy(), table.column("band")[0].as_py(), least)
+            if len(a):
+                yield from table.drop_columns("sig").take(pa.array(np.unique(np.concatenate([a, b])))).combine_chunks().to_batches()
+
+    return blocks.mapInArrow(run, "block bigint, band int, side int, tid string")
+
+
 def verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Rows (block, band, side, tid, copies, sig, grams), sorted by block, to (tid, links, root).
 
@@ -169,7 +214,8 @@ def verified(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame
             tids, copies = table.column("tid").to_pylist(), table.column("copies").to_numpy()
             sigs = np.stack([np.frombuffer(s, dtype=np.uint32) for s in table.column("sig").to_pylist()])
             sets = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
-            a, b = block_links(sigs, sets, table.column("side").to_numpy(), table.column("band")[0].as_py(), least, threshold)
+            a, b = likely_pairs(sigs, table.column("side").to_numpy(), table.column("band")[0].as_py(), least)
+            a, b = linked_pairs(a, b, sets, threshold)
             if not len(a):
                 continue
             links = np.bincount(a, copies[b], len(tids)) + np.bincount(b, copies[a], len(tids))
@@ -202,7 +248,8 @@ def links(docs: DataFrame, *, size: int = SHINGLE_WORDS, threshold: float = THRE
     Exact copies are one text with a count. A text goes into 32 buckets by bands of its
     MinHash; a pair is looked at in the bucket of its first common band only. Buckets with
     the same members are looked at once. A large bucket is dealt in pieces and goes through
-    the workers as pairs of pieces, each of bounded size.
+    the workers as pairs of pieces, each of bounded size: with MinHash values alone first, then
+    with the shingles of the texts that still have a likely partner.
     """
     texts = docs.select(text_key(F.col("text")).alias("tid"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sigs = signatures(texts, size)
@@ -214,14 +261,15 @@ def links(docs: DataFrame, *, size: int = SHINGLE_WORDS, threshold: float = THRE
     once = shared.where("n > 1").groupBy("n", "m1", "m2").agg(F.min(F.struct("band", "bucket")).alias("b")).select("n", "b.band", "b.bucket")
     pieces = F.ceil(F.col("n") / BLOCK).cast("int")
     members = spread.drop("band").join(once, "bucket").withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("tid"), F.col("pieces")).cast("int"))
-    members = cut(members)
-    wanted = members.select("tid").distinct()
-    grams = shingle_sets(texts.join(wanted, "tid", "left_semi"), size).groupBy("tid").agg(F.first("grams").alias("grams"))
-    facts = sigs.select("tid", "copies", "sig").join(grams, "tid")
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     block = F.xxhash64("bucket", F.least("piece", "other"), F.greatest("piece", "other"))
-    dealt = dealt.select(block.alias("block"), "band", (F.col("piece") > F.col("other")).cast("int").alias("side"), "tid").join(facts, "tid")
-    dealt = dealt.select("block", "band", "side", "tid", "copies", "sig", "grams").repartition("block").sortWithinPartitions("block")
+    dealt = dealt.select(block.alias("block"), "band", (F.col("piece") > F.col("other")).cast("int").alias("side"), "tid")
+    likely = dealt.join(sigs.select("tid", "sig"), "tid").select("block", "band", "side", "tid", "sig")
+    likely = cut(pruned(likely.repartition("block").sortWithinPartitions("block"), threshold, tolerance))
+    grams = shingle_sets(texts, size, likely.select("tid").distinct()).groupBy("tid").agg(F.first("grams").alias("grams"))
+    facts = sigs.select("tid", "copies", "sig").join(grams, "tid")
+    whole = likely.join(facts, "tid").select("block", "band", "side", "tid", "copies", "sig", "grams")
+    dealt = whole.repartition("block").sortWithinPartitions("block")
     found = cut(verified(dealt, threshold, tolerance))
     counted = found.groupBy("tid").agg(F.sum("links").alias("links"))
     return sigs.select("tid", "copies").join(counted, "tid", "left"), found.select(F.col("tid").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
