@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, mixing, pseudonyms, quality, sentence_spans, templates, trie_bpe
+from tidemark.llm import jaccard, mixing, permutation, pseudonyms, quality, sentence_spans, templates, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -196,3 +196,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs across documents."""
     out = templates.dedup(_table(spark, sf_dir, "documents"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.col("made").alias("text"))
+
+
+@_file("op1_permutation_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every fiftieth one."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return permutation.search(vectors, vectors.where("vec_id % 50 = 0").select("vec_id"))
