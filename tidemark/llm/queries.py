@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, mixing, permutation, pseudonyms, quality, sentence_spans, templates, trie_bpe
+from tidemark.llm import jaccard, mixing, permutation, pseudonyms, quality, sentence_spans, templates, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,3 +203,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every fiftieth one."""
     vectors = _table(spark, sf_dir, "embeddings")
     return permutation.search(vectors, vectors.where("vec_id % 50 = 0").select("vec_id"))
+
+
+@_file("op8_toxicity_gru")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a network fitted on the labelled ones that are not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0)
+    texts, toxic = toxicity.sample(docs, labels.where(~held_out))
+    scored = toxicity.score(docs, toxicity.fit(texts, toxic))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

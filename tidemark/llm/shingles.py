@@ -39,15 +39,19 @@ def parts(texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         at = end
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and per row the number of the first word (one more at the end)."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    blank = _BLANK[data]
+def word_starts(blank: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Marks the first byte of each word; ``blank`` tells the bytes that are between words, rows part words too."""
     begins = ~blank
     begins[1:] &= blank[:-1]
-    inner = bounds[:-1][(bounds[:-1] < len(data)) & (bounds[:-1] < bounds[1:])]
+    inner = bounds[:-1][(bounds[:-1] < len(blank)) & (bounds[:-1] < bounds[1:])]
     begins[inner] |= ~blank[inner]
+    return begins
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, blanks: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and per row the number of the first word (one more at the end)."""
+    blank = blanks[data]
+    begins = word_starts(blank, bounds)
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
