@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard, mixing, permutation, pseudonyms, quality, sentence_spans, templates, toxicity, trie_bpe
+from tidemark.llm import jaccard, mixing, permutation, pseudonyms, quality, secret_scan, sentence_spans, templates, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -213,3 +213,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, toxic = toxicity.sample(docs, labels.where(~held_out))
     scored = toxicity.score(docs, toxicity.fit(texts, toxic))
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@_file("op9_secret_forest")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict; the strings themselves are not repeated."""
+    out = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("value").cast("binary"), 256)
+    return out.select("doc_id", "start", F.length("value").cast("bigint").alias("length"), digest.alias("value_sha256"), "score", "secret")
