@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import jaccard, mixing, permutation, pseudonyms, quality, secret_scan, sentence_spans, templates, toxicity, trie_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,18 +117,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), *counts, F.col("made").alias("text"))
 
 
-def _token_digest(codec: trie_bpe.Codec, ids: list[int]) -> tuple[int, str, str]:
-    listed = ",".join(map(str, ids))
-    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
-
-
 @_file("op7_trie_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's tokens and of their decoding."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return trie_bpe.encoded(_table(spark, sf_dir, "documents"), path, _token_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return trie_bpe.encoded(_table(spark, sf_dir, "documents"), path, trie_bpe.digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 OP4_SQL = r"""
@@ -221,3 +216,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("value").cast("binary"), 256)
     return out.select("doc_id", "start", F.length("value").cast("bigint").alias("length"), digest.alias("value_sha256"), "score", "secret")
+
+
+@_file("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline from documents to tokens."""
+    return corpus_pipeline.run(spark, sf_dir)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 from itertools import chain
 from uuid import uuid4
 
@@ -149,6 +150,12 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def digest(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
+    """How many tokens, and SHA-256 of their numbers and of the text they decode to."""
+    listed = ",".join(map(str, ids))
+    return len(ids), sha256(listed.encode()).hexdigest(), sha256(codec.decode(ids).encode()).hexdigest()
+
+
 _codecs: dict[str, Codec] = {}
 
 
