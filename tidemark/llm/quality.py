@@ -21,8 +21,8 @@ LEAST_ROWS = 50
 CORE = 0.75
 #: Makes the covariance of the core right for normal data: CORE / P(chi2(7) <= q), q the CORE quantile of chi2(5).
 CONSISTENCY = 1.41207
-#: Squared distance beyond which a document is rejected: the 99.999 % point of chi2(5).
-CUTOFF = 30.856
+#: Squared distance beyond which a document is rejected: the 99.9 % point of chi2(5).
+CUTOFF = 20.515
 #: Concentration steps after the start from medians and quartiles.
 STEPS = 6
 #: Least standard deviations, in thousandths, of: log mean word length, roots of the shares
