@@ -25,6 +25,8 @@ SIZES = (8, 8, 4)
 INPUT, HIDDEN = sum(SIZES), 8
 #: Labelled documents the network is fitted on, at most so many of each label.
 SAMPLE = 2000
+#: Texts of the sample that a word must stand in to have a vector of its own.
+LEAST_TEXTS = 4
 #: Steps a round takes at least, however few the windows.
 LEAST_STEPS = 150
 #: Pull of the weights to zero: words seen seldom should say little.
@@ -247,6 +249,13 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Params:
     w = Words(np.frombuffer(b"".join(raw), np.uint8), bounds)
     rows, text = w.windows()
     hint = np.append(_hints(w, toxic), 0)[rows].max(axis=1)
+    # Words and beginnings of too few texts have no vectors of their own: they could only be learned by heart.
+    owner = np.repeat(np.arange(len(texts)), np.diff(w.firsts))
+    seen = {}
+    for k, names, size in (("words", w.own, WORDS), ("heads", w.heads, HEADS)):
+        pairs = np.unique(owner.astype(np.int64) << 32 | names[w.ids])
+        seen[k] = np.bincount(pairs & 0xFFFFFFFF, minlength=size) >= LEAST_TEXTS
+        p[k][~seen[k]] = 0
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for turn in range(ROUNDS):
@@ -268,6 +277,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 1) -> Params:
                 weights = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
                 step += 1
                 for k, (on, d) in gradients(w, rows[some], labels, weights, p).items():
+                    if k in seen:
+                        d = d * seen[k][on][:, None]
                     m, v = moments[k]
                     m[on] += 0.1 * (d - m[on])
                     v[on] += 0.001 * (d * d - v[on])
