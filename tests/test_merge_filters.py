@@ -39,6 +39,8 @@ def test_merge_kinds():
 
 def test_patterns():
     assert filters.parse_pattern("a/b") == ("a/b", None, None)
+    assert filters.parse_pattern("a*:meta") == ("a*", "meta", None) and filters.parse_pattern("a:metadata") == ("a", "feature", "metadata")
+    assert filters.parse_pattern("a:tile:x:y") == ("a", "tile", "x:y") and filters.parse_pattern("a:") == ("a", None, None)
     assert filters.parse_pattern("ds:123") == ("ds", "feature", "123")
     assert filters.parse_pattern("ds:meta:title") == ("ds", "meta", "title")
     assert filters.parse_pattern("ds:feature") == ("ds", "feature", None)

@@ -106,6 +106,27 @@ def test_box_across_antimeridian(spark):
     assert across.problem is None and across.e < across.w
 
 
+def test_projected_box_covers_its_border(spark):
+    rows = [(1000000.0 + 37000 * i, 4800000.0 + 91000 * (i % 17), 20000.0 * (i % 40), 31000.0 * (i % 23)) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, y double, dx double, dy double")
+    df = df.withColumn("b", envelopes.project_box("EPSG:2193", F.col("x"), F.col("y"), F.col("x") + F.col("dx"), F.col("y") + F.col("dy")))
+    df = df.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(16))))
+    for x, y in ((F.col("x") + F.col("dx") * F.col("k") / 16, F.col("y")), (F.col("x"), F.col("y") + F.col("dy") * F.col("k") / 16), (F.col("x") + F.col("dx") * F.col("k") / 16, F.col("y") + F.col("dy"))):
+        lon, lat = crs.to_lonlat("EPSG:2193", x, y)
+        east = F.pmod(lon - F.col("b.w"), F.lit(360.0)) <= F.pmod(F.col("b.e") - F.col("b.w"), F.lit(360.0)) + 1e-9
+        out = df.select((east & lat.between(F.col("b.s") - 1e-9, F.col("b.n") + 1e-9)).alias("ok"), "b.problem").agg(F.min("ok").alias("ok"), F.count("problem").alias("p")).first()
+        assert out.ok and out.p == 0
+
+
+def test_box_far_off_and_half_a_world(spark):
+    def problem(crs_id, *values):
+        return spark.range(1).select(envelopes.project_box(crs_id, *[F.lit(float(v)) for v in values]).alias("b")).first().b.problem
+
+    assert problem("EPSG:4326", 1570000, 5170000, 1570100, 5170100) == "wrong_crs"
+    assert problem("EPSG:4326", -179, 0, 179, 1) == "unclear" and problem("EPSG:4326", 0, 89, 1, 91) == "unclear"
+    assert problem("EPSG:4326", 175, -1, 185, 1) is None
+
+
 def test_extent_by_matches_pairwise_union(spark):
     rows = [("a", 170.0, 1.0, 175.0, 2.0), ("a", -179.0, 0.0, -160.0, 3.0), ("a", 176.0, 0.0, 178.0, 5.0), ("b", 10.0, 0.0, 20.0, 1.0), ("b", -20.0, -1.0, -10.0, 0.0)]
     df = spark.createDataFrame(rows, "k string, w double, s double, e double, n double")

@@ -10,22 +10,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.algebra import delta_key
+from tidemark.operators.schemas import FORBIDDEN_CHARACTERS
 
-#: Grammar of an item pattern: dataset glob, optional part, optional key (fixed value).
-PATTERN = re.compile(
-    r'(?P<dataset>[^:<>"|?\x00-\x1f]+)(?::(?P<part>feature|meta|tile))?(?::(?P<rest>.*))?', re.DOTALL
-)
+PARTS = ("feature", "meta", "tile")
 
 
 def parse_pattern(pattern: str) -> tuple[str, str | None, str | None]:
-    """``ds``, ``ds:key``, ``ds:feature:key``, ``ds:meta:item`` or ``ds:tile:name``."""
-    m = PATTERN.match(pattern)
-    dataset = m.group("dataset") if m else ""
-    bad_ends = dataset.startswith(("/", ".")) or dataset.endswith(("/", "."))
-    if not m or bad_ends or "./" in dataset or "/." in dataset:
+    """``ds``, ``ds:key``, ``ds:feature:key``, ``ds:meta:item`` or ``ds:tile:name``.
+
+    What follows the dataset is a key, unless it begins with the name of a part.
+    """
+    dataset, _, rest = pattern.partition(":")
+    part, _, key = rest.partition(":")
+    if part not in PARTS:
+        part, key = ("feature", rest) if rest else (None, "")
+    steps = dataset.split("/")
+    if any(not s or s.startswith(".") or s.endswith(".") for s in steps) or re.search(FORBIDDEN_CHARACTERS, dataset.replace("*", "")):
         raise ValueError(f"not an item pattern: {pattern!r}")
-    part, rest = m.group("part"), m.group("rest") or None
-    return dataset, part or ("feature" if rest else None), rest
+    return dataset, part, key or None
 
 
 def dataset_matches(dataset: Column, glob: str) -> Column:
