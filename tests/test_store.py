@@ -3,7 +3,7 @@ import pytest
 from tidemark.operators import merging
 from tidemark.operators.schemas import violation_examples
 from tidemark.schema import ColumnSpec, VersionedSchema
-from tidemark.store import NoChanges, VersionStore
+from tidemark.store import InvalidRows, NoChanges, VersionStore
 
 
 @pytest.fixture()
@@ -86,3 +86,36 @@ def test_replay_through_snapshots(spark, store, monkeypatch):
 def test_rows_that_break_their_schema(spark):
     schema = VersionedSchema((ColumnSpec("1", "k", "integer", 0, {"size": 64}), ColumnSpec("2", "v", "date")))
     assert [r.rule for r in violation_examples(rows(spark, (1, "a")), schema).collect()] == ["pattern"]
+
+
+def test_repeated_and_absent_keys_are_refused(spark, store):
+    with pytest.raises(InvalidRows, match="unique"):
+        store.commit({"t": rows(spark, (1, "a"), (1, "b"))}, "twice", pks={"t": ["k"]})
+    with pytest.raises(InvalidRows):
+        store.commit({"t": rows(spark, (1, "a"), (None, "n"))}, "none", pks={"t": ["k"]})
+    assert store.commits().count() == 0
+
+
+def test_diff_from_the_log(spark, store):
+    ids = [store.commit({"t": rows(spark, (1, "a"), (2, "b"), (3, "c")), "u": rows(spark, (1, "x"))}, "0", pks={"t": ["k"], "u": ["k"]})]
+    ids.append(store.commit({"t": rows(spark, (1, "A"), (2, "b"), (3, "c"))}, "1"))
+    ids.append(store.commit({"t": rows(spark, (1, "a"), (2, "b"))}, "2"))
+    kinds = lambda a, b: {(r.old_key, r.new_key, r.change_type) for r in store.diff("t", a, b).collect()}
+    # Row 1 was changed and changed back: it is in the log, but no difference.
+    assert kinds(ids[0], ids[2]) == {(3, None, "delete")}
+    assert kinds(ids[2], ids[0]) == {(None, 3, "insert")}
+    assert kinds(ids[1], ids[2]) == {(1, 1, "update"), (3, None, "delete")}
+    assert store.diff("u", ids[0], ids[2]).count() == 0
+    plan = store.diff("t", ids[0], ids[2])._jdf.queryExecution().toString()
+    assert "cut-" in plan  # only the keys of the log are looked up
+
+
+def test_snapshots_are_counted_per_dataset(spark, store, monkeypatch):
+    monkeypatch.setattr("tidemark.store.SNAPSHOT_EVERY", 2)
+    store.commit({"t": rows(spark, (1, "a")), "u": rows(spark, (1, "x"))}, "0", pks={"t": ["k"], "u": ["k"]})
+    for n in range(3):
+        store.commit({"u": rows(spark, (1, f"x{n}"))}, f"u{n}")
+    store.commit({"t": rows(spark, (1, "b"))}, "t")
+    for name in "tu":
+        assert store._exists(f"{store.root}/data/{store.version(name, 'main').slot}/snapshots")
+    assert content(store.read("t", "main")) == [(1, "b")] and content(store.read("u", "main")) == [(1, "x2")]

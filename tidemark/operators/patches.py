@@ -20,7 +20,7 @@ HALVES = {"--": "minus_minus", "-": "minus", "+": "plus", "++": "plus_plus"}
 def parse_changes(raw: DataFrame, row_type: T.StructType, pk: str, text: str = "change") -> DataFrame:
     """Feature changes as JSON text, one per row, to typed halves with a validity check."""
     halves = T.StructType([T.StructField(m, row_type) for m in HALVES] + [T.StructField("*", row_type)])
-    present = T.StructType([T.StructField(m, T.MapType(T.StringType(), T.StringType())) for m in ("+", "++", "-")])
+    present = T.StructType([T.StructField(m, T.MapType(T.StringType(), T.StringType())) for m in HALVES])
     parsed = raw.withColumn("_h", F.from_json(text, halves)).withColumn("_p", F.from_json(text, present))
 
     def half(mark: str) -> Column:
@@ -29,12 +29,16 @@ def parse_changes(raw: DataFrame, row_type: T.StructType, pk: str, text: str = "
     def fields(mark: str) -> Column:
         return F.map_keys(F.col("_p").getField(mark))
 
+    given = F.flatten(F.array_compact(F.array(*[fields(m) for m in HALVES])))
+    unknown = F.array_sort(F.array_distinct(F.array_except(given, F.array(*[F.lit(n) for n in row_type.fieldNames()]))))
     out = parsed.select(
         *raw.columns,
         *[half(m).alias(name) for m, name in HALVES.items()],
         F.coalesce(fields("++"), fields("+")).alias("present"),
         fields("-").alias("old_present"),
         half("*").isNotNull().alias("_star"),
+        unknown.alias("_unknown"),
+        F.col(text).alias("_text"),
     )
     has = {m: F.col(n).isNotNull() for m, n in HALVES.items()}
     key = F.coalesce(*[F.col(n)[pk] for n in ("minus_minus", "minus", "plus_plus", "plus")])
@@ -48,7 +52,8 @@ def parse_changes(raw: DataFrame, row_type: T.StructType, pk: str, text: str = "
     invalid = (
         F.when(F.col("_star"), F.lit("star is not allowed"))
         .when(has["++"] & has["--"], F.lit("both ++ and --"))
-        .when(kind.isNull(), F.lit("empty change"))
+        .when(kind.isNull(), F.when(F.get_json_object("_text", "$").isNull(), F.lit("no JSON object")).otherwise(F.lit("empty change")))
+        .when(F.size("_unknown") > 0, F.concat(F.lit("unknown fields: "), F.concat_ws(",", "_unknown")))
         .when(key.isNull(), F.lit("no primary key"))
     )
     return out.select(
@@ -57,14 +62,15 @@ def parse_changes(raw: DataFrame, row_type: T.StructType, pk: str, text: str = "
         kind.alias("change_type"),
         (has["+"] & ~has["-"] & ~has["++"]).alias("lone_plus"),
         invalid.alias("invalid"),
-    ).drop("_star")
+    ).drop("_star", "_unknown", "_text")
 
 
 def as_delta(parsed: DataFrame, pk: str) -> DataFrame:
-    """Delta frame of a valid parsed patch."""
+    """Delta frame of a parsed patch; a change that is not valid fails the job, none is left out."""
     old = F.coalesce("minus_minus", "minus")
     new = F.coalesce("plus_plus", "plus")
-    return parsed.filter(F.col("invalid").isNull()).select(
+    error = F.when(F.col("invalid").isNotNull(), F.raise_error(F.concat(F.lit("invalid change in patch: "), F.col("invalid"))))
+    return parsed.withColumn("_error", error.cast("string")).filter(F.col("_error").isNull()).select(
         old[pk].alias("old_key"),
         new[pk].alias("new_key"),
         "change_type",
@@ -157,12 +163,19 @@ def apply(delta: DataFrame, current: DataFrame, pk: str) -> DataFrame:
 def apply_checked(delta: DataFrame, current: DataFrame, pk: str, base: DataFrame | None = None) -> DataFrame:
     """As :func:`apply`, but any conflict fails the job before a row is returned.
 
-    The check is a scalar subquery, so nothing is applied when it is not zero. The patch
-    is needed for the check, for the rows that go and for those that come: it is parsed
-    once and written.
+    Rows that name only some of their fields are filled from ``base`` first; a field that is still
+    unknown is a conflict too. The check is a scalar subquery, so nothing is applied when it
+    is not zero. The patch is needed for the check, for the rows that go and for those that
+    come: it is parsed once and written.
     """
+    missing = None
+    if "present" in delta.columns:
+        delta = fill_partial(delta, base if base is not None else current.filter(F.lit(False)), pk)
     delta = cut(delta)
-    bad = conflicts(delta, current, pk, base).agg(F.count(F.lit(1)).alias("_bad"))
+    if "missing_fields" in delta.columns:
+        missing = delta.filter(F.col("missing_fields").isNotNull()).select(F.lit("missing fields").alias("reason"))
+    found = conflicts(delta, current, pk, base).select("reason")
+    bad = (found if missing is None else found.unionByName(missing)).agg(F.count(F.lit(1)).alias("_bad"))
     message = F.concat(F.lit("patch does not apply, conflicts: "), F.col("_bad").cast("string"))
     error = bad.select(F.when(F.col("_bad") > 0, F.raise_error(message)).cast("string"))
     return apply(delta, current, pk).filter(error.scalar().isNull())

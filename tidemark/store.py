@@ -20,6 +20,7 @@ import json
 import time
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -217,8 +218,16 @@ class VersionStore:
         stored = self._stored(v, self.resolve(revision))
         return v.schema.read(stored)
 
-    def _stored(self, v: Version, commit: str) -> DataFrame:
-        """Latest stored row per key: the newest snapshot on the chain, then later changes."""
+    def _changes(self, v: Version, after: int, commit: str) -> DataFrame:
+        """What the commits of a version stored after ``after``, as written."""
+        changes = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/data/{v.slot}/changes")
+        return changes.filter((F.col("seq") > after) & (F.col("seq") <= v.seq)).join(self._chain(commit), "commit_id", "left_semi")
+
+    def _stored(self, v: Version, commit: str, keys: DataFrame | None = None) -> DataFrame:
+        """Latest stored row per key: the newest snapshot on the chain, then later changes.
+
+        ``keys`` (columns by id) limits both to some keys before anything is gathered.
+        """
         chain = self._chain(commit)
         base = f"{self.root}/data/{v.slot}"
         pk = [c.id for c in v.schema.columns if c.pk_index is not None]
@@ -230,9 +239,11 @@ class VersionStore:
             if mark is not None:
                 start = mark.seq
                 rows = self.spark.read.parquet(f"{snaps}/seq={start}/commit_id={mark.commit_id}")
-        changes = self.spark.read.option("mergeSchema", "true").parquet(f"{base}/changes")
-        later = changes.filter((F.col("seq") > start) & (F.col("seq") <= v.seq)).join(chain, "commit_id", "left_semi")
-        cols = [c for c in changes.columns if c not in ("seq", "commit_id", "_op", *pk)]
+        later = self._changes(v, start, commit)
+        if keys is not None:
+            later = later.join(keys, pk, "left_semi")
+            rows = None if rows is None else rows.join(keys, pk, "left_semi")
+        cols = [c for c in later.columns if c not in ("seq", "commit_id", "_op", *pk)]
         latest = later.groupBy(*pk).agg(F.max_by(F.struct("_op", *cols), F.col("seq")).alias("_l"))
         put = latest.filter(F.col("_l._op") == "put").select(*pk, *[F.col("_l")[c].alias(c) for c in cols])
         if rows is None:
@@ -303,6 +314,12 @@ class VersionStore:
         bad = violation_examples(rows, schema).limit(5).collect()
         if bad:
             raise InvalidRows("; ".join(f"{b.column}: {b.value!r} breaks {b.rule}" for b in bad))
+        # Replay keeps one row per key, so a key that comes twice or not at all would lose rows.
+        counted = rows.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"))
+        absent = [F.col(k).isNull() for k in pk]
+        wrong = counted.filter(reduce(lambda x, y: x | y, absent, F.col("_n") > 1)).limit(5).collect()
+        if wrong:
+            raise InvalidRows(f"{path}: keys must be given and unique: " + "; ".join(repr(tuple(w[k] for k in pk)) for w in wrong))
         rekeyed = old is not None and not old.schema.pk_compatible(schema)
         facts = diffing.checksum(rows, pk).first()
         digest = hashlib.sha256(repr((tuple(facts), schema.to_json())).encode()).hexdigest()[:40]
@@ -344,7 +361,7 @@ class VersionStore:
             changes.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("commit_id", F.lit(commit_id))
             .write.mode("append").partitionBy("seq", "commit_id").parquet(f"{base}/changes")
         )
-        if seq % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
+        if self.versions().filter(F.col("slot") == slot).count() % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
             (
                 stored.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("commit_id", F.lit(commit_id))
                 .write.mode("append").partitionBy("seq", "commit_id").parquet(f"{base}/snapshots")
@@ -352,7 +369,7 @@ class VersionStore:
         sums = bucket_sums(p["rows"], p["pk"], BUCKETS)
         (
             sums.withColumn("slot", F.lit(slot)).withColumn("seq", F.lit(seq).cast("bigint"))
-            .coalesce(1).write.mode("append").partitionBy("slot", "seq").parquet(f"{self.root}/buckets")
+            .repartition(1).write.mode("append").partitionBy("slot", "seq").parquet(f"{self.root}/buckets")
         )
         self._append(
             "versions",
@@ -365,9 +382,10 @@ class VersionStore:
     def diff(self, path: str, a: str, b: str) -> DataFrame:
         """Feature deltas between two revisions.
 
-        ``a`` and ``b`` are read through the newer schema when the key did not change.
-        When the stored bucket checksums agree on most buckets, only rows of the others
-        are joined.
+        Between a version and a later one on the same first-parent chain the stored changes tell
+        which keys to look at, and only those are read from either version. Otherwise both
+        are read through the newer schema, if the key did not change; when the stored bucket
+        checksums agree on most buckets, only rows of the others are joined.
         """
         a, b = (self.resolve(r) or "[EMPTY]" for r in (a, b))
         va, vb = self.version(path, a), self.version(path, b)
@@ -377,6 +395,13 @@ class VersionStore:
             return diffing.diff(None, self.read(path, b), vb.schema.pk)
         if vb is None:
             return diffing.diff(self.read(path, a), None, va.schema.pk)
+        ends = sorted([(va.seq, a, va), (vb.seq, b, vb)], key=lambda x: x[0])
+        (_, _, low), (_, top, high) = ends
+        if va.slot == vb.slot and va.schema.pk_compatible(vb.schema) and self._on_chain(low.commit_id, top):
+            key_ids = [c.id for c in vb.schema.columns if c.pk_index is not None]
+            # Read by both sides, and small next to them: written once.
+            keys = cut(self._changes(high, low.seq, top).select(*key_ids).distinct())
+            return diffing.diff(vb.schema.read(self._stored(va, a, keys)), vb.schema.read(self._stored(vb, b, keys)), vb.schema.pk)
         old = vb.schema.read(self._stored(va, self.resolve(a))) if va.schema.pk_compatible(vb.schema) else self.read(path, a)
         new = self.read(path, b)
         pk = vb.schema.pk
@@ -390,6 +415,9 @@ class VersionStore:
             old, new = (self._in_buckets(d, pk, differing) for d in (old, new))
         return diffing.diff(old, new, pk)
 
+    def _on_chain(self, commit_id: str, tip: str) -> bool:
+        return self._chain(tip).filter(F.col("commit_id") == commit_id).limit(1).count() > 0
+
     @staticmethod
     def _in_buckets(df: DataFrame, pk: list[str], buckets: DataFrame) -> DataFrame:
         from tidemark.operators.aggregates import bucket_of
