@@ -129,9 +129,70 @@ def tree_changes(commits: DataFrame, versions: DataFrame) -> DataFrame:
     return both.filter(~F.col("old_tree").eqNullSafe(F.col("new_tree")))
 
 
-def typed_changes(changes: DataFrame, key: Sequence[str] = ("dataset", "key")) -> DataFrame:
-    """Adds ``change_type`` from the operation before it; a delete of nothing is dropped."""
-    seen = previous(changes, list(key), "seq", ["op"])
+def first_parent_lanes(commits: DataFrame) -> DataFrame:
+    """Commits dealt into lanes: ``seq, lane, up_lane, fork_seq``.
+
+    A lane goes on from a commit to the earliest of the commits that have it as first
+    parent; the others open lanes of their own, which hang on the commit with seq
+    ``fork_seq`` of lane ``up_lane``. A lane is named by the seq it starts at.
+    """
+    parent = commits.select(F.col("commit_id").alias("_p"), F.col("seq").alias("up"))
+    linked = commits.select("seq", F.get("parents", F.lit(0)).alias("_p")).join(parent, "_p", "left").select("seq", "up")
+    heirs = linked.filter(F.col("up").isNotNull()).groupBy("up").agg(F.min("seq").alias("heir"))
+    linked = cut(linked.join(heirs, "up", "left").select("seq", "up", F.coalesce(F.col("seq") == F.col("heir"), F.lit(False)).alias("goes_on")))
+    # Where each commit's lane starts: steps back along a lane, doubled from round to round.
+    steps = linked.select("seq", F.when(F.col("goes_on"), F.col("up")).otherwise(F.col("seq")).alias("lane"))
+    for _ in range(max(linked.count() - 1, 1).bit_length()):
+        on = steps.select(F.col("seq").alias("lane"), F.col("lane").alias("_next"))
+        steps = cut(steps.join(on, "lane").select("seq", F.col("_next").alias("lane")))
+    forks = linked.filter(~F.col("goes_on")).select(F.col("seq").alias("lane"), F.col("up").alias("fork_seq"))
+    above = steps.select(F.col("seq").alias("fork_seq"), F.col("lane").alias("up_lane"))
+    return cut(steps.join(forks.join(above, "fork_seq", "left"), "lane").select("seq", "lane", "up_lane", "fork_seq"))
+
+
+def previous_on_first_parents(changes: DataFrame, commits: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``changes`` with ``prev_<value>`` of the last change of the same key before it, along first parents.
+
+    The changes of a commit are those against its first parent. Inside a lane the change
+    before is the one with the next smaller seq. The first change of a key in a lane looks at
+    the lane it hangs on, up to the fork, then at the one above that: a round per nesting
+    of lanes, over the keys that have not been found yet.
+    """
+    key, values = list(key), list(values)
+    lanes = first_parent_lanes(commits)
+    rows = changes.join(lanes.select("seq", "lane"), "seq")
+    seen = cut(previous(rows.withColumn("own", F.col("seq")), [*key, "lane"], "seq", ["own", *values]).withColumnRenamed("prev_own", "prev_seq"))
+    table = seen.select(*key, F.col("lane").alias("up_lane"), F.col("seq").alias("_s"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    above = lanes.select("lane", "up_lane", "fork_seq").distinct()
+    todo = cut(seen.filter(F.col("prev_seq").isNull()).select(*key, F.col("seq").alias("_of"), "lane").join(above, "lane").filter(F.col("up_lane").isNotNull()).drop("lane"))
+    found = None
+    while not todo.isEmpty():
+        below = todo.join(table, [*key, "up_lane"]).filter(F.col("_s") <= F.col("fork_seq"))
+        hit = cut(below.groupBy(*key, "_of").agg(F.max_by(F.struct(*[f"_v_{v}" for v in values]), "_s").alias("_hit")))
+        found = hit if found is None else found.unionByName(hit)
+        rest = todo.join(hit.select(*key, "_of"), [*key, "_of"], "left_anti").select(*key, "_of", F.col("up_lane").alias("lane"))
+        todo = cut(rest.join(above, "lane").filter(F.col("up_lane").isNotNull()).drop("lane"))
+    out = seen
+    if found is not None:
+        out = out.join(found.withColumnRenamed("_of", "seq"), [*key, "seq"], "left")
+        out = out.withColumns({f"prev_{v}": F.when(F.col("prev_seq").isNull(), F.col(f"_hit._v_{v}")).otherwise(F.col(f"prev_{v}")) for v in values}).drop("_hit")
+    return out.select(*changes.columns, *[f"prev_{v}" for v in values])
+
+
+def on_chain(changes: DataFrame, graph: CommitGraph, tips: DataFrame) -> DataFrame:
+    """Changes of the commits on the first-parent chains of ``tips`` (column ``tip``)."""
+    chain = graph.commits.join(graph.first_parent_chain(tips).select("commit_id").distinct(), "commit_id", "left_semi")
+    return changes.join(chain.select("seq"), "seq", "left_semi")
+
+
+def typed_changes(changes: DataFrame, commits: DataFrame, key: Sequence[str] = ("dataset", "key"), values: Sequence[str] = ()) -> DataFrame:
+    """Adds ``change_type`` from the operation before it on first parents; a delete of nothing is dropped.
+
+    ``values`` come along as they were before, as ``prev_<value>``; NULL where there was no row.
+    """
+    seen = previous_on_first_parents(changes, commits, key, ["op", *values])
+    for v in values:
+        seen = seen.withColumn(f"prev_{v}", F.when(F.col("prev_op") == "put", F.col(f"prev_{v}")))
     was = F.coalesce(F.col("prev_op") == "put", F.lit(False))
     kind = (
         F.when((F.col("op") == "put") & was, "update").when(F.col("op") == "put", "insert").when(was, "delete")
@@ -158,7 +219,7 @@ def snapshot(changes: DataFrame, seq, key: Sequence[str] = ("dataset", "key"), v
 
 
 def row_history(changes: DataFrame, item: Column, key: Sequence[str] = ("dataset", "key"), values: Sequence[str] = ("value",)) -> DataFrame:
-    """Every version of an item with the version before it."""
+    """Every version of an item with the version before it, in the changes of one chain (see :func:`on_chain`)."""
     return previous(changes.filter(item), list(key), "seq", list(values))
 
 
@@ -206,7 +267,7 @@ def crs_applicable(rows: DataFrame, crs_history: DataFrame) -> DataFrame:
 
 
 def previous_import(items: DataFrame, key: Sequence[str], value: str) -> DataFrame:
-    """The last commit that changed a meta item, per item."""
+    """The last commit that changed a meta item, per item, in the items of one chain (see :func:`on_chain`)."""
     seen = previous(items, list(key), "seq", [value])
     changed = seen.filter(~F.col(value).eqNullSafe(F.col(f"prev_{value}")))
     return changed.groupBy(*key).agg(F.max("seq").alias("last_changed_seq"))

@@ -80,23 +80,59 @@ def joi13(spark, sf):
     return changed.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n_datasets"))
 
 
+#: For each commit the seqs of its strict ancestors on first parents, by walking parents.
+CHAIN = {
+    "own": "SELECT c.seq, c.commit_id, k.seq AS up FROM commits c LEFT JOIN commits k ON c.parent1 = k.commit_id",
+    "chain": "SELECT seq AS tip, up AS anc FROM own WHERE up IS NOT NULL UNION ALL SELECT c.tip, o.up FROM chain c JOIN own o ON c.anc = o.seq WHERE o.up IS NOT NULL",
+}
+#: Changes against the first parent: the last change of the key on the chain tells what was there.
 TYPED = """SELECT * FROM (SELECT seq, dataset, key, value, CASE WHEN op = 'put' AND was = 'put' THEN 'update' WHEN op = 'put' THEN 'insert' WHEN was = 'put' THEN 'delete' END AS change_type,
- CASE WHEN was = 'put' THEN old_value END AS old_value FROM (SELECT *, lag(op) OVER w AS was, lag(value) OVER w AS old_value FROM changes WINDOW w AS (PARTITION BY dataset, key ORDER BY seq)) a) b WHERE change_type IS NOT NULL"""
+ CASE WHEN was = 'put' THEN old_value END AS old_value FROM (SELECT a.seq, a.dataset, a.key, max(a.op) AS op, max(a.value) AS value, max_by(b.op, b.seq) AS was, arg_max_null(b.value, b.seq) AS old_value
+ FROM changes a LEFT JOIN (SELECT c.tip, x.* FROM chain c JOIN changes x ON x.seq = c.anc) b ON b.tip = a.seq AND b.dataset = a.dataset AND b.key = a.key GROUP BY a.seq, a.dataset, a.key) a) b WHERE change_type IS NOT NULL"""
+
+
+def chain_sql(**more: str) -> str:
+    return fx.ctes(commits=fx.COMMITS, changes=fx.CHANGES, **CHAIN, **more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def main_changes(spark, sf):
+    """Changes of the main line."""
+    g = graph(spark, sf)
+    return history.on_chain(fx.changes(spark, sf), g, tips(spark, sf, "main"))
+
+
+#: Changes of the main line, as SQL: its tip and what the tip's chain holds.
+MAIN = "SELECT x.* FROM changes x WHERE x.seq IN (SELECT max(seq) FROM commits WHERE seq % 5 <> 2) OR x.seq IN (SELECT anc FROM chain WHERE tip = (SELECT max(seq) FROM commits WHERE seq % 5 <> 2))"
+
+
+def commit_at(spark, sf, seq: int):
+    return fx.commits(spark, sf).filter(F.col("seq") == seq).select(F.col("commit_id").alias("tip"))
+
+
+def seen_from(spark, sf, seq: int):
+    """Seqs of a commit and all its ancestors."""
+    g = graph(spark, sf)
+    return g.commits.join(g.ancestors(commit_at(spark, sf, seq)).select("commit_id"), "commit_id", "left_semi").select("seq")
+
+
+SEEN_FROM = "SELECT seq FROM commits WHERE seq = {0} UNION SELECT k.seq FROM seen s JOIN commits c ON c.seq = s.seq JOIN commits k ON k.commit_id = c.parent1 OR k.commit_id = c.parent2"
 
 
 @query(
     "HIS4",
-    fx.ctes(changes=fx.CHANGES, typed=TYPED)
+    chain_sql(typed=TYPED)
     + """SELECT seq, dataset, CAST(count(*) FILTER (change_type = 'insert') AS BIGINT) AS inserts, CAST(count(*) FILTER (change_type = 'update') AS BIGINT) AS updates,
  CAST(count(*) FILTER (change_type = 'delete') AS BIGINT) AS deletes FROM typed GROUP BY seq, dataset""",
 )
 def his4(spark, sf):
-    return history.counts_per_commit(history.typed_changes(fx.changes(spark, sf)))
+    return history.counts_per_commit(history.typed_changes(fx.changes(spark, sf), fx.commits(spark, sf)))
 
 
-@query("HIS5", fx.ctes(changes=fx.CHANGES) + "SELECT dataset, key, value FROM (SELECT dataset, key, max_by(op, seq) AS op, max_by(value, seq) AS value FROM changes WHERE seq <= 17 GROUP BY dataset, key) s WHERE op = 'put'")
+@query("HIS5", fx.ctes(commits=fx.COMMITS, changes=fx.CHANGES, seen=SEEN_FROM.format(17)).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT dataset, key, value FROM (SELECT dataset, key, max_by(op, seq) AS op, max_by(value, seq) AS value FROM changes WHERE seq IN (SELECT seq FROM seen) GROUP BY dataset, key) s WHERE op = 'put'")
 def his5(spark, sf):
-    return history.snapshot(fx.changes(spark, sf), 17)
+    """Rows at a commit: only what the commit and its ancestors changed."""
+    seen = fx.changes(spark, sf).join(seen_from(spark, sf, 17), "seq", "left_semi")
+    return history.snapshot(seen, 17)
 
 
 @query("SRC4", graph_sql(changes=fx.CHANGES) + snapshot_sql("release"))
@@ -104,9 +140,10 @@ def src4(spark, sf):
     return snapshot_at(spark, sf, "release")
 
 
-@query("HIS6", fx.ctes(changes=fx.CHANGES) + "SELECT dataset, key, seq, value, lag(value) OVER (PARTITION BY dataset, key ORDER BY seq) AS prev_value FROM changes WHERE key % 2 = 0")
+@query("HIS6", chain_sql(line=MAIN) + "SELECT dataset, key, seq, value, lag(value) OVER (PARTITION BY dataset, key ORDER BY seq) AS prev_value FROM line WHERE key % 2 = 0")
 def his6(spark, sf):
-    out = history.row_history(fx.changes(spark, sf), F.col("key") % 2 == 0)
+    """Versions of rows on the main line."""
+    out = history.row_history(main_changes(spark, sf), F.col("key") % 2 == 0)
     return out.select("dataset", "key", "seq", "value", "prev_value")
 
 
@@ -124,9 +161,11 @@ def his7(spark, sf):
     return pairs.join(counts, ["branch", "upstream"]).select("name", "ahead", "behind")
 
 
-@query("HIS9", fx.ctes(trees=fx.TREES) + "SELECT path, max(seq) AS seq, max_by(tree, seq) AS tree FROM trees WHERE seq <= 20 GROUP BY path")
+@query("HIS9", fx.ctes(commits=fx.COMMITS, trees=fx.TREES, seen=SEEN_FROM.format(20)).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT path, max(seq) AS seq, max_by(tree, seq) AS tree FROM trees WHERE seq IN (SELECT seq FROM seen) GROUP BY path")
 def his9(spark, sf):
-    versions = fx.trees(spark, sf).withColumn("at", F.col("seq")).drop("commit_id")
+    """Datasets at a commit: only versions that it and its ancestors made."""
+    seen = fx.trees(spark, sf).join(seen_from(spark, sf, 20), "seq", "left_semi")
+    versions = seen.withColumn("at", F.col("seq")).drop("commit_id")
     return snapshots.version_at(versions, 20).select("path", F.col("at").alias("seq"), "tree")
 
 
@@ -201,31 +240,29 @@ def his14(spark, sf):
 
 @query(
     "HIS15",
-    fx.ctes(commits=fx.COMMITS, changes=fx.CHANGES, typed=TYPED)
+    chain_sql(typed=TYPED)
     + """SELECT c.commit_id, t.dataset, CAST(count(*) AS BIGINT) AS n FROM commits c JOIN typed t ON c.seq = t.seq WHERE c.seq % 3 <> 0 GROUP BY 1, 2""",
 )
 def his15(spark, sf):
     commits = fx.commits(spark, sf)
     known = commits.filter("seq % 3 = 0").select("commit_id")
     todo = history.missing_annotations(commits, known)
-    typed = history.typed_changes(fx.changes(spark, sf))
+    typed = history.typed_changes(fx.changes(spark, sf), commits)
     return todo.select("commit_id", "seq").join(typed, "seq").groupBy("commit_id", "dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "DIF21",
-    fx.ctes(commits=fx.COMMITS, changes=fx.CHANGES, typed=TYPED)
+    chain_sql(typed=TYPED)
     + """SELECT c.commit_id, c.author, t.dataset, t.key, t.change_type, t.old_value, CASE WHEN t.change_type <> 'delete' THEN t.value END AS new_value FROM typed t JOIN commits c ON c.seq = t.seq""",
 )
 def dif21(spark, sf):
-    """Every commit against its predecessor, with the commit's header."""
-    seen = history.previous(fx.changes(spark, sf), ["dataset", "key"], "seq", ["op", "value"])
-    was = F.coalesce(F.col("prev_op") == "put", F.lit(False))
-    kind = F.when((F.col("op") == "put") & was, "update").when(F.col("op") == "put", "insert").when(was, "delete")
-    deltas = seen.withColumn("change_type", kind).filter(F.col("change_type").isNotNull())
-    return fx.commits(spark, sf).select("seq", "commit_id", "author").join(deltas, "seq").select(
-        "commit_id", "author", "dataset", "key", "change_type",
-        F.when(was, F.col("prev_value")).alias("old_value"), F.when(F.col("change_type") != "delete", F.col("value")).alias("new_value"),
+    """Every commit against its first parent, with the commit's header."""
+    commits = fx.commits(spark, sf)
+    deltas = history.typed_changes(fx.changes(spark, sf), commits, values=["value"])
+    return commits.select("seq", "commit_id", "author").join(deltas, "seq").select(
+        "commit_id", "author", "dataset", "key", "change_type", F.col("prev_value").alias("old_value"),
+        F.when(F.col("change_type") != "delete", F.col("value")).alias("new_value"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import content_id, text_content_id
 from tidemark.operators import aggregates, diffing, keygen, ordering, schemas, workspace
 from tidemark.plans import fixtures as fx
+from tidemark.plans import q_history
 from tidemark.plans.q_diff import COLS, PK, WITH_DIFF
 from tidemark.plans.registry import query
 from tidemark.schema import ColumnSpec, VersionedSchema
@@ -207,14 +208,15 @@ def imp7(spark, sf):
 
 @query(
     "IMP9",
-    fx.ctes(changes=fx.CHANGES)
-    + """SELECT dataset, key, max(seq) AS last_changed_seq FROM (SELECT *, lag(v) OVER (PARTITION BY dataset, key ORDER BY seq) AS p FROM (SELECT dataset, key, seq, CAST(floor(value / 50) AS BIGINT) AS v FROM changes) a) b
+    q_history.chain_sql(line=q_history.MAIN)
+    + """SELECT dataset, key, max(seq) AS last_changed_seq FROM (SELECT *, lag(v) OVER (PARTITION BY dataset, key ORDER BY seq) AS p FROM (SELECT dataset, key, seq, CAST(floor(value / 50) AS BIGINT) AS v FROM line) a) b
 WHERE v IS DISTINCT FROM p GROUP BY dataset, key""",
 )
 def imp9(spark, sf):
+    """The last change of an item on the main line."""
     from tidemark.operators.history import previous_import
 
-    items = fx.changes(spark, sf).withColumn("v", F.floor(F.col("value") / 50).cast("bigint"))
+    items = q_history.main_changes(spark, sf).withColumn("v", F.floor(F.col("value") / 50).cast("bigint"))
     return previous_import(items, ["dataset", "key"], "v")
 
 

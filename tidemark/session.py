@@ -36,9 +36,11 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see; a fresh local one only where the session names none."""
+    """The folder all executors see: the one the session names, or a fresh one where all run on this machine."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="tidemark-")
     if context.getCheckpointDir() is None:
