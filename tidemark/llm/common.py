@@ -58,3 +58,14 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         before = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: str, spread_by: str, salts: int = 16) -> DataFrame:
+    """Inner join of ``rows`` with ``few``, which has one row per value of ``on``.
+
+    A value that a third of all rows carry would be one task's work, so each row of ``few``
+    is repeated per salt and the rows are dealt to the salts by the hash of ``spread_by``.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [on, "_salt"]).drop("_salt")

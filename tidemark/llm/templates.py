@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import identity
+from tidemark.llm.common import identity, salted_join
 from tidemark.session import cut
 
 #: Leading tokens that lead to a leaf.
@@ -79,12 +79,12 @@ def recurring(docs: DataFrame, *, depth: int = DEPTH, least_docs: int = LEAST_DO
     table = cut(lines_of(docs, depth))
     lines = cut(line_templates(docs, table, depth, least_docs, constant))
     at = table.select("doc_id", "key", F.posexplode("lines").alias("at", "x")).where("x IS NOT NULL").select("doc_id", "key", "at", "x.h")
-    standing = cut(at.join(lines, "h").drop("h"))
+    standing = cut(salted_join(at, lines, "h", "key").drop("h"))
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
     in_docs = standing.groupBy("template", "doc_id", "key").agg(F.lit(1).alias("one"))
     found = in_docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= least_docs)
     found = found.select("template", "docs", F.col("first.key").alias("first"))
-    gone = standing.join(found, "template").where(F.col("key") != F.col("first")).groupBy("key").agg(F.collect_set("at").alias("out"))
+    gone = salted_join(standing, found, "template", "key").where(F.col("key") != F.col("first")).groupBy("key").agg(F.collect_set("at").alias("out"))
     return found, gone
 
 
