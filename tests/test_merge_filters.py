@@ -70,3 +70,17 @@ def test_lookup_of_missing_key(spark):
     assert [r.name for r in filters.lookup(df, keys, "fid").collect()] == ["b"]
     with pytest.raises(Exception, match="no row with key 7"):
         filters.lookup(df, keys, "fid", ignore_missing=False).collect()
+
+
+def test_a_file_resolves_only_what_it_answers(spark):
+    from tidemark.operators import merging
+
+    ancestor = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    ours = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "k long, v string")
+    theirs = spark.createDataFrame([(1, "y"), (2, "y"), (3, "y")], "k long, v string")
+    found = merging.conflicts(merging.merge(ancestor, ours, theirs, ["k"]))
+    edited = spark.createDataFrame([(1, "z")], "k long, v string")
+    assert [(r.key, r.row.v) for r in merging.resolve_from(found, edited, ["k"]).collect()] == [(1, "z")]
+    keys = spark.createDataFrame([(1,), (2,)], "key long")
+    answered = {r.key: r.row for r in merging.resolve_from(found, edited, ["k"], keys=keys).collect()}
+    assert set(answered) == {1, 2} and answered[2] is None and answered[1].v == "z"

@@ -137,3 +137,16 @@ def test_extent_by_matches_pairwise_union(spark):
     around = spark.createDataFrame([("c", float(w), 0.0, float(w + 2 if w < 178 else w - 358), 1.0) for w in range(-180, 180)], "k string, w double, s double, e double, n double")
     around = around.select("k", envelopes.lonlat_box(*[F.col(c) for c in "wsen"]).alias("box"))
     assert tuple(spatial.extent_by(around, ["k"]).select("w", "e").first()) == (-180.0, 180.0)
+
+
+def test_area_part_inside_a_polygon(spark):
+    square = lambda x, y, s: [[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]
+    area = spatial.Area([square(100.0, 0.0, 1.0), square(5.0, 5.0, 1.0)])
+    shape = geometry.from_wkt(F.lit("POLYGON((0 0,20 0,20 20,0 20,0 0))"))
+    assert spark.range(1).select(area.intersects(shape).alias("hit")).first().hit
+
+
+def test_unlisted_system_stays_out_of_the_index(spark):
+    g = geometry.point(F.lit(10.0), F.lit(20.0))
+    rows = spark.createDataFrame([("a", "EPSG:4326"), ("b", "EPSG:4326"), ("b", "EPSG:9999")], "oid string, crs string").withColumn("geom", g)
+    assert [r.oid for r in spatial.index_entries(rows).collect()] == ["a"]

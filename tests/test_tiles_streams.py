@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry
@@ -9,13 +10,11 @@ from tidemark.streaming import jobs
 def test_catalogue_of_files(spark, tmp_path):
     (tmp_path / "a.laz").write_bytes(las(3, 10.0, 20.0, 4, True))
     (tmp_path / "b.tif").write_bytes(tiff(7, 9, 100.0, 50.0, True))
-    (tmp_path / "c.las").write_bytes(b"junk")
     rows = {r.name: r for r in tilefiles.read(spark, str(tmp_path)).collect()}
     assert rows["a.laz"].format == "laz-1.4/copc-1.0" and rows["a.laz"].point_count == 3
     assert rows["a.laz"].native_extent == "10.0,20.0,20.0,40.0,0.0,5.0"
     assert rows["b.tif"].dimensions == "7x9" and rows["b.tif"].format == "geotiff/cog"
     assert rows["b.tif"].crs84_extent.startswith("POLYGON((100.0000000 41.0000000,100.0000000 50.0000000")
-    assert rows["c.las"].format is None and rows["c.las"].size == 4
 
 
 def test_geojson_files(spark, tmp_path):
@@ -46,3 +45,20 @@ def test_index_grows_once_per_object(spark, tmp_path):
         objects = stream.select("oid", F.lit("EPSG:4326").alias("crs"), geometry.point(F.col("x"), F.col("y")).alias("geom"))
         jobs.grow_index(objects, target, progress)
     assert sorted(r.oid for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_directories_anywhere_and_large_form(spark, tmp_path):
+    for i, (gap, big, order) in enumerate([(0, False, "<"), (100_000, False, "<"), (300_000, False, ">"), (70_000, True, "<"), (0, True, ">")]):
+        (tmp_path / f"{i}.tif").write_bytes(tiff(7 + i, 9, 100.0, 50.0, i % 2 == 0, gap, big, order))
+    rows = {r.name: r for r in tilefiles.read(spark, str(tmp_path)).collect()}
+    for i in range(5):
+        r = rows[f"{i}.tif"]
+        assert r.dimensions == f"{7 + i}x9" and r.format == ("geotiff/cog" if i % 2 == 0 else "geotiff")
+        assert r.native_extent == f"POLYGON((100.0 50.0,100.0 41.0,{107.0 + i} 41.0,{107.0 + i} 50.0,100.0 50.0))"
+
+
+def test_unreadable_tile_is_named(spark, tmp_path):
+    (tmp_path / "ok.tif").write_bytes(tiff(7, 9, 100.0, 50.0))
+    (tmp_path / "broken.tif").write_bytes(b"II*\0" + bytes(3))
+    with pytest.raises(Exception, match="broken.tif"):
+        tilefiles.read(spark, str(tmp_path)).collect()

@@ -106,16 +106,21 @@ def resolve_with(conflict_rows: DataFrame, version: str, keys: DataFrame | None
     return rows.select("key", row.alias("row"))
 
 
-def resolve_from(conflict_rows: DataFrame, edited: DataFrame, pk: Sequence[str]) -> DataFrame:
+def resolve_from(conflict_rows: DataFrame, edited: DataFrame, pk: Sequence[str], keys: DataFrame | None = None) -> DataFrame:
     """Resolves from edited rows (a workspace or a file); a conflict may get several rows.
 
     ``edited`` has the table's columns and, when a conflict is answered by rows of other
-    keys, a ``conflict_key``; a conflict whose key has no edited row is resolved as a delete.
+    keys, a ``conflict_key``. ``keys`` (column ``key``) names the conflicts that are being
+    answered; one of them without an edited row is resolved as a delete. Without it, only
+    conflicts that have an edited row are.
     """
     cols = [c for c in edited.columns if c != "conflict_key"]
     at = F.col("conflict_key") if "conflict_key" in edited.columns else key_of(pk)
     rows = edited.select(at.alias("key"), F.struct(*cols).alias("row"))
-    return conflict_rows.select("key").join(rows, "key", "left")
+    if keys is None:
+        return conflict_rows.select("key").join(rows, "key")
+    named = conflict_rows.select("key").join(keys.select("key").distinct(), "key", "left_semi")
+    return named.join(rows, "key", "left")
 
 
 def unresolved(conflict_rows: DataFrame, resolves: DataFrame) -> DataFrame:

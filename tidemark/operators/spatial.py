@@ -57,7 +57,8 @@ class Area:
         ]
         # One literal of JSON text: the optimiser folds it once, however many edges.
         self.edges = F.from_json(F.lit(json.dumps(edges)), EDGES)
-        self.corner = self.polygons[0][0][0]
+        #: A corner of every part: a part may lie inside a row's polygon without touching its edges.
+        self.corners = [p[0][0] for p in self.polygons]
 
     @classmethod
     def parse(cls, spec: str, spark) -> Area | None:
@@ -155,8 +156,13 @@ class Area:
         return F.exists(F.flatten(geom["parts"]), ring_hits)
 
     def _surrounded(self, geom: Column) -> Column:
-        """The area's corner inside a polygon of the row."""
-        cx, cy = F.lit(float(self.corner[0])), F.lit(float(self.corner[1]))
+        """A corner of any part of the area inside a polygon of the row."""
+        corners = F.from_json(F.lit(json.dumps([{"x": float(x), "y": float(y)} for x, y in self.corners])), "array<struct<x:double,y:double>>")
+        return F.exists(corners, lambda c: self._holds(geom, c["x"], c["y"]))
+
+    @staticmethod
+    def _holds(geom: Column, cx: Column, cy: Column) -> Column:
+        """A point inside a polygon of the row, by the even-odd rule."""
 
         def crossings(ring: Column) -> Column:
             segments = F.zip_with(
@@ -244,7 +250,8 @@ def index_entries(objects: DataFrame, crs_column: str = "crs", geom: str = "geom
     """``oid, box`` of every object: the union of its boxes under all systems it may be in.
 
     ``objects`` has one row per object and applicable system. A box in a plainly wrong system
-    is skipped if others remain; any other failure leaves the object out of the index.
+    is skipped if others remain; any other failure, and a system that is not among
+    ``known``, leaves the object out of the index: its box would be too small.
     """
     g = F.col(geom)
     boxes = None
@@ -254,7 +261,7 @@ def index_entries(objects: DataFrame, crs_column: str = "crs", geom: str = "geom
     rows = objects.filter(has_shape(g)).withColumn("_b", boxes)
     per_object = rows.groupBy("oid").agg(
         F.collect_set(F.when(F.col("_b.problem").isNull(), F.struct("_b.w", "_b.s", "_b.e", "_b.n"))).alias("_boxes"),
-        F.max((F.col("_b.problem") == "unclear").cast("int")).alias("_unclear"),
+        F.max((F.col("_b").isNull() | F.coalesce(F.col("_b.problem") == "unclear", F.lit(False))).cast("int")).alias("_unclear"),
     )
     united = per_object.filter(F.coalesce("_unclear", F.lit(0)) == 0).withColumn(
         "box", envelopes.union_all(F.array_sort(F.col("_boxes")).cast(f"array<{envelopes.BOX}>"))

@@ -26,25 +26,37 @@ def las(k: int, x: float, y: float, minor: int = 4, copc: bool = False) -> bytes
     return bytes(head) + tail + str(k).encode()
 
 
-def tiff(width: int, height: int, x: float, y: float, tiled: bool = False) -> bytes:
-    """A little-endian TIFF directory with size, pixel scale 1 and a tie point at x, y."""
+#: What writers of cloud-optimised files put behind the header (fixed value).
+LAYOUT = b"GDAL_STRUCTURAL_METADATA_SIZE=000023 bytes\nLAYOUT=IFDS_BEFORE_DATA\n"
+
+
+def tiff(width: int, height: int, x: float, y: float, tiled: bool = False, gap: int = 0, big: bool = False, order: str = "<") -> bytes:
+    """A TIFF directory with size, pixel scale 1 and a tie point at x, y, behind ``gap`` bytes of pixels.
+
+    A tiled one carries the mark of cloud-optimised files. ``big`` makes the 64-bit form.
+    """
+    mark = LAYOUT if tiled else b""
+    at = (16 if big else 8) + len(mark) + gap
     tags = [(256, 3, 1, width), (257, 3, 1, height)]
     if tiled:
         tags.append((322, 3, 1, 256))
     count = len(tags) + 2
-    data_at = 8 + 2 + 12 * count + 4
+    data_at = at + (8 + 20 * count + 8 if big else 2 + 12 * count + 4)
     tags += [(33550, 12, 3, data_at), (33922, 12, 6, data_at + 24)]
-    body = struct.pack("<H", count)
+    body = struct.pack(order + ("Q" if big else "H"), count)
     for tag, kind, n, value in tags:
-        body += struct.pack("<HHI", tag, kind, n) + (struct.pack("<HH", value, 0) if kind == 3 else struct.pack("<I", value))
-    body += struct.pack("<I", 0) + struct.pack("<3d", 1.0, 1.0, 0.0) + struct.pack("<6d", 0, 0, 0, x, y, 0)
-    return b"II" + struct.pack("<HI", 42, 8) + body
+        field = struct.pack(order + ("H" if kind == 3 else "Q" if big else "I"), value)
+        body += struct.pack(order + ("HHQ" if big else "HHI"), tag, kind, n) + field.ljust(8 if big else 4, b"\0")
+    body += bytes(8 if big else 4) + struct.pack(order + "3d", 1.0, 1.0, 0.0) + struct.pack(order + "6d", 0, 0, 0, x, y, 0)
+    name = b"II" if order == "<" else b"MM"
+    head = name + (struct.pack(order + "HHHQ", 43, 8, 0, at) if big else struct.pack(order + "HI", 42, at))
+    return head + mark + bytes(gap) + body
 
 
 def _batch(k: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
     out = []
     for a, b, c in zip(k.to_pylist(), x.to_pylist(), y.to_pylist()):
-        out.append(tiff(a % 500 + 1, a % 300 + 1, b, c, a % 10 == 4) if a % 5 == 4 else las(a, b, c, 4 if a % 3 else 2, a % 5 == 3))
+        out.append(tiff(a % 500 + 1, a % 300 + 1, b, c, a % 10 == 4, 100_000 if a % 20 == 9 else 0, a % 3 == 0, "<" if a % 4 else ">") if a % 5 == 4 else las(a, b, c, 4 if a % 3 else 2, a % 5 == 3))
     return pa.array(out, pa.binary())
 
 

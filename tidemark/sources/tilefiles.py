@@ -11,7 +11,7 @@ import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.tiles import corner_ring, format_summary, native_box, raster_format
@@ -20,12 +20,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HEADER = (
     "struct<kind:string,version:string,compressed:boolean,copc:boolean,pdrf:int,record_length:int,points:bigint,"
-    "native_extent:string,width:int,height:int,cog:boolean>"
+    "native_extent:string,width:int,height:int,cog:boolean,order:string,scale_at:bigint,tie_at:bigint>"
 )
 _FIELDS = [
     ("kind", pa.string()), ("version", pa.string()), ("compressed", pa.bool_()), ("copc", pa.bool_()), ("pdrf", pa.int32()),
     ("record_length", pa.int32()), ("points", pa.int64()), ("native_extent", pa.string()), ("width", pa.int32()),
-    ("height", pa.int32()), ("cog", pa.bool_()),
+    ("height", pa.int32()), ("cog", pa.bool_()), ("order", pa.string()), ("scale_at", pa.int64()), ("tie_at", pa.int64()),
 ]
 
 
@@ -48,61 +48,124 @@ def las_header(data: bytes) -> dict | None:
     }
 
 
-def tiff_header(data: bytes) -> dict | None:
-    """Size, placement and tiling of the first image of a classic TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+class _Tiff:
+    """Number forms of a TIFF: byte order and, for the large form, wider counts and offsets."""
+
+    def __init__(self, head: bytes) -> None:
+        self.order = {b"II": "<", b"MM": ">"}[head[:2]]
+        self.big = struct.unpack_from(self.order + "H", head, 2)[0] == 43
+        self.entry, self.wide, self.first = ("HHQ", "Q", 12) if self.big else ("HHI", "I", 8)
+
+    def tags(self, directory: bytes) -> dict[int, tuple[int, int, bytes]]:
+        """Type, count and value field of each tag of a directory."""
+        n = struct.unpack_from(self.order + ("Q" if self.big else "H"), directory, 0)[0]
+        start, size = (8, 20) if self.big else (2, 12)
+        out = {}
+        for i in range(n):
+            at = start + size * i
+            tag, kind, count = struct.unpack_from(self.order + self.entry, directory, at)
+            out[tag] = (kind, count, directory[at + self.first : at + size])
+        return out
+
+    def number(self, value: tuple[int, int, bytes]) -> int:
+        form = {3: "H", 4: "I", 16: "Q"}[value[0]]
+        return struct.unpack_from(self.order + form, value[2], 0)[0]
+
+    def offset(self, value: tuple[int, int, bytes]) -> int:
+        return struct.unpack_from(self.order + self.wide, value[2], 0)[0]
+
+
+def tiff_layout(head: bytes, directory: bytes | None) -> dict | None:
+    """Size and tiling of the first image of a TIFF, and where its placement is written.
+
+    ``cog`` is told by the layout mark that writers of cloud-optimised files put behind the
+    header, on a tiled image.
+    """
+    if head[:4] not in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+") or not directory:
         return None
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        tags[tag] = (kind, count, at + 10 + 12 * i)
-
-    def number(tag: int) -> int:
-        kind, _, pos = tags[tag]
-        return struct.unpack_from(order + ("H" if kind == 3 else "I"), data, pos)[0]
-
-    def doubles(tag: int) -> list[float]:
-        _, count, pos = tags[tag]
-        return list(struct.unpack_from(f"{order}{count}d", data, struct.unpack_from(order + "I", data, pos)[0]))
-
-    width, height = number(256), number(257)
-    extent = None
+    form = _Tiff(head)
+    tags = form.tags(directory)
+    mark = head[16 if form.big else 8 :]
+    cog = 322 in tags and b"LAYOUT=IFDS_BEFORE_DATA" in mark and b"KNOWN_INCOMPATIBLE_EDITION=YES" not in mark
+    out = {"kind": "geotiff", "width": form.number(tags[256]), "height": form.number(tags[257]), "cog": cog, "order": form.order}
     if 33550 in tags and 33922 in tags:
-        sx, sy = doubles(33550)[:2]
-        i, j, _, x, y = doubles(33922)[:5]
-        x0, y1 = x - i * sx, y + j * sy
-        x1, y0 = x0 + width * sx, y1 - height * sy
-        extent = f"POLYGON(({x0!r} {y1!r},{x0!r} {y0!r},{x1!r} {y0!r},{x1!r} {y1!r},{x0!r} {y1!r}))"
-    return {"kind": "geotiff", "native_extent": extent, "width": width, "height": height, "cog": 322 in tags and at < 1024}
+        out |= {"scale_at": form.offset(tags[33550]), "tie_at": form.offset(tags[33922])}
+    return out
+
 
+def tiff_extent(order: str, width: int, height: int, scale: bytes, tie: bytes) -> str:
+    """The ring of an image from its pixel scale and tie point."""
+    sx, sy = struct.unpack_from(order + "2d", scale, 0)
+    i, j, _, x, y = struct.unpack_from(order + "5d", tie, 0)
+    x0, y1 = x - i * sx, y + j * sy
+    x1, y0 = x0 + width * sx, y1 - height * sy
+    return f"POLYGON(({x0!r} {y1!r},{x0!r} {y0!r},{x1!r} {y0!r},{x1!r} {y1!r},{x0!r} {y1!r}))"
 
-def _headers(column: pa.Array) -> pa.Array:
+
+def _headers(heads: pa.Array, directories: pa.Array) -> pa.Array:
     rows = []
-    for v in column.to_pylist():
+    for head, directory in zip(heads.to_pylist(), directories.to_pylist()):
         row = None
-        if v is not None:
+        if head is not None:
             try:
-                row = las_header(v) or tiff_header(v)
+                row = las_header(head) or tiff_layout(head, directory)
             except (struct.error, KeyError, IndexError):
                 row = None
         rows.append(row)
     return pa.array(rows, pa.struct(_FIELDS))
 
 
+def _extents(order: pa.Array, width: pa.Array, height: pa.Array, scale: pa.Array, tie: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (order, width, height, scale, tie)))
+    return pa.array([None if None in r else tiff_extent(*r) for r in rows], pa.string())
+
+
+def _unsigned(content: Column, at: Column | int, size: int, little: Column) -> Column:
+    """An unsigned number of ``size`` bytes at a place of the content, in either byte order."""
+    start = F.lit(at) if isinstance(at, int) else at
+    digits = F.hex(F.substring(content, (start + 1).cast("int"), F.lit(size)))
+    turned = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
+    return F.conv(F.when(little, turned).otherwise(digits), 16, 10).cast("bigint")
+
+
+def tiff_directory(content: Column) -> Column:
+    """The first directory of a TIFF, wherever in the file it is; NULL for other files.
+
+    Its place is in the header and its length at its start, so just these bytes are cut out.
+    """
+    little = F.substring(content, 1, 2) == F.lit(b"II")
+    magic = _unsigned(content, 2, 2, little)
+
+    def cut_out(at: Column, count: int, entry: int) -> Column:
+        n = _unsigned(content, at, count, little)
+        return F.substring(content, (at + 1).cast("int"), (n * entry + count).cast("int"))
+
+    tiff = little | (F.substring(content, 1, 2) == F.lit(b"MM"))
+    return F.when(tiff & (magic == 42), cut_out(_unsigned(content, 4, 4, little), 2, 12)).when(tiff & (magic == 43), cut_out(_unsigned(content, 8, 8, little), 8, 20))
+
+
+#: A LAS header and the record behind it end here at the latest: its size is a 16-bit number.
+HEAD_BYTES = (1 << 16) + 64
+
+
 def catalogue(files: DataFrame, crs: str = "EPSG:4326", url: bool = False) -> DataFrame:
     """One summary row per tile file. With ``url`` the path is kept and the file stays where it is.
 
-    The id is taken from the whole content; the header reader is given the first bytes
-    only, so that whole tiles never travel to Python.
+    The id is taken from the whole content. The header readers are given the header, the
+    directory and the values they need, cut out at their own places in the file, so that
+    whole tiles never travel to Python. A file that is no tile fails the job by name.
     """
-    head = F.arrow_udf(_headers, HEADER)(F.substring("content", 1, 65536))
-    rows = files.select(
+    content = F.col("content")
+    head = F.arrow_udf(_headers, HEADER)(F.substring("content", 1, HEAD_BYTES), tiff_directory(content))
+    error = F.raise_error(F.concat(F.lit("not a readable tile file: "), F.col("path")))
+    read_rows = files.withColumn("h", head).withColumn("_error", F.when(F.col("h").isNull(), error).cast("string")).filter(F.col("_error").isNull())
+    values = [F.substring(content, (F.col(f"h.{at}") + 1).cast("int"), F.lit(n)) for at, n in (("scale_at", 16), ("tie_at", 40))]
+    placed = F.arrow_udf(_extents, "string")(F.col("h.order"), F.col("h.width"), F.col("h.height"), *values)
+    rows = read_rows.withColumn("_extent", placed).select(
         F.element_at(F.split("path", "/"), -1).alias("name"),
         F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("oid"),
         F.octet_length("content").cast("bigint").alias("size"),
-        head.alias("h"),
+        F.struct("h.*", F.coalesce("h.native_extent", "_extent").alias("extent")).alias("h"),
         *([F.col("path").alias("url")] if url else []),
     )
     las = F.col("h.kind") == "las"
@@ -112,13 +175,13 @@ def catalogue(files: DataFrame, crs: str = "EPSG:4326", url: bool = False) -> Da
             F.when(F.col("h.compressed"), "laz").otherwise("las"), F.col("h.version"), F.when(F.col("h.copc"), F.lit("copc")), F.lit("1.0")
         ),
     ).when(F.col("h.kind") == "geotiff", raster_format(F.coalesce("h.cog", F.lit(False))))
-    box = native_box(F.col("h.native_extent"))
+    box = native_box(F.col("h.extent"))
     return rows.select(
         "name",
         fmt.alias("format"),
-        F.when(F.col("h.native_extent").isNotNull(), corner_ring(box, crs)).alias("crs84_extent"),
+        F.when(F.col("h.extent").isNotNull(), corner_ring(box, crs)).alias("crs84_extent"),
         F.when(F.col("h.width").isNotNull(), F.concat_ws("x", "h.width", "h.height")).alias("dimensions"),
-        F.col("h.native_extent").alias("native_extent"),
+        F.col("h.extent").alias("native_extent"),
         F.col("h.points").alias("point_count"),
         F.col("h.pdrf").alias("pdrf"),
         F.col("h.record_length").alias("record_length"),
