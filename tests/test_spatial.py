@@ -55,7 +55,7 @@ def test_byte_order_and_opaque(spark):
     curve = struct.pack("<BII", 1, 8, 0)
     rows = spark.createDataFrame([(bytearray(big),), (bytearray(curve),), (bytearray(b"junk"),)], "b binary").select(wkb.decode(F.col("b")).alias("g")).collect()
     assert (rows[0].g.minx, rows[0].g.miny) == (5.0, 6.0)
-    assert rows[1].g.kind == "TYPE8" and rows[2].g is None
+    assert rows[1].g.kind == "CIRCULARSTRING" and rows[1].g.empty and rows[2].g is None
 
 
 def test_geojson(spark):
@@ -150,3 +150,30 @@ def test_unlisted_system_stays_out_of_the_index(spark):
     g = geometry.point(F.lit(10.0), F.lit(20.0))
     rows = spark.createDataFrame([("a", "EPSG:4326"), ("b", "EPSG:4326"), ("b", "EPSG:9999")], "oid string, crs string").withColumn("geom", g)
     assert [r.oid for r in spatial.index_entries(rows).collect()] == ["a"]
+
+
+def collection(*members: bytes, order: str = "<", srid: int | None = None) -> bytes:
+    mark = b"\x01" if order == "<" else b"\x00"
+    code = struct.pack(order + "I", 7 if srid is None else 7 | 0x20000000) + (b"" if srid is None else struct.pack(order + "I", srid))
+    return mark + code + struct.pack(order + "I", len(members)) + b"".join(members)
+
+
+def test_collections_keep_their_bytes(spark, tmp_path):
+    from tidemark.sinks.export import export
+
+    point = struct.pack("<BIdd", 1, 1, 3.0, 4.0)
+    curve = struct.pack("<BIIdddddd", 1, 8, 3, 0, 0, 1, 1, 2, 0)
+    given = {1: collection(point), 2: collection(), 3: curve, 4: collection(point, order=">"), 5: collection(point, srid=2193), 6: b"junk", 7: struct.pack("<BII", 1, 99, 0)}
+    df = spark.createDataFrame([(k, v) for k, v in given.items()], "k int, b binary").withColumn("g", wkb.decode(F.col("b")))
+    rows = {r.k: r for r in df.withColumn("out", wkb.to_wkb(F.col("g"))).withColumn("gp", wkb.to_gpkg(F.col("g"))).withColumn("again", wkb.decode(F.col("gp"))).collect()}
+    assert [rows[k].g.empty for k in (1, 2, 3, 4, 5)] == [False, True, False, False, False]
+    assert rows[3].g.kind == "CIRCULARSTRING" and rows[5].g.srid == 2193 and rows[6].g is None and rows[7].g is None
+    assert all(bytes(rows[k].out) == given[k] for k in (1, 2, 3, 4))
+    assert bytes(rows[5].out) == collection(point) and bytes(rows[1].gp)[8:] == given[1]
+    assert rows[1].again.kind == "GEOMETRYCOLLECTION" and bytes(rows[1].again.raw) == given[1]
+    area = spatial.Area.parse("EPSG:4326;POLYGON((50 50,51 50,51 51,50 50))", spark)
+    assert df.filter("k = 1").select(area.matches(F.col("g")).alias("m")).first().m  # what is not decoded matches
+    export(df.filter("k < 6").select("k", "g"), str(tmp_path / "out"), "parquet", geom="g", pk="k", drop_null=True, drop_empty=True)
+    assert {r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1, 3, 4, 5}
+    with pytest.raises(Exception, match="cannot be moved"):
+        df.filter("k = 1").select(spatial.reproject(F.col("g"), "EPSG:4326", "EPSG:3857", F.col("k"))).collect()

@@ -4,6 +4,7 @@ A geometry is decoded once, when a table is read, into::
 
     kind, has_z, has_m, srid, empty, minx, miny, maxx, maxy, minz, maxz,
     parts: members -> rings or lines -> points -> [x, y(, z)(, m)]
+    raw: the bytes of collections and curves, which are not decoded; they have no parts and no box
 
 The box is kept as plain doubles, so box filters reach the Parquet scan.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 PARTS = "array<array<array<array<double>>>>"
 GEOMETRY = (
     "struct<kind:string,has_z:boolean,has_m:boolean,srid:int,empty:boolean,minx:double,miny:double,"
-    f"maxx:double,maxy:double,minz:double,maxz:double,parts:{PARTS}>"
+    f"maxx:double,maxy:double,minz:double,maxz:double,parts:{PARTS},raw:binary>"
 )
 
 #: WKB type codes of the kinds that are decoded (fixed values).
@@ -31,6 +32,11 @@ KINDS = {
     6: "MULTIPOLYGON",
     7: "GEOMETRYCOLLECTION",
 }
+#: Codes of the kinds that are kept as bytes (fixed values).
+OPAQUE = {
+    7: "GEOMETRYCOLLECTION", 8: "CIRCULARSTRING", 9: "COMPOUNDCURVE", 10: "CURVEPOLYGON", 11: "MULTICURVE", 12: "MULTISURFACE",
+    15: "POLYHEDRALSURFACE", 16: "TIN", 17: "TRIANGLE",
+}
 
 
 def all_points(parts: Column) -> Column:
@@ -71,6 +77,7 @@ def _struct(kind, has_z, has_m, srid, parts) -> Column:
             F.when(head["has_z"], low(2)).alias("minz"),
             F.when(head["has_z"], high(2)).alias("maxz"),
             head["parts"].alias("parts"),
+            F.lit(None).cast("binary").alias("raw"),
         )
 
     head = F.struct(
@@ -100,6 +107,7 @@ def point(x: Column, y: Column, srid: int = 0) -> Column:
         none.alias("minz"),
         none.alias("maxz"),
         F.array(F.array(F.array(F.array(x, y)))).alias("parts"),
+        F.lit(None).cast("binary").alias("raw"),
     )
 
 
@@ -160,9 +168,9 @@ def type_name(geom: Column) -> Column:
 
 
 def envelope(geom: Column) -> Column:
-    """``minx, maxx, miny, maxy``; NULL for an empty geometry."""
+    """``minx, maxx, miny, maxy``; NULL for an empty geometry and for one that is not decoded."""
     return F.when(
-        ~geom["empty"],
+        ~geom["empty"] & geom["raw"].isNull(),
         F.struct(geom["minx"].alias("minx"), geom["maxx"].alias("maxx"), geom["miny"].alias("miny"), geom["maxy"].alias("maxy")),
     )
 
@@ -178,14 +186,18 @@ def promote(geom: Column) -> Column:
 
 
 def map_points(geom: Column, move: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """The geometry with every x, y moved; other ordinates stay. The box is found anew."""
+    """The geometry with every x, y moved; other ordinates stay. The box is found anew.
+
+    Kinds kept as bytes fail the job: leaving them where they are would be wrong silently.
+    """
 
     def moved(p: Column) -> Column:
         x, y = move(p[0], p[1])
         return F.concat(F.array(x, y), F.slice(p, 3, F.greatest(F.size(p) - 2, F.lit(0))))
 
     parts = F.transform(geom["parts"], lambda m: F.transform(m, lambda r: F.transform(r, moved)))
-    return F.when(geom.isNotNull(), _struct(geom["kind"], geom["has_z"], geom["has_m"], geom["srid"], parts))
+    error = F.raise_error(F.concat(F.lit("points of this kind are not decoded and cannot be moved: "), geom["kind"]))
+    return F.when(geom["raw"].isNotNull(), error).when(geom.isNotNull(), _struct(geom["kind"], geom["has_z"], geom["has_m"], geom["srid"], parts))
 
 
 #: GeoJSON spellings of the kinds (fixed values).
@@ -200,7 +212,7 @@ GEOJSON_KINDS = {
 
 
 def to_geojson(geom: Column) -> Column:
-    """GeoJSON text of a geometry."""
+    """GeoJSON text of a geometry; a kind kept as bytes fails the job, as it has no text here."""
     parts = geom["parts"]
     kind = geom["kind"]
     spelled = F.create_map(*[F.lit(v) for pair in GEOJSON_KINDS.items() for v in pair])
@@ -213,4 +225,6 @@ def to_geojson(geom: Column) -> Column:
         .when(kind == "MULTILINESTRING", F.to_json(F.flatten(parts)))
         .when(kind == "MULTIPOLYGON", F.to_json(parts))
     )
-    return F.concat(F.lit('{"type":"'), F.element_at(spelled, kind), F.lit('","coordinates":'), coords, F.lit("}"))
+    text = F.concat(F.lit('{"type":"'), F.element_at(spelled, kind), F.lit('","coordinates":'), coords, F.lit("}"))
+    error = F.raise_error(F.concat(F.lit("no GeoJSON of this kind: "), kind))
+    return F.when(geom["raw"].isNotNull(), error).otherwise(text)

@@ -15,9 +15,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.geometry import GEOMETRY, KINDS
+from tidemark.functions.geometry import GEOMETRY, KINDS, OPAQUE
 
-_CODES = {v: k for k, v in KINDS.items()}
+_CODES = {v: k for k, v in (KINDS | OPAQUE).items()}
 _SINGLE = {4: 1, 5: 2, 6: 3}
 #: Size of the box in a GeoPackage header by its indicator (fixed values).
 _BOX_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
@@ -32,6 +32,7 @@ _ARROW = pa.struct(
         ("empty", pa.bool_()),
         *[(n, pa.float64()) for n in ("minx", "miny", "maxx", "maxy", "minz", "maxz")],
         ("parts", pa.list_(pa.list_(pa.list_(_POINT)))),
+        ("raw", pa.binary()),
     ]
 )
 
@@ -75,9 +76,10 @@ def _member(data: bytes, at: int, base: int, dims: int, order: str) -> tuple[lis
 
 
 def parse(data: bytes) -> tuple | None:
-    """``kind, z, m, srid, members`` of WKB, EWKB or GeoPackage bytes; ``None`` if not one.
+    """``kind, z, m, srid, members, raw`` of WKB, EWKB or GeoPackage bytes; ``None`` if not one.
 
-    Collections and curves keep their kind but have no members: they stay opaque.
+    Collections and curves keep their kind and their bytes, but have no members: they stay
+    opaque. Bytes of no known kind are an error, so that nothing is taken for empty.
     """
     try:
         srid = 0
@@ -87,12 +89,13 @@ def parse(data: bytes) -> tuple | None:
             order = "<" if flags & 1 else ">"
             srid = struct.unpack_from(order + "i", data, 4)[0]
             at = 8 + _BOX_BYTES[(flags >> 1) & 7]
+        start = at
         order, base, z, m, inner, at = _header(data, at)
         srid = inner or srid
         dims = 2 + z + m
         if base in (1, 2, 3):
             rings, _ = _member(data, at, base, dims, order)
-            return KINDS[base], z, m, srid, [rings] if rings else []
+            return KINDS[base], z, m, srid, [rings] if rings else [], None
         if base in _SINGLE:
             n = struct.unpack_from(order + "I", data, at)[0]
             at += 4
@@ -101,16 +104,23 @@ def parse(data: bytes) -> tuple | None:
                 order, _, _, _, _, at = _header(data, at)
                 rings, at = _member(data, at, _SINGLE[base], dims, order)
                 members.append(rings)
-            return KINDS[base], z, m, srid, members
-        return KINDS.get(base, f"TYPE{base}"), z, m, srid, None
+            return KINDS[base], z, m, srid, members, None
+        return OPAQUE[base], z, m, srid, None, data[start:]
     except (struct.error, ValueError, IndexError, KeyError):
         return None
 
 
-def _lists(counts: list[int], values: pa.Array) -> pa.Array:
+def _lists(counts: list[int], values: pa.Array, nulls: list[bool] | None = None) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, dtype="i4")
     np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    mask = pa.array(nulls, pa.bool_()) if nulls and any(nulls) else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
+
+
+def _elements(raw: bytes) -> int:
+    """Members, points or rings that an opaque geometry says it has."""
+    order, _, _, _, _, at = _header(raw, 0)
+    return struct.unpack_from(order + "I", raw, at)[0]
 
 
 def decode_batch(column: pa.Array) -> pa.Array:
@@ -130,7 +140,7 @@ def decode_batch(column: pa.Array) -> pa.Array:
                 dims.append(np.full(len(r), r.shape[1], dtype="i4"))
                 coords.append(r.ravel())
                 own.append(r)
-        empties.append(not own)
+        empties.append(not own if not g or g[5] is None else _elements(g[5]) == 0)
         if own:
             lows = np.min([np.nanmin(r, axis=0) for r in own], axis=0)
             highs = np.max([np.nanmax(r, axis=0) for r in own], axis=0)
@@ -140,7 +150,8 @@ def decode_batch(column: pa.Array) -> pa.Array:
     flat = pa.array(np.concatenate(coords) if coords else np.empty(0), pa.float64())
     sizes = np.concatenate(dims) if dims else np.empty(0, "i4")
     points = _lists(list(sizes), flat)
-    parts = _lists(member_counts, _lists(ring_counts, _lists(point_counts, points)))
+    raws = [g[5] if g else None for g in parsed]
+    parts = _lists(member_counts, _lists(ring_counts, _lists(point_counts, points)), [r is not None for r in raws])
     nulls = np.array([g is None for g in parsed], dtype=bool)
     fields = [
         pa.array([g[0] if g else None for g in parsed], pa.string()),
@@ -150,6 +161,7 @@ def decode_batch(column: pa.Array) -> pa.Array:
         pa.array([e if g else None for e, g in zip(empties, parsed)], pa.bool_()),
         *[pa.array(boxes[:, j], pa.float64(), from_pandas=True) for j in range(6)],
         parts,
+        pa.array(raws, pa.binary()),
     ]
     return pa.StructArray.from_arrays(fields, fields=list(_ARROW), mask=pa.array(nulls))
 
@@ -166,6 +178,10 @@ def encode_one(g: dict | None, srid: int | None = None) -> bytes | None:
     else:
         code = base | (0x80000000 if g["has_z"] else 0) | (0x40000000 if g["has_m"] else 0) | 0x20000000
         head = struct.pack("<BII", 1, code, srid)
+    if g["raw"] is not None:  # the own header, the body as it came
+        raw_order, *_, body = _header(g["raw"], 0)
+        head = g["raw"][:1] + b"".join(struct.pack(raw_order + "I", x) for x in struct.unpack(f"<{len(head) // 4}I", head[1:]))
+        return head + g["raw"][body:]
     parts = g["parts"] if g["parts"] is not None else []
 
     def ring(points) -> bytes:
@@ -192,7 +208,7 @@ def gpkg_one(g: dict | None) -> bytes | None:
     if g is None:
         return None
     wkb = encode_one(g)
-    if g["empty"] or g["kind"] == "POINT":
+    if g["empty"] or g["kind"] == "POINT" or g["raw"] is not None:
         return b"GP\x00" + bytes([0x11 if g["empty"] else 0x01]) + struct.pack("<i", 0) + wkb
     box = [g["minx"], g["maxx"], g["miny"], g["maxy"]] + ([g["minz"], g["maxz"]] if g["has_z"] else [])
     flags = 0x01 | ((2 if g["has_z"] else 1) << 1)
