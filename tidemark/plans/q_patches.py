@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions import geometry
+from tidemark.functions import geometry, wkb
 from tidemark.operators import algebra, diffing, patches, spatial
 from tidemark.operators.ordering import delta_order
 from tidemark.plans import fixtures as fx
@@ -344,11 +344,16 @@ def snk8(spark, sf):
     return features.select("key", geom["minx"].alias("x"), geom["miny"].alias("y"), F.get_json_object("feature", "$.properties.name").alias("name"))
 
 
-@query("SNK8_JSON")
+@query("SNK8_JSON", fx.ctes(p=fx.POINTS) + "SELECT fid AS key, CAST(fid AS STRING) AS fid, name, x, y, TRUE AS whole FROM p")
 def snk8_json(spark, sf):
-    """Rows as JSON with geometry as hex WKB."""
+    """Rows as JSON with geometry as hex WKB, read back."""
     p = fx.points(spark, sf).select("fid", "name", spatial.point(F.col("x"), F.col("y")).alias("geom"))
-    return render.rows_json(p, "fid")
+    rows = render.rows_json(p, "fid")
+    text = [c for c in rows.columns if c != "key"][0]
+    field = lambda n: F.get_json_object(text, f"$.{n}")
+    shape = wkb.decode_hex(field("geom"))
+    out = rows.select("key", field("fid").alias("fid"), field("name").alias("name"), shape.alias("g"), F.json_array_length(F.to_json(F.json_object_keys(text))).alias("n"))
+    return out.select("key", "fid", "name", F.col("g.minx").alias("x"), F.col("g.miny").alias("y"), (F.col("n") == 3).alias("whole"))
 
 
 @query("DIF19", fx.ctes(p=fx.POINTS) + "SELECT fid AS key, CAST(round(x * 111319.490793273572, 3) AS DECIMAL(18,3)) AS old_x, CAST(round((x + 1) * 111319.490793273572, 3) AS DECIMAL(18,3)) AS new_x FROM p WHERE abs(y) < 85 AND fid % 2 = 0")

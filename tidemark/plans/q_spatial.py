@@ -202,14 +202,21 @@ def geo13(spark, sf):
     return out.select("fid", *[rounded(F.col(f"b.{c}"), 9).alias(c) for c in "wsen"], F.col("b.problem").alias("problem"))
 
 
-@query("GEO13_TM")
+@query("GEO13_TM", fx.ctes(b=NATIVE) + "SELECT fid, TRUE AS covers, TRUE AS narrow, CAST(NULL AS STRING) AS problem FROM b")
 def geo13_tm(spark, sf):
-    """Boxes of a transverse Mercator grid in degrees, some of them across the antimeridian."""
+    """Boxes of a transverse Mercator grid, some across the antimeridian: each holds its border and is not much wider."""
     b = fx.derive(spark, sf, NATIVE)
     k = F.col("fid")
     x0, y0 = F.lit(1000000.0) + k % 1500 * 1000, F.lit(4800000.0) + k % 1300 * 1000
-    box = envelopes.project_box("EPSG:2193", x0, y0, x0 + k % 7 * 60000, y0 + k % 5 * 40000)
-    return b.select("fid", box.alias("b")).select("fid", "b.*")
+    x1, y1 = x0 + k % 7 * 60000, y0 + k % 5 * 40000
+    boxes = b.select("fid", envelopes.project_box("EPSG:2193", x0, y0, x1, y1).alias("b"))
+    corners = [crs.to_lonlat("EPSG:2193", x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), ((x0 + x1) / 2, y0), ((x0 + x1) / 2, y1))]
+    east = [F.pmod(lon - F.col("b.w"), F.lit(360.0)) for lon, _ in corners]
+    lats = [lat for _, lat in corners]
+    width = F.pmod(F.col("b.e") - F.col("b.w"), F.lit(360.0))
+    covers = (F.greatest(*east) <= width + 1e-9) & (F.least(*lats) >= F.col("b.s") - 1e-9) & (F.greatest(*lats) <= F.col("b.n") + 1e-9)
+    narrow = (width <= F.greatest(*east) - F.least(*east) + 0.3) & (F.col("b.n") - F.col("b.s") <= F.greatest(*lats) - F.least(*lats) + 0.5)
+    return boxes.select("fid", covers.alias("covers"), narrow.alias("narrow"), F.col("b.problem").alias("problem"))
 
 
 RECTANGLE = [(-60.5, -30.5), (70.5, -30.5), (70.5, 40.5), (-60.5, 40.5), (-60.5, -30.5)]
@@ -225,8 +232,14 @@ def geo14(spark, sf):
     return s.select("fid", spatial.Area([[RECTANGLE]]).intersects(F.col("geom")).alias("hits"))
 
 
-@query("GEO14_LINES")
+@query(
+    "GEO14_LINES",
+    WITH
+    + """SELECT fid, CASE shape WHEN 0 THEN x BETWEEN -60.5 AND 70.5 AND y BETWEEN -30.5 AND 40.5 WHEN 2 THEN x <= 70.5 AND x + 2 >= -60.5 AND y <= 40.5 AND y + 1 >= -30.5
+ WHEN 1 THEN (y BETWEEN -30.5 AND 40.5 AND x <= 70.5 AND x + 1 >= -60.5) OR greatest(0, (-61.5 - x) / 2, -30.5 - y) <= least(1, (69.5 - x) / 2, 40.5 - y) ELSE TRUE END AS hits FROM shapes""",
+)
 def geo14_lines(spark, sf):
+    """All kinds, lines of two segments among them; empty shapes match."""
     s = shapes(spark, sf)
     return s.select("fid", spatial.Area([[RECTANGLE]]).matches(F.col("geom")).alias("hits"))
 
