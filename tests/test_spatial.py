@@ -134,6 +134,10 @@ def test_extent_by_matches_pairwise_union(spark):
     got = {r.k: (r.w, r.s, r.e, r.n) for r in spatial.extent_by(df, ["k"]).collect()}
     assert got["a"] == pytest.approx((170.0, 0.0, -160.0, 5.0))
     assert got["b"] == pytest.approx((-20.0, -1.0, 20.0, 1.0))
+    # A gap of half a degree in a ring of boxes is found too.
+    ring = spark.createDataFrame([("g", float(w), 0.0, float(w + 1) if w < 179 else -180.0, 1.0) for w in range(-180, 180) if w != 40] + [("g", 40.5, 0.0, 41.0, 1.0)], "k string, w double, s double, e double, n double")
+    found = spatial.extent_by(ring.select("k", envelopes.lonlat_box(*[F.col(c) for c in "wsen"]).alias("box")), ["k"]).first()
+    assert (found.w, found.e) == pytest.approx((40.5, 40.0))
     around = spark.createDataFrame([("c", float(w), 0.0, float(w + 2 if w < 178 else w - 358), 1.0) for w in range(-180, 180)], "k string, w double, s double, e double, n double")
     around = around.select("k", envelopes.lonlat_box(*[F.col(c) for c in "wsen"]).alias("box"))
     assert tuple(spatial.extent_by(around, ["k"]).select("w", "e").first()) == (-180.0, 180.0)

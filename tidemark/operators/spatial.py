@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import envelopes, geometry
@@ -282,46 +283,37 @@ def query_index(rows: DataFrame, index: DataFrame, area_box: tuple[float, float,
     return joined.filter(hit).drop("box")
 
 
+#: Pieces of a degree that west edges are sorted in.
+EXTENT_CELLS = 64
+
+
 def extent_by(rows: DataFrame, by: Sequence[str], box_column: str = "box") -> DataFrame:
     """Narrowest box around all boxes of a group, the antimeridian included.
 
-    Boxes are first merged by the whole degree their west edge lies in, so a group is at
-    most 360 ranges before the widest gap between them is looked for. Gaps of less than
-    a degree are not.
+    The box starts where the widest stretch without any box ends. Boxes are sorted by their
+    west edge inside cells of a fraction of a degree, never a whole group in one task; how
+    far east earlier cells reach is a window over at most ``360 * EXTENT_CELLS`` rows per group.
     """
     b = F.col(box_column)
-    start = F.floor(envelopes.wrap_lon(b["w"]) + 180).cast("int")
-    per_degree = rows.groupBy(*by, start.alias("_d")).agg(
-        F.min(envelopes.wrap_lon(b["w"])).alias("_w"),
-        F.max(envelopes.wrap_lon(b["w"]) + (envelopes.unwrap_east(b["w"], b["e"]) - b["w"])).alias("_e"),
-        F.min(b["s"]).alias("_s"),
-        F.max(b["n"]).alias("_n"),
-    )
-    grouped = per_degree.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("_w", "_e"))).alias("_r"), F.min("_s").alias("s"), F.max("_n").alias("n")
-    )
-    r = F.col("_r")
-    ahead = F.concat(r, F.array(F.struct((r[0]["_w"] + 360).alias("_w"), (r[0]["_e"] + 360).alias("_e"))))
-    # Walk the ranges east; remember the widest gap and where it ends.
-    init = F.struct(
-        F.greatest(F.array_max(F.transform(r, lambda x: x["_e"])) - 360, r[0]["_w"]).alias("reach"),
-        F.lit(0.0).alias("gap"), r[0]["_w"].alias("west"),
-    )
-    walked = F.aggregate(
-        F.slice(ahead, 2, F.size(r)),
-        F.struct(F.greatest(init["reach"], r[0]["_e"]).alias("reach"), init["gap"].alias("gap"), init["west"].alias("west")),
-        lambda acc, x: F.struct(
-            F.greatest(acc["reach"], x["_e"]).alias("reach"),
-            F.greatest(acc["gap"], x["_w"] - acc["reach"]).alias("gap"),
-            F.when(x["_w"] - acc["reach"] > acc["gap"], x["_w"]).otherwise(acc["west"]).alias("west"),
-        ),
+    west = envelopes.wrap_lon(b["w"])
+    flat = rows.select(*by, west.alias("_w"), (west + (envelopes.unwrap_east(b["w"], b["e"]) - b["w"])).alias("_e"), b["s"].alias("_s"), b["n"].alias("_n"))
+    flat = flat.withColumn("_c", F.floor((F.col("_w") + 180) * EXTENT_CELLS).cast("int"))
+    cells = flat.groupBy(*by, "_c").agg(F.max("_e").alias("_e"), F.min("_s").alias("_s"), F.max("_n").alias("_n"))
+    group = W.partitionBy(*by)
+    before = group.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    # What lies furthest east also lies 360 degrees before the first box.
+    cells = cells.select(
+        *by, "_c", F.greatest(F.max("_e").over(before), F.max("_e").over(group) - 360).alias("_reach"),
+        F.min("_s").over(group).alias("s"), F.max("_n").over(group).alias("n"),
     )
-    out = grouped.withColumn("_k", walked)
-    west = F.col("_k.west")
-    east = west + 360 - F.col("_k.gap")
+    inside = W.partitionBy(*by, "_c").orderBy("_w").rowsBetween(W.unboundedPreceding, -1)
+    met = flat.select(*by, "_c", "_w", F.max("_e").over(inside).alias("_own")).join(cells, [*by, "_c"])
+    gap = F.col("_w") - F.greatest("_own", "_reach")
+    widest = met.groupBy(*by).agg(F.max(F.struct(gap.alias("gap"), (-F.col("_w")).alias("west"))).alias("_k"), F.first("s").alias("s"), F.first("n").alias("n"))
+    start = -F.col("_k.west")
     around = F.col("_k.gap") <= 0
-    ww, ee = envelopes.wrap_edges(west, east)
-    return out.select(
+    ww, ee = envelopes.wrap_edges(start, start + 360 - F.col("_k.gap"))
+    return widest.select(
         *by,
         F.when(around, F.lit(-180.0)).otherwise(ww).alias("w"), "s",
         F.when(around, F.lit(180.0)).otherwise(ee).alias("e"), "n",

@@ -278,7 +278,19 @@ def agg14(spark, sf):
     return joined.select("fid", "u.w", "u.s", "u.e", "u.n")
 
 
-@query("AGG14_EXTENT")
+@query(
+    "AGG14_EXTENT",
+    fx.ctes(
+        b=BOXES,
+        r="SELECT c_nationkey, w, CASE WHEN w <= e THEN e ELSE e + 360 END AS e, s, n FROM b JOIN customer ON c_custkey = fid",
+        g="SELECT *, w - greatest(coalesce(max(e) OVER (PARTITION BY c_nationkey ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000.0), max(e) OVER (PARTITION BY c_nationkey) - 360) AS gap FROM r",
+        k="SELECT c_nationkey, max(gap) AS gap, min(s) AS s, max(n) AS n FROM g GROUP BY c_nationkey",
+        p="SELECT k.c_nationkey, k.gap, k.s, k.n, min(g.w) AS w, min(g.w) + 360 - k.gap AS e FROM k JOIN g ON g.c_nationkey = k.c_nationkey AND g.gap = k.gap GROUP BY k.c_nationkey, k.gap, k.s, k.n",
+        q=f"SELECT *, {wrap_sql('w')} AS a, {wrap_sql('e')} AS c FROM p",
+    )
+    + """SELECT c_nationkey, CASE WHEN gap <= 0 THEN -180.0 WHEN abs((greatest(a, c) - least(a, c)) - (e - w)) <= 0.001 THEN least(a, c) ELSE greatest(a, c) END AS w, s,
+ CASE WHEN gap <= 0 THEN 180.0 WHEN abs((greatest(a, c) - least(a, c)) - (e - w)) <= 0.001 THEN greatest(a, c) ELSE least(a, c) END AS e, n FROM q""",
+)
 def agg14_extent(spark, sf):
     """Extent of every nation's boxes, the antimeridian included."""
     b = fx.derive(spark, sf, BOXES).select("fid", envelopes.lonlat_box(*[F.col(c) for c in "wsen"]).alias("box"))
