@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -72,6 +73,38 @@ def test_sentence_spans_leave_the_first(spark):
     assert "cat" in changed.made and changed.n_removed > 0
 
 
+def test_sentence_spans_find_short_passages_cut_in_mid_sentence(spark):
+    """Passages of 50 to 80 words and one to four clauses, set into foreign words on either side without a mark between."""
+    r = random.Random(7)
+    made = lambda n: ["".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(2, 9))) for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(60):
+        passage, clauses = made(r.randint(50, 80)), i % 4 + 1
+        for k in range(1, clauses):
+            passage[len(passage) * k // clauses] += ","
+        for j in (0, 1):
+            ahead, after = made(r.randint(5, 60)), made(r.randint(5, 60))
+            rows.append((2 * i + j, " ".join([*ahead, *passage, *after]) + ".", "en", "a"))
+            planted[2 * i + j] = (passage, ahead + after)
+    out = {x.doc_id: x.made.split() for x in sentence_spans.dedup(docs(spark, rows)).select("row.doc_id", "made").collect()}
+    share = []
+    for i, (passage, others) in planted.items():
+        left = Counter(out[i])
+        if i % 2 == 0:
+            assert out[i] == rows[i][1].split()  # the first stays whole
+            continue
+        assert not Counter(w for w in others[:-1]) - left  # nothing else goes
+        share.append(1 - sum((Counter(passage) & left).values()) / len(passage))
+    assert min(share) > 0 and sum(share) / len(share) > 0.6 and sum(x >= 0.5 for x in share) >= 0.8 * len(share)
+
+
+def test_sentence_spans_know_marks_of_other_scripts(spark):
+    passage = "今天的天气非常好我们一起去公园散步。孩子们在草地上奔跑并且大声地笑着！老人坐在长椅上安静地看着远处的湖水，微风轻轻吹过树梢带来花香。"
+    rows = [(1, "开头的一句话在这里" + "。" + passage + "结尾甲", "zh", "a"), (2, "另外一个完全不同的开头。" + passage + "末尾乙", "zh", "a")]
+    out = {x.doc_id: x.made for x in sentence_spans.dedup(docs(spark, rows)).select("row.doc_id", "made").collect()}
+    assert out == {1: rows[0][1], 2: "另外一个完全不同的开头。末尾乙"}
+
+
 def test_templates_generalise_fields(spark):
     rows = [(i, f"unique start {chr(97 + i)}{chr(98 + i)} text\nUser {i} logged in from host{i} at noon today\nClosing words number {i}{i} of this", "en", "a") for i in range(12)]
     rows += [(50, "User logged in", "en", "a"), (51, None, "en", "a")]

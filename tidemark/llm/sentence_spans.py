@@ -2,71 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WHITE
 from tidemark.session import cut
 
-#: A sentence ends at any of these marks or at the end of a line. Commas count too: a passage
-#: that was cut out in mid-sentence still holds whole clauses.
-SENTENCE = r"[^.!?;:,\n]+[.!?;:,\n]*|[.!?;:,\n]+"
-#: Sentences in a run.
+#: Marks that end a sentence, of several scripts. Commas count too: a passage that was cut out
+#: in mid-sentence still holds whole clauses.
+MARKS = ".!?;:,\\n。．！？；：，、…؟،؛।॥։።"
+SENTENCE = f"[^{MARKS}]+[{MARKS}]*|[{MARKS}]+"
+#: Sentences of so many characters are cut into pieces, before spaces told by the letters beside
+#: them, so that a passage has the same pieces wherever its sentence begins and ends.
+LONG = 60
+PIECE = r"(?s).+?[bdfhjlnprtvxzаеийоя](?=[\x20\t]+[aeimquyAEIMQUYвнопсВНОПС])|.+"
+#: Pieces in a run.
 RUN = 3
 #: Shorter runs, in characters, are no passages: a few stock words may meet anywhere.
 LEAST_CHARS = 60
+#: Characters from which fewer than ``RUN`` pieces are a run (some 20 words), and pieces in the
+#: longest run; runs longer than ``RUN`` are made where as many pieces are too short.
+ALONE_CHARS, MOST = 100, 8
+
+
+def sentences(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
+
+
+def pieces(cutup: Column) -> Column:
+    """(c, s): the number of the sentence and the text of each piece of the sentences ``cutup``."""
+
+    def cut_one(x: Column, c: Column) -> Column:
+        parts = F.when(F.length(x) >= LONG, F.regexp_extract_all(x, F.lit(PIECE), F.lit(0))).otherwise(F.array(x))
+        return F.transform(parts, lambda s: F.struct(c.alias("c"), s.alias("s")))
+
+    return F.flatten(F.transform(cutup, cut_one))
 
 
 def spans(docs: DataFrame, *, run: int = RUN, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, mark (hash of the text), n (sentences) and h: the hash of the run that starts at each sentence.
+    """doc_id, mark (hash of the text), n (pieces) and runs: (at, k, h), first piece, number of pieces and hash.
 
-    Runs below ``least_chars`` are NULL. A text of fewer sentences than ``run`` is one run.
+    From each piece there is a run of ``run`` pieces if it has ``least_chars``, one of fewer if
+    it has ``ALONE_CHARS``, and one of more, up to ``MOST``, if it is the shortest of enough
+    characters from its first piece on or to its last. A text of fewer pieces is one run.
     """
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    cutup = text.select("doc_id", F.xxhash64("t").alias("mark"), F.regexp_extract_all("t", F.lit(SENTENCE), F.lit(0)).alias("s"))
+    cutup = text.select("doc_id", F.xxhash64("t").alias("mark"), F.transform(pieces(sentences(F.col("t"))), lambda x: x["s"]).alias("s"))
     parts = cutup.select("doc_id", "mark", F.size("s").alias("n"), F.transform("s", lambda x: F.xxhash64(F.btrim(x, F.lit(WHITE)))).alias("w"), F.transform("s", lambda x: F.length(x)).alias("l"))
-    size = lambda i: sum((F.coalesce(F.get("l", i + k), F.lit(0)) for k in range(1, run)), F.get("l", i))
-    mix = lambda i: F.xxhash64(*[F.coalesce(F.get("w", i + k), F.lit(0).cast("bigint")) for k in range(run)])
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - run, F.lit(0)))
-    hashed = F.transform(starts, lambda i: F.when(size(i) >= least_chars, mix(i)))
-    return parts.select("doc_id", "mark", "n", F.when(F.col("n") > 0, hashed).otherwise(F.array().cast("array<bigint>")).alias("h"))
+    n, most = F.col("n"), max(run, MOST)
+    size = lambda i, k: sum((F.coalesce(F.get("l", i + j), F.lit(0)) for j in range(1, k)), F.get("l", i))
+    made = lambda i, k: F.struct(i.alias("at"), F.lit(k).alias("k"), F.xxhash64(*[F.get("w", i + j) for j in range(k)]).alias("h"))
+
+    def from_here(i: Column) -> Column:
+        fits = lambda k: i + k <= n
+        few = [F.when(fits(k) & (size(i, k) >= max(ALONE_CHARS, least_chars)), made(i, k)) for k in range(1, run)]
+        more = [
+            F.when(fits(k) & (size(i, k) >= least_chars) & ((size(i, k - 1) < least_chars) | (size(i + 1, k - 1) < least_chars)), made(i, k)) for k in range(run + 1, most + 1)
+        ]
+        usual = [*few, F.when(fits(run) & (size(i, run) >= least_chars), made(i, run))]
+        if not more:
+            return F.array(*usual)
+        return F.when((size(i, run) < least_chars) | (size(i + 1, run) < least_chars), F.array(*usual, *more)).otherwise(F.array(*usual))
+
+    runs = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_here)), lambda x: x.isNotNull())
+    total = F.aggregate("l", F.lit(0), lambda a, x: a + x)
+    whole = F.array(F.struct(F.lit(0).alias("at"), n.alias("k"), F.xxhash64(F.col("w")).alias("h")))
+    none = F.slice(whole, 1, 0)
+    short = F.when((n > 0) & (total >= least_chars), whole).otherwise(none)
+    return parts.select("doc_id", "mark", "n", F.when(n >= run, runs).otherwise(short).alias("runs"))
 
 
 def repeated(docs: DataFrame, *, run: int = RUN, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Where non-first repeats start: doc_id, mark, starts (sentence numbers), one row per document that has any.
+    """Where non-first repeats stand: doc_id, mark, spots (at, k), one row per document that has any.
 
     Occurrences are ordered by doc_id (NULL last), text hash and place. Counting comes first and
     is combined before the shuffle, so that a run found in every document is one row per task;
     only runs found twice are then looked at with their places.
     """
     table = cut(spans(docs, run=run, least_chars=least_chars))
-    hashes = table.select(F.explode("h").alias("h")).where("h IS NOT NULL")
+    hashes = table.select(F.explode("runs.h").alias("h"))
     twice = hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = table.select("doc_id", "mark", F.posexplode("h").alias("at", "h")).where("h IS NOT NULL")
+    places = table.select("doc_id", "mark", F.explode("runs").alias("x")).select("doc_id", "mark", "x.at", "x.k", "x.h")
     again = cut(places.join(twice, "h", "left_semi").distinct())
     first = again.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark", "at")).alias("first"))
     own = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark", "at")
     later = again.join(first, "h").where(~own.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "k")).alias("spots"))
 
 
 def dedup(docs: DataFrame, *, run: int = RUN, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows of ``docs`` as column ``row``, with n_sentences, n_removed and ``made``, the text without repeats.
 
-    Every run of ``run`` consecutive sentences is hashed and met with the runs of all
-    documents; sentences covered by a run that is not the first of its kind go. What is left
-    is joined as it stood. NULL and empty texts stay; rows with equal doc_id and text are one
-    document, so neither repeats the other; a document whose sentences all go has an empty
-    text. Runs are compared by 64-bit hashes: in 10^13 runs, one in two million meets a
-    foreign one.
+    Runs of pieces of sentences (see ``spans``) are hashed and met with the runs of all
+    documents; pieces covered by a run that is not the first of its kind go. What is left
+    is joined as it stood. ``n_removed`` counts the sentences that lost all or part. NULL and
+    empty texts stay; rows with equal doc_id and text are one document, so neither repeats the
+    other; a document whose sentences all go has an empty text. Runs are compared by 64-bit
+    hashes: in 10^13 runs, one in two million meets a foreign one.
     """
     marks = repeated(docs, run=run, least_chars=least_chars).withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_own"))
     met = base.join(marks, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left")
-    met = met.withColumn("s", F.regexp_extract_all(F.coalesce(F.col("row.text"), F.lit("")), F.lit(SENTENCE), F.lit(0)))
-    met = met.withColumn("n", F.size("s")).withColumn("all", F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)))
-    run_of = F.flatten(F.transform("starts", lambda x: F.sequence(x, F.least(x + run, F.col("n")) - 1)))
-    met = met.withColumn("out", F.when(F.col("starts").isNotNull(), F.array_distinct(run_of)))
-    met = met.withColumn("left", F.when(F.col("out").isNotNull(), F.array_except("all", "out")))
-    made = F.when(F.col("out").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("s", i)), ""))
-    return met.select("row", F.col("n").cast("bigint").alias("n_sentences"), F.coalesce(F.size("out"), F.lit(0)).cast("bigint").alias("n_removed"), made.alias("made"))
+    met = met.withColumn("whole", sentences(F.coalesce(F.col("row.text"), F.lit(""))))
+    met = met.withColumn("s", F.when(F.col("spots").isNotNull(), pieces(F.col("whole"))))
+    run_of = F.flatten(F.transform("spots", lambda x: F.sequence(x["at"], x["at"] + x["k"] - 1)))
+    met = met.withColumn("out", F.when(F.col("spots").isNotNull(), F.array_distinct(run_of)))
+    met = met.withColumn("left", F.when(F.col("out").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("s") - 1), F.col("out"))))
+    lost = F.size(F.array_distinct(F.transform("out", lambda i: F.get("s", i)["c"])))
+    made = F.when(F.col("out").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda i: F.get("s", i)["s"]), ""))
+    n_removed = F.when(F.col("out").isNotNull(), lost).otherwise(0)
+    return met.select("row", F.size("whole").cast("bigint").alias("n_sentences"), n_removed.cast("bigint").alias("n_removed"), made.alias("made"))
