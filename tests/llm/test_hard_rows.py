@@ -123,6 +123,15 @@ def test_templates_generalise_words_by_their_counts(spark):
     assert [r.template for r in found.collect()] == ["the daily report was written by <*> for all readers"]
 
 
+def test_templates_of_mostly_digit_fields(spark):
+    """Fields with digits may be most of a line; lines of nothing else have no template."""
+    lines = lambda i: f"Page {i} of {i + 90}\nCopyright {1990 + i} Acme\nPosted on {i + 1} March {2000 + i}\n{i}-01 {i}:00 id{i} done\n{i} {i + 7}"
+    rows = [(i, f"{lines(i)}\nown words {chr(97 + i)}{chr(98 + i)}", "en", "a") for i in range(12)]
+    out = {r.row.doc_id: r for r in templates.dedup(docs(spark, rows)).collect()}
+    assert out[0].made == rows[0][1]
+    assert all(out[i].made == f"{i} {i + 7}\nown words {chr(97 + i)}{chr(98 + i)}" for i in range(1, 12))
+
+
 def test_jaccard_classes(spark):
     out = {}
     for r in jaccard.classes(docs(spark)).collect():

@@ -19,7 +19,7 @@ from tidemark.session import cut
 DEPTH = 3
 #: Documents in which a template must stand to be recurring, and a token to be a constant.
 LEAST_DOCS = 10
-#: Share of a template's fields that must be constants.
+#: Share of a template's plain words that must be constants; fields with a digit do not count.
 CONSTANT = 0.7
 FIELD = "<*>"
 
@@ -47,7 +47,7 @@ def line_templates(docs: DataFrame, table: DataFrame, depth: int, least_docs: in
 
     Only lines of leaves found in ``least_docs`` documents can recur, so only those are ever
     taken apart. Each distinct line is taken apart once, with the number of documents it
-    stands for, however many those are.
+    stands for, however many those are. A line of fields with digits alone has no template.
     """
     seen = table.select("key", F.explode(F.array_distinct("lines")).alias("x")).where("x IS NOT NULL").select("key", "x.h", "x.leaf").distinct()
     per_line = seen.groupBy("leaf", "h").agg(F.count("*").alias("docs"))
@@ -65,8 +65,8 @@ def line_templates(docs: DataFrame, table: DataFrame, depth: int, least_docs: in
     common = fields.where(F.col("p") >= depth).groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs).drop("n")
     marked = fields.join(common.withColumn("common", F.lit(True)), ["leaf", "p", "token"], "left")
     fixed = (F.col("token") != FIELD) & ((F.col("p") < depth) | F.coalesce("common", F.lit(False)))
-    marked = marked.select("h", "p", fixed.alias("fixed"), F.when(fixed, F.col("token")).otherwise(FIELD).alias("field"))
-    whole = marked.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("p", "field"))).alias("f"), F.avg(F.col("fixed").cast("int")).alias("share"))
+    marked = marked.select("h", "p", fixed.alias("fixed"), (F.col("token") == FIELD).alias("digits"), F.when(fixed, F.col("token")).otherwise(FIELD).alias("field"))
+    whole = marked.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("p", "field"))).alias("f"), F.avg(F.when(~F.col("digits"), F.col("fixed").cast("int"))).alias("share"))
     return whole.where(F.col("share") >= constant).select("h", F.array_join(F.transform("f", lambda x: x["field"]), " ").alias("template"))
 
 
