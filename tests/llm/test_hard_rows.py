@@ -123,6 +123,14 @@ def test_templates_generalise_words_by_their_counts(spark):
     assert [r.template for r in found.collect()] == ["the daily report was written by <*> for all readers"]
 
 
+def test_lines_of_two_documents_recur_as_they_stand(spark):
+    rows = [(1, "one of its own\nThis work is free.\n12 34", "en", "a"), (2, "This  work is free. \nanother one here\n12 34\n12 35", "en", "a"), (3, "twice here\ntwice here", "en", "a")]
+    rows += [(4, "of one document", "en", "a"), (4, "of one document", "en", "a"), (None, "twice\n\n12 35", "en", "a")]
+    out = {r.row.doc_id: r for r in templates.dedup(docs(spark, rows)).collect()}
+    assert out[2].made == "another one here\n12 35" and out[2].n_dropped == 2 and out[None].made == "twice\n"
+    assert all(out[i].n_dropped == 0 for i in (1, 3, 4))
+
+
 def test_templates_of_mostly_digit_fields(spark):
     """Fields with digits may be most of a line; lines of nothing else have no template."""
     lines = lambda i: f"Page {i} of {i + 90}\nCopyright {1990 + i} Acme\nPosted on {i + 1} March {2000 + i}\n{i}-01 {i}:00 id{i} done\n{i} {i + 7}"

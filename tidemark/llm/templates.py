@@ -3,7 +3,8 @@
 The tree has a level for the number of tokens and one for each leading token; fields with a
 digit are variable from the start. In a leaf, a token is a constant of its place when enough
 documents have it there; the other fields are generalised, and lines of the same constants
-are one template. Which fields vary depends on counts over all documents, never on the
+are one template. A line that stands word by word in two documents recurs by itself, whatever
+its leaf. Which fields vary depends on counts over all documents, never on the
 order in which lines come.
 """
 
@@ -17,27 +18,36 @@ from tidemark.session import cut
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
-#: Documents in which a template must stand to be recurring, and a token to be a constant.
+#: Documents in which a generalised template must stand to be recurring, and a token to be a constant.
 LEAST_DOCS = 10
 #: Share of a template's plain words that must be constants; fields with a digit do not count.
 CONSTANT = 0.7
 FIELD = "<*>"
 
 
-def shape(line: Column) -> Column:
-    """A line with one space between its tokens, tokens with digits generalised; blank lines are empty."""
-    plain = F.btrim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+def plain_line(line: Column) -> Column:
+    """A line with one space between its tokens; blank lines are empty."""
+    return F.btrim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+
+
+def shape_of(plain: Column) -> Column:
+    """A plain line with its tokens with digits generalised."""
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(plain)
 
 
+def shape(line: Column) -> Column:
+    return shape_of(plain_line(line))
+
+
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, key and per line in order its hash h and leaf; NULL for blank lines."""
-    base = docs.select("doc_id", identity(F.col("doc_id"), F.col("text")).alias("key"), F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), shape).alias("shapes"))
+    """doc_id, key and per line in order the hash h of its shape, its leaf and the hash v of the line itself; NULL for blank lines."""
+    base = docs.select("doc_id", identity(F.col("doc_id"), F.col("text")).alias("key"), F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), plain_line).alias("plain"))
+    base = base.withColumn("shapes", F.transform("plain", shape_of))
 
-    def place(x: Column) -> Column:
+    def place(x: Column, i: Column) -> Column:
         # The leading tokens, as text: an index into the line is cheaper than its whole split.
         n = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-        return F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.xxhash64(n, F.substring_index(x, " ", depth)).alias("leaf")))
+        return F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.xxhash64(n, F.substring_index(x, " ", depth)).alias("leaf"), F.xxhash64(F.get("plain", i)).alias("v")))
 
     return base.select("doc_id", "key", F.transform("shapes", place).alias("lines"))
 
@@ -70,29 +80,40 @@ def line_templates(docs: DataFrame, table: DataFrame, depth: int, least_docs: in
     return whole.where(F.col("share") >= constant).select("h", F.array_join(F.transform("f", lambda x: x["field"]), " ").alias("template"))
 
 
+def verbatim(table: DataFrame) -> DataFrame:
+    """(h, template) of the lines that stand word by word in two documents; the template is a line break and the hash."""
+    own = table.select(F.xxhash64("key").alias("own"), F.explode(F.array_distinct("lines.v")).alias("h")).where("h IS NOT NULL")
+    met = own.groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high")
+    return met.select("h", F.concat(F.lit("\n"), F.col("h").cast("string")).alias("template"))
+
+
 def recurring(docs: DataFrame, *, depth: int = DEPTH, least_docs: int = LEAST_DOCS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
     """(template, docs, first) of the recurring templates, and (key, out) the line numbers that go.
 
-    A template recurs when lines of it stand in ``least_docs`` documents. The first of them
-    (least doc_id, NULL last, then key) keeps its lines.
+    A template recurs when lines of it stand in ``least_docs`` documents, a line as it stands
+    when two documents have it; such lines have no row in the first table. The first of the
+    documents (least doc_id, NULL last, then key) keeps its lines.
     """
     table = cut(lines_of(docs, depth))
-    lines = cut(line_templates(docs, table, depth, least_docs, constant))
-    at = table.select("doc_id", "key", F.posexplode("lines").alias("at", "x")).where("x IS NOT NULL").select("doc_id", "key", "at", "x.h")
+    lines = cut(line_templates(docs, table, depth, least_docs, constant).union(verbatim(table)))
+    at = table.select("doc_id", "key", F.posexplode("lines").alias("at", "x")).where("x IS NOT NULL")
+    at = at.select("doc_id", "key", "at", F.explode(F.array_distinct(F.array("x.h", "x.v"))).alias("h"))
     standing = cut(salted_join(at, lines, "h", "key").drop("h"))
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
     in_docs = standing.groupBy("template", "doc_id", "key").agg(F.lit(1).alias("one"))
-    found = in_docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first")).where(F.col("docs") >= least_docs)
+    found = in_docs.groupBy("template").agg(F.count("*").alias("docs"), F.min(order).alias("first"))
+    same = F.col("template").startswith("\n")
+    found = found.where(same | (F.col("docs") >= least_docs))
     found = found.select("template", "docs", F.col("first.key").alias("first"))
     gone = salted_join(standing, found, "template", "key").where(F.col("key") != F.col("first")).groupBy("key").agg(F.collect_set("at").alias("out"))
-    return found, gone
+    return found.where(~same), gone
 
 
 def dedup(docs: DataFrame, *, depth: int = DEPTH, least_docs: int = LEAST_DOCS, constant: float = CONSTANT) -> DataFrame:
     """The rows of ``docs`` as ``row``, with n_lines, n_dropped and ``made``, the text without recurring lines.
 
-    Lines of a template that recurs across documents are dropped everywhere but in the first
-    document that has it. Blank lines have no template and stay. Rows with equal doc_id and
+    Lines of a template that recurs across documents, and lines that recur as they stand, are
+    dropped everywhere but in the first document that has them. Blank lines have no template and stay. Rows with equal doc_id and
     text are one document; NULL and empty texts stay as they are. A document may end up
     empty; it is still a row. Lines that recur only inside one document stay.
     """
