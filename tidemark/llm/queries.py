@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import jaccard, mixing, permutation, pseudonyms, quality, secret_scan, sentence_spans, templates, toxicity, trie_bpe
+from tidemark.llm import impact, jaccard, manifest, mixing, permutation, pseudonyms, quality, secret_scan, sentence_spans, spelling, templates, toxicity, trie_bpe, twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -218,6 +218,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", F.length("value").cast("bigint").alias("length"), digest.alias("value_sha256"), "score", "secret")
 
 
+@_file("op11_spelling_fm", twins.spelling_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents, of which one in 97 lost a letter, with its form and root."""
+    return spelling.variants(_table(spark, sf_dir, "documents"), slips=97)
+
+
+OP12_SQL = """
+WITH rows AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+met AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM rows q JOIN rows c ON q.row <> c.row WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM met)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@_file("op12_impact_topk", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 rows of largest inner product with every fiftieth one."""
+    return impact.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_file("op13_merkle_witness", twins.manifest_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the manifest, verified after a third of the texts were put in lower case."""
+    docs = _table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(docs, changed=F.when(hit, lower).otherwise(F.col("text")))
+
+
 @_file("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline from documents to tokens."""
