@@ -126,17 +126,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.encoded(_table(spark, sf_dir, "documents"), path, trie_bpe.digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-OP4_SQL = r"""
+MARKS = sentence_spans.MARKS
+OP4_SQL = rf"""
 WITH base AS MATERIALIZED (
-  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^.!?;:,\n]+[.!?;:,\n]*|[.!?;:,\n]+') AS s
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{MARKS}]+[{MARKS}]*|[{MARKS}]+') AS s
   FROM documents),
 runs AS (
-  SELECT row, doc_id, p, list_transform(s[p:p + 2], lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS run,
-         list_sum(list_transform(s[p:p + 2], lambda x: len(x))) AS chars
-  FROM (SELECT row, doc_id, s, unnest(range(1, greatest(len(s) - 3, 0) + 2)) AS p FROM base WHERE len(s) > 0)),
+  SELECT row, doc_id, p, k, n, list_transform(s[p:p + k - 1], lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS run,
+         list_sum(list_transform(s[p:p + k - 1], lambda x: strlen(x))) AS size
+  FROM (SELECT row, doc_id, s, len(s) AS n, unnest(range(1, len(s) + 1)) AS p FROM base), (VALUES (1), (2), (3)) v(k) WHERE p + k - 1 <= n),
+long AS (SELECT row, doc_id, p, k, run FROM runs WHERE size >= CASE k WHEN 1 THEN 120 WHEN 2 THEN 100 ELSE 60 END OR (n = k AND size >= 60)),
 later AS (
-  SELECT row, p FROM (SELECT row, p, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, row, p) AS k FROM runs WHERE chars >= 60) WHERE k > 1),
-covered AS (SELECT DISTINCT row, q FROM (SELECT row, unnest([p, p + 1, p + 2]) AS q FROM later)),
+  SELECT row, p, k FROM (SELECT row, p, k, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, row, p) AS place FROM long) WHERE place > 1),
+covered AS (SELECT DISTINCT row, q FROM (SELECT row, unnest(range(p, p + k)) AS q FROM later)),
 pieces AS (SELECT row, q, s[q] AS piece FROM (SELECT row, s, unnest(range(1, len(s) + 1)) AS q FROM base)),
 kept AS (
   SELECT row, count(c.q) AS n_removed, coalesce(string_agg(CASE WHEN c.q IS NULL THEN piece END, '' ORDER BY q), '') AS text
@@ -162,11 +164,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH base AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 lined AS (SELECT row, doc_id, string_split(text, chr(10)) AS l FROM base),
-plain AS (SELECT row, doc_id, num, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS s
+plain AS MATERIALIZED (SELECT row, doc_id, num, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS v
           FROM (SELECT row, doc_id, unnest(range(1, len(l) + 1)) AS num, unnest(l) AS line FROM lined)),
-shaped AS MATERIALIZED (SELECT row, doc_id, num, line, regexp_replace(s, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS s FROM plain),
+shaped AS MATERIALIZED (SELECT row, doc_id, num, v, regexp_replace(v, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS s FROM plain),
 placed AS MATERIALIZED (
-  SELECT row, doc_id, num, s, len(string_split(s, ' ')) AS n, string_split(s, ' ')[1:3] AS lead FROM shaped WHERE s <> ''),
+  SELECT row, doc_id, num, v, s, len(string_split(s, ' ')) AS n, string_split(s, ' ')[1:3] AS lead FROM shaped WHERE len(string_split(s, ' ')) >= 3),
 per_line AS (SELECT s, n, lead, count(DISTINCT row) AS docs FROM placed GROUP BY ALL),
 leaves AS (SELECT n, lead FROM per_line GROUP BY n, lead HAVING sum(docs) >= 10),
 fields AS MATERIALIZED (
@@ -176,13 +178,17 @@ marked AS (
   SELECT f.s, f.p, f.token, f.token <> '<*>' AND (f.p <= 3 OR c.p IS NOT NULL) AS fixed
   FROM fields f LEFT JOIN common c ON f.n = c.n AND f.lead = c.lead AND f.p = c.p AND f.token = c.token),
 general AS MATERIALIZED (
-  SELECT s, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, ' ' ORDER BY p) AS template FROM marked GROUP BY s HAVING avg(fixed::INT) >= 0.7),
-standing AS (SELECT row, doc_id, num, template FROM placed JOIN general USING (s)),
-again AS (SELECT template, count(DISTINCT row) AS docs, min(doc_id) AS first FROM standing GROUP BY template HAVING count(DISTINCT row) >= 10),
-gone AS (SELECT DISTINCT row, num FROM standing JOIN again USING (template) WHERE doc_id <> first)
+  SELECT s, string_agg(CASE WHEN fixed THEN token ELSE '<*>' END, ' ' ORDER BY p) AS template FROM marked GROUP BY s
+  HAVING avg(CASE WHEN token <> '<*>' THEN fixed::INT END) >= 0.7),
+standing AS (
+  SELECT row, doc_id, num, 'template' AS kind, template AS t FROM placed JOIN general USING (s)
+  UNION ALL SELECT row, doc_id, num, 'verbatim', v FROM placed WHERE n >= 4),
+again AS (
+  SELECT kind, t, min(doc_id) AS first FROM standing GROUP BY kind, t HAVING count(DISTINCT row) >= CASE kind WHEN 'template' THEN 10 ELSE 2 END),
+gone AS (SELECT DISTINCT row, num FROM standing JOIN again USING (kind, t) WHERE doc_id <> first)
 SELECT s.doc_id, count(*)::BIGINT AS n_lines, count(g.num)::BIGINT AS n_dropped,
        coalesce(string_agg(CASE WHEN g.num IS NULL THEN s.line END, chr(10) ORDER BY s.num), '') AS text
-FROM shaped s LEFT JOIN gone g USING (row, num) GROUP BY s.row, s.doc_id
+FROM plain s LEFT JOIN gone g USING (row, num) GROUP BY s.row, s.doc_id
 """
 
 

@@ -3,8 +3,9 @@
 The tree has a level for the number of tokens and one for each leading token; fields with a
 digit are variable from the start. In a leaf, a token is a constant of its place when enough
 documents have it there; the other fields are generalised, and lines of the same constants
-are one template. A line that stands word by word in two documents recurs by itself, whatever
-its leaf. Which fields vary depends on counts over all documents, never on the
+are one template. A line of some words that stands word by word in two documents recurs by
+itself, whatever its leaf. Very short lines, such as a brace or a "Yes", have no meaning by
+themselves and never recur. Which fields vary depends on counts over all documents, never on the
 order in which lines come.
 """
 
@@ -23,6 +24,8 @@ LEAST_DOCS = 10
 #: Share of a template's plain words that must be constants; fields with a digit do not count.
 CONSTANT = 0.7
 FIELD = "<*>"
+#: Tokens a line needs to have a template, and to recur as it stands.
+LEAST_TOKENS, LEAST_VERBATIM = 3, 4
 
 
 def plain_line(line: Column) -> Column:
@@ -40,14 +43,15 @@ def shape(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, key and per line in order the hash h of its shape, its leaf and the hash v of the line itself; NULL for blank lines."""
+    """doc_id, key and per line in order the hash h of its shape, its leaf and the hash v of the line itself; NULL for lines too short for either."""
     base = docs.select("doc_id", identity(F.col("doc_id"), F.col("text")).alias("key"), F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), plain_line).alias("plain"))
     base = base.withColumn("shapes", F.transform("plain", shape_of))
 
     def place(x: Column, i: Column) -> Column:
         # The leading tokens, as text: an index into the line is cheaper than its whole split.
         n = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-        return F.when(x != "", F.struct(F.xxhash64(x).alias("h"), F.xxhash64(n, F.substring_index(x, " ", depth)).alias("leaf"), F.xxhash64(F.get("plain", i)).alias("v")))
+        own = F.when(n + 1 >= LEAST_VERBATIM, F.xxhash64(F.get("plain", i)))
+        return F.when(n + 1 >= LEAST_TOKENS, F.struct(F.xxhash64(x).alias("h"), F.xxhash64(n, F.substring_index(x, " ", depth)).alias("leaf"), own.alias("v")))
 
     return base.select("doc_id", "key", F.transform("shapes", place).alias("lines"))
 
@@ -62,7 +66,7 @@ def line_templates(docs: DataFrame, table: DataFrame, depth: int, least_docs: in
     seen = table.select("key", F.explode(F.array_distinct("lines")).alias("x")).where("x IS NOT NULL").select("key", "x.h", "x.leaf").distinct()
     per_line = seen.groupBy("leaf", "h").agg(F.count("*").alias("docs"))
     leaves = per_line.groupBy("leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("leaf")
-    wanted = cut(per_line.join(leaves, "leaf"))
+    wanted = cut(salted_join(per_line, leaves, "leaf", "h"))
     # One place where each wanted line stands; its text is fetched from there.
     at = table.select("key", F.posexplode("lines").alias("at", "x")).where("x IS NOT NULL").select("key", "at", "x.h")
     spots = at.join(wanted.select("h"), "h", "left_semi").groupBy("h").agg(F.min(F.struct("key", "at")).alias("s"))
@@ -73,7 +77,9 @@ def line_templates(docs: DataFrame, table: DataFrame, depth: int, least_docs: in
     found = found.select("x.h", "x.shape").dropDuplicates(["h"])
     fields = cut(wanted.join(found, "h").select("h", "leaf", "docs", F.posexplode(F.split("shape", " ")).alias("p", "token")))
     common = fields.where(F.col("p") >= depth).groupBy("leaf", "p", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs).drop("n")
-    marked = fields.join(common.withColumn("common", F.lit(True)), ["leaf", "p", "token"], "left")
+    # A leaf may hold most lines: its constants are repeated per salt, its lines dealt to the salts.
+    known = common.select("leaf", "p", "token", F.lit(True).alias("common"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
+    marked = fields.withColumn("salt", F.pmod("h", F.lit(16)).cast("int")).join(known, ["leaf", "p", "token", "salt"], "left")
     fixed = (F.col("token") != FIELD) & ((F.col("p") < depth) | F.coalesce("common", F.lit(False)))
     marked = marked.select("h", "p", fixed.alias("fixed"), (F.col("token") == FIELD).alias("digits"), F.when(fixed, F.col("token")).otherwise(FIELD).alias("field"))
     whole = marked.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("p", "field"))).alias("f"), F.avg(F.when(~F.col("digits"), F.col("fixed").cast("int"))).alias("share"))
@@ -113,7 +119,8 @@ def dedup(docs: DataFrame, *, depth: int = DEPTH, least_docs: int = LEAST_DOCS,
     """The rows of ``docs`` as ``row``, with n_lines, n_dropped and ``made``, the text without recurring lines.
 
     Lines of a template that recurs across documents, and lines that recur as they stand, are
-    dropped everywhere but in the first document that has them. Blank lines have no template and stay. Rows with equal doc_id and
+    dropped everywhere but in the first document that has them. Lines of fewer than
+    ``LEAST_TOKENS`` tokens stay, blank ones too. Rows with equal doc_id and
     text are one document; NULL and empty texts stay as they are. A document may end up
     empty; it is still a row. Lines that recur only inside one document stay.
     """
