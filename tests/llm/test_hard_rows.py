@@ -150,7 +150,7 @@ def test_lines_of_two_documents_recur_as_they_stand(spark):
 
 
 def test_lines_of_few_tokens_stay(spark):
-    rows = [(i, f"own line of text {'abcdefghijklmno'[i]}\n}}\nYes\nend of\n7 8", "en", "a") for i in range(15)]
+    rows = [(i, f"{'abcdefghijklmno'[i]} line\n}}\nYes\nend of\n7 8", "en", "a") for i in range(15)]
     assert all(r.n_dropped == 0 for r in templates.dedup(docs(spark, rows)).collect())
 
 
