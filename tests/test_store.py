@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import merging
 from tidemark.operators.schemas import violation_examples
 from tidemark.schema import ColumnSpec, VersionedSchema
-from tidemark.store import InvalidRows, NoChanges, VersionStore
+from tidemark.store import DoesNotFit, InvalidRows, NoChanges, VersionStore
 
 
 @pytest.fixture()
@@ -119,3 +120,80 @@ def test_snapshots_are_counted_per_dataset(spark, store, monkeypatch):
     for name in "tu":
         assert store._exists(f"{store.root}/data/{store.version(name, 'main').slot}/snapshots")
     assert content(store.read("t", "main")) == [(1, "b")] and content(store.read("u", "main")) == [(1, "x2")]
+
+
+def delta_of(spark, *changes, schema="k long, v string"):
+    """(old row, new row) pairs as a delta frame."""
+    return spark.createDataFrame([(a, b) for a, b in changes], f"old struct<{schema.replace(' ', ':').replace(',:', ',')}>, new struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+
+
+def test_commit_of_a_diff_equals_that_of_the_table(spark, tmp_path):
+    many = [(i, f"v{i}") for i in range(500)]
+    whole, part = (VersionStore(spark, str(tmp_path / n)) for n in ("whole", "part"))
+    for s in (whole, part):
+        s.commit({"t": rows(spark, *many)}, "one", pks={"t": ["k"]})
+    after = [(1, "one"), *[m for m in many if m[0] not in (1, 2)], (1000, None)]
+    whole.commit({"t": rows(spark, *after)}, "two")
+    part.commit_delta("t", delta_of(spark, ((1, "v1"), (1, "one")), ((2, "v2"), None), (None, (1000, None))), "two")
+    assert content(part.read("t", "main")) == content(whole.read("t", "main"))
+    a, b = part.version("t", "main"), whole.version("t", "main")
+    assert (a.checksum, a.row_count) == (b.checksum, b.row_count) and a.row_count == 500
+    kinds = {(r.old_key, r.new_key): r.change_type for r in part.diff("t", "main^", "main").collect()}
+    assert kinds == {(1, 1): "update", (2, None): "delete", (None, 1000): "insert"}
+    assert content(part._sums(a)) == content(whole._sums(b))
+
+
+def test_commit_of_a_diff_must_fit(spark, store):
+    store.commit({"t": rows(spark, (1, "a"), (2, "b"), (3, "c"))}, "one", pks={"t": ["k"]})
+    for change in (((1, "x"), (1, "y")), ((9, "z"), None), (None, (2, "b")), ((7, "a"), (8, "a"))):
+        with pytest.raises(DoesNotFit):
+            store.commit_delta("t", delta_of(spark, change), "bad")
+    with pytest.raises(InvalidRows):
+        store.commit_delta("t", delta_of(spark, (None, (5, "a")), (None, (5, "b"))), "twice")
+    with pytest.raises(NoChanges):
+        store.commit_delta("t", delta_of(spark, ((1, "a"), (1, "a"))), "same")
+    with pytest.raises(NoChanges):
+        store.commit_delta("t", delta_of(spark).limit(0), "empty")
+    with pytest.raises(ValueError):
+        store.commit_delta("t", delta_of(spark, ((1, "a", 2), None), schema="k long, v string, w long"), "columns")
+    assert store.commits().count() == 1
+    # A key changes hands: 2 moves to 4, 3 moves to 2.
+    store.commit_delta("t", delta_of(spark, ((2, "b"), (4, "b")), ((3, "c"), (2, "c"))), "moves")
+    assert content(store.read("t", "main")) == [(1, "a"), (2, "c"), (4, "b")]
+    store.commit_delta("t", None, "title", meta={"title": "T"})
+    assert store.version("t", "main").meta == {"title": "T"} and content(store.read("t", "main")) == [(1, "a"), (2, "c"), (4, "b")]
+
+
+def test_diffs_of_compound_keys_and_snapshots(spark, store):
+    schema = "k long, g string, v string"
+    store.commit({"t": rows(spark, (1, "x", "a"), (1, "y", "b"), schema=schema)}, "one", pks={"t": ["k", "g"]})
+    for i in range(17):
+        store.commit_delta("t", delta_of(spark, (None, (i + 10, "x", str(i))), schema=schema), f"c{i}")
+    assert store.read("t", "main").count() == 19 and store.version("t", "main").row_count == 19
+    assert spark.read.parquet(f"{store.root}/data/{store.version('t', 'main').slot}/snapshots").count() == 17
+    store.commit_delta("t", delta_of(spark, ((1, "x", "a"), None), schema=schema), "gone")
+    assert (1, "x", "a") not in content(store.read("t", "main")) and store.read("t", "main").count() == 18
+
+
+def test_few_touched_keys_read_few_rows(spark, store):
+    store.commit({"t": spark.range(200_000).selectExpr("id AS k", "CAST(id AS STRING) AS v").repartition(8)}, "one", pks={"t": ["k"]})
+    v = store.version("t", "main")
+    some = store._rows_at(v, store.resolve("main"), rows(spark, (5, "5"), (77, "77")).select("k"))
+    assert content(some) == [(5, "5"), (77, "77")]
+    plan = some._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(_bucket" in plan or "In(_bucket" in plan
+    # Files hold ranges of buckets: those of two keys lie in two of them at most.
+    files = spark.read.parquet(f"{store.root}/data/{v.slot}/changes").selectExpr("_bucket", "input_file_name() AS f")
+    ends = files.groupBy("f").agg(F.min("_bucket"), F.max("_bucket")).orderBy("min(_bucket)").collect()
+    assert all(x[2] < y[1] for x, y in zip(ends, ends[1:]))
+
+
+def test_estimates_from_stored_sums(spark, store):
+    store.commit({"t": spark.range(20_000).selectExpr("id AS k", "id % 7 AS v")}, "one", pks={"t": ["k"]})
+    store.commit({"t": spark.range(20_000).selectExpr("id AS k", "CASE WHEN id % 10 = 0 THEN 99 ELSE id % 7 END AS v")}, "two")
+    store.commit_delta("t", delta_of(spark, ((5, 5), (5, 50)), ((8, 1), None), schema="k long, v long"), "three")
+    few = store.estimate("t", "main^", "main").first()
+    assert (few.estimate, few.exact) == (2, True)
+    many = store.estimate("t", "main~2", "main", "good").first()
+    assert not many.exact and abs(many.estimate - 2002) < 500
+    assert store.estimate("t", "main", "main").first().estimate == 0

@@ -9,6 +9,11 @@ Layout below the root::
     data/<n>/snapshots/ whole rows of some versions, so that replay stays short
     buckets/            per-bucket checksums of versions
 
+Rows of ``changes`` and ``snapshots`` carry the bucket of their key and are written in its
+order, so that a reader of a few keys or buckets skips most files and row groups by their
+statistics. A commit of a diff reads the touched buckets only, and works out the new
+checksums from the old ones: exclusive-or takes the hash of a replaced row out again.
+
 A commit writes its data first and its ``commits`` row last, so a reader never sees half
 of one. There is one writer; readers need no lock.
 """
@@ -28,7 +33,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.hashing import fingerprint
 from tidemark.operators import diffing
-from tidemark.operators.aggregates import bucket_sums, differing_buckets, type_counts
+from tidemark.operators.aggregates import ACCURACY, bucket_of, bucket_sums, differing_buckets, type_counts
 from tidemark.operators.history import CommitGraph
 from tidemark.operators.schemas import violation_examples
 from tidemark.schema import VersionedSchema
@@ -69,6 +74,8 @@ VERSIONS = T.StructType(
 #: A whole snapshot is written whenever this many change sets lie behind the last one.
 SNAPSHOT_EVERY = 16
 BUCKETS = 4096
+#: Up to so many buckets are named in a filter that the scan can prune by.
+PRUNED_BUCKETS = 1024
 
 
 class NoChanges(Exception):
@@ -79,6 +86,10 @@ class InvalidRows(Exception):
     """Rows break the rules of their schema."""
 
 
+class DoesNotFit(Exception):
+    """A diff was made from other rows than those it is to be committed on."""
+
+
 @dataclass(frozen=True)
 class Version:
     commit_id: str
@@ -223,10 +234,11 @@ class VersionStore:
         changes = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/data/{v.slot}/changes")
         return changes.filter((F.col("seq") > after) & (F.col("seq") <= v.seq)).join(self._chain(commit), "commit_id", "left_semi")
 
-    def _stored(self, v: Version, commit: str, keys: DataFrame | None = None) -> DataFrame:
+    def _stored(self, v: Version, commit: str, keys: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Latest stored row per key: the newest snapshot on the chain, then later changes.
 
-        ``keys`` (columns by id) limits both to some keys before anything is gathered.
+        ``keys`` (columns by id) and ``buckets`` limit both before anything is gathered; a short
+        list of buckets is a filter that the scan prunes files and row groups by.
         """
         chain = self._chain(commit)
         base = f"{self.root}/data/{v.slot}"
@@ -240,6 +252,15 @@ class VersionStore:
                 start = mark.seq
                 rows = self.spark.read.parquet(f"{snaps}/seq={start}/commit_id={mark.commit_id}")
         later = self._changes(v, start, commit)
+        if buckets is not None and len(buckets) <= PRUNED_BUCKETS:
+            later = later.filter(F.col("_bucket").isin(buckets))
+            rows = None if rows is None else rows.filter(F.col("_bucket").isin(buckets))
+        elif buckets is not None:
+            wanted = self.spark.createDataFrame([(b,) for b in buckets], "_bucket int")
+            later = later.join(F.broadcast(wanted), "_bucket", "left_semi")
+            rows = None if rows is None else rows.join(F.broadcast(wanted), "_bucket", "left_semi")
+        later = later.drop("_bucket")
+        rows = None if rows is None else rows.drop("_bucket")
         if keys is not None:
             later = later.join(keys, pk, "left_semi")
             rows = None if rows is None else rows.join(keys, pk, "left_semi")
@@ -321,15 +342,22 @@ class VersionStore:
         if wrong:
             raise InvalidRows(f"{path}: keys must be given and unique: " + "; ".join(repr(tuple(w[k] for k in pk)) for w in wrong))
         rekeyed = old is not None and not old.schema.pk_compatible(schema)
-        facts = diffing.checksum(rows, pk).first()
-        digest = hashlib.sha256(repr((tuple(facts), schema.to_json())).encode()).hexdigest()[:40]
+        # At most BUCKETS rows; they give the count and checksum of the whole as well.
+        sums = cut(bucket_sums(rows.select(*schema.names), pk, BUCKETS).coalesce(1))
+        n, digest = self._digest(sums, schema)
         meta = dict(meta if meta is not None else (old.meta if old else {}))
         changed = old is None or old.checksum != digest or old.meta != meta
         return {
             "path": path, "old": old, "rows": rows, "schema": schema, "meta": meta, "pk": pk, "parent": parent,
-            "checksum": digest, "row_count": facts.n, "changed": changed, "rekeyed": rekeyed,
+            "checksum": digest, "row_count": n, "changed": changed, "rekeyed": rekeyed, "sums": sums,
         }
 
+    @staticmethod
+    def _digest(sums: DataFrame, schema: VersionedSchema) -> tuple[int, str]:
+        """Row count and checksum of a version from its bucket sums and schema."""
+        facts = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.bit_xor("x1"), F.bit_xor("x2")).first()
+        return facts[0], hashlib.sha256(repr((tuple(facts), schema.to_json())).encode()).hexdigest()[:40]
+
     def _write(self, p, commit_id: str, seq: int) -> None:
         old = p["old"]
         if p["rows"] is None:
@@ -340,7 +368,6 @@ class VersionStore:
             )
             return
         slot = old.slot if old and not p["rekeyed"] else hashlib.sha256(f"{p['path']}:{commit_id}".encode()).hexdigest()[:16]
-        base = f"{self.root}/data/{slot}"
         schema = p["schema"]
         stored = schema.to_storage(p["rows"])
         key_ids = [c.id for c in schema.columns if c.pk_index is not None]
@@ -357,25 +384,156 @@ class VersionStore:
             changes = keyed.join(rows.drop(*key_ids), "_k", "left").select(
                 *names, "_op", *[c for c in stored.columns if c not in key_ids]
             )
-        (
-            changes.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("commit_id", F.lit(commit_id))
-            .write.mode("append").partitionBy("seq", "commit_id").parquet(f"{base}/changes")
-        )
+        self._store_version(p["path"], slot, seq, commit_id, schema, p["meta"], p["row_count"], p["checksum"], changes, p["sums"], lambda: stored)
+
+    def _store_version(self, path, slot, seq, commit_id, schema, meta, row_count, checksum, changes, sums, stored) -> None:
+        """Writes the changes (None: none), the sums and, when one is due, the snapshot ``stored`` of a version."""
+        key_ids = [c.id for c in schema.columns if c.pk_index is not None]
+        base = f"{self.root}/data/{slot}"
+
+        def put(rows: DataFrame, name: str) -> None:
+            # Ranges of buckets, as many as the size of the rows asks for: adaptive execution joins small ones.
+            laid = rows.withColumn("_bucket", bucket_of(key_ids, BUCKETS)).repartitionByRange("_bucket").sortWithinPartitions("_bucket")
+            laid = laid.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("commit_id", F.lit(commit_id))
+            laid.write.mode("append").partitionBy("seq", "commit_id").parquet(f"{base}/{name}")
+
+        if changes is not None:
+            put(changes, "changes")
         if self.versions().filter(F.col("slot") == slot).count() % SNAPSHOT_EVERY == SNAPSHOT_EVERY - 1:
-            (
-                stored.withColumn("seq", F.lit(seq).cast("bigint")).withColumn("commit_id", F.lit(commit_id))
-                .write.mode("append").partitionBy("seq", "commit_id").parquet(f"{base}/snapshots")
-            )
-        sums = bucket_sums(p["rows"], p["pk"], BUCKETS)
+            put(stored(), "snapshots")
         (
             sums.withColumn("slot", F.lit(slot)).withColumn("seq", F.lit(seq).cast("bigint"))
             .repartition(1).write.mode("append").partitionBy("slot", "seq").parquet(f"{self.root}/buckets")
         )
-        self._append(
-            "versions",
-            (commit_id, seq, p["path"], slot, schema.to_json(), p["meta"], p["row_count"], p["checksum"], False),
-            VERSIONS,
-        )
+        self._append("versions", (commit_id, seq, path, slot, schema.to_json(), meta, row_count, checksum, False), VERSIONS)
+
+    def commit_delta(
+        self, path: str, delta: DataFrame | None, message: str, *, ref: str = "main", meta: Mapping[str, str] | None = None, author: str = "", parents: list[str] | None = None
+    ) -> str:
+        """Record a diff of one dataset as its next version, without reading the rows it does not touch.
+
+        ``delta`` is a delta frame whose rows have the columns of the dataset, in any order
+        (NULL or empty together with ``meta``: the items alone change). Every change must fit the
+        version it is put on: an insert a free key, an update or delete the very row that stands
+        there; else nothing is written and ``DoesNotFit`` names some of them. A key may come
+        once on each side, so a key given up by one change can be taken by another. New rows are
+        checked against the schema. ``parents`` makes it a merge (the first one is built on).
+
+        Only row groups with buckets of touched keys are read. The checksum of the version is that of a
+        commit of the whole table: the bucket sums of the rows that go are taken out of the
+        old sums and those of the rows that come are put in.
+        """
+        head = self.resolve(ref)
+        parents = [head] if parents is None else parents
+        v = self.version(path, parents[0])
+        if v is None:
+            raise KeyError(f"no dataset {path} at {ref}")
+        schema, pk = v.schema, v.schema.pk
+        new_meta = dict(v.meta if meta is None else meta)
+        old_sums = self._sums(v)
+        changes, sums = None, old_sums
+        if delta is not None:
+            delta = cut(self._typed(delta, schema))
+            gone = delta.filter("old IS NOT NULL").select("old.*")
+            come = delta.filter("new IS NOT NULL").select("new.*")
+            self._check_fit(v, parents[0], delta, gone, come)
+            bad = violation_examples(come, schema).limit(5).collect()
+            if bad:
+                raise InvalidRows("; ".join(f"{b.column}: {b.value!r} breaks {b.rule}" for b in bad))
+            minus, plus = bucket_sums(gone, pk, BUCKETS), bucket_sums(come, pk, BUCKETS)
+            parts = old_sums.select("bucket", "n", "x1", "x2").union(minus.select("bucket", -F.col("n"), "x1", "x2")).union(plus.select("bucket", "n", "x1", "x2"))
+            sums = parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+            sums = cut(sums.filter("n > 0").coalesce(1))
+            left = gone.select(*pk).join(come.select(*pk), pk, "left_anti")
+            puts = schema.to_storage(come.select(*schema.names)).withColumn("_op", F.lit("put"))
+            ids = {c.name: c.id for c in schema.columns}
+            dels = left.select(*[F.col(k).alias(ids[k]) for k in pk]).withColumn("_op", F.lit("del"))
+            changes = puts.unionByName(dels, allowMissingColumns=True)
+        row_count, checksum = self._digest(sums, schema)
+        if checksum == v.checksum and new_meta == v.meta and len(parents) < 2:
+            raise NoChanges("no changes to commit")
+        seq = self.commits().agg(F.max("seq")).first()[0] + 1
+        identity = json.dumps([parents, [(path, checksum, sorted(new_meta.items()))], message, author, seq])
+        commit_id = hashlib.sha256(identity.encode()).hexdigest()[:40]
+
+        def whole() -> DataFrame:
+            before = self._stored(v, parents[0])
+            if changes is None:
+                return before
+            key_ids = [c.id for c in schema.columns if c.pk_index is not None]
+            kept = before.join(changes.select(*key_ids), key_ids, "left_anti")
+            return kept.unionByName(changes.filter("_op = 'put'").drop("_op"), allowMissingColumns=True)
+
+        self._store_version(path, v.slot, seq, commit_id, schema, new_meta, row_count, checksum, changes, sums, whole)
+        now = self.spark.sql("SELECT current_timestamp()").first()[0]
+        self._append("commits", (commit_id, seq, parents, author, message, now, 0), COMMITS)
+        self.move_ref(ref, commit_id)
+        return commit_id
+
+    def _sums(self, v: Version) -> DataFrame:
+        """Bucket sums of a version; at most BUCKETS rows."""
+        return self.spark.read.parquet(f"{self.root}/buckets").filter((F.col("slot") == v.slot) & (F.col("seq") == v.seq)).select("bucket", "n", "x1", "x2")
+
+    @staticmethod
+    def _typed(delta: DataFrame, schema: VersionedSchema) -> DataFrame:
+        """``old`` and ``new`` with the columns of the schema, in its order and types, and the keys taken from them."""
+
+        def half(side: str) -> Column:
+            there = delta.schema[side].dataType.fieldNames()
+            if sorted(there) != sorted(schema.names):
+                raise ValueError(f"columns of the diff {sorted(there)} are not those of the dataset {sorted(schema.names)}")
+            fields = schema.struct()
+            return F.when(F.col(side).isNotNull(), F.struct(*[F.col(side)[f.name].cast(f.dataType).alias(f.name) for f in fields]))
+
+        return delta.select(half("old").alias("old"), half("new").alias("new"))
+
+    def _check_fit(self, v: Version, commit: str, delta: DataFrame, gone: DataFrame, come: DataFrame) -> None:
+        pk = v.schema.pk
+        for rows in (gone, come):
+            counted = rows.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"))
+            wrong = counted.filter(reduce(lambda x, y: x | y, [F.col(k).isNull() for k in pk], F.col("_n") > 1)).limit(5).collect()
+            if wrong:
+                raise InvalidRows("keys must be given and unique: " + "; ".join(repr(tuple(w[k] for k in pk)) for w in wrong))
+        current = self._rows_at(v, commit, gone.select(*pk).union(come.select(*pk)).distinct())
+        a = gone.select(F.struct(*pk).alias("k"), F.struct(*v.schema.names).alias("said"))
+        b = current.select(F.struct(*pk).alias("k"), F.struct(*v.schema.names).alias("there"))
+        c = come.select(F.struct(*pk).alias("k"), F.lit(True).alias("come"))
+        met = a.join(b, "k", "full_outer").join(c, "k", "full_outer")
+        stale = F.col("said").isNotNull() & ~F.col("said").eqNullSafe(F.col("there"))
+        taken = F.col("said").isNull() & F.col("there").isNotNull() & F.col("come")
+        found = met.filter(stale | F.coalesce(taken, F.lit(False))).select("k", F.when(stale & F.col("there").isNull(), "no such row").when(stale, "row has changed").otherwise("key is taken").alias("why"))
+        wrong = found.limit(5).collect()
+        if wrong:
+            raise DoesNotFit("; ".join(f"{tuple(w.k)!r}: {w.why}" for w in wrong))
+
+    def _rows_at(self, v: Version, commit: str, keys: DataFrame) -> DataFrame:
+        """Rows of a version at some keys (columns by name); the buckets of the keys, at most BUCKETS, prune the scan."""
+        pk = v.schema.pk
+        ids = {c.name: c.id for c in v.schema.columns}
+        buckets = [r[0] for r in keys.select(bucket_of(pk, BUCKETS)).distinct().collect()]
+        return v.schema.read(self._stored(v, commit, keys.select(*[F.col(k).alias(ids[k]) for k in pk]), buckets))
+
+    def estimate(self, path: str, a: str, b: str, accuracy: str = "fast") -> DataFrame:
+        """(estimate, differing, exact): the number of changed rows between two versions of one layout.
+
+        Stored sums are read from the top down: sums of 64 groups of buckets, then the buckets of
+        groups that differ. Of those buckets, the first ``ACCURACY`` in the order of a fixed hash are
+        read from either version, and nothing else; their count is scaled up.
+        """
+        take = ACCURACY[accuracy]
+        a, b = self.resolve(a), self.resolve(b)
+        va, vb = self.version(path, a), self.version(path, b)
+        if va is None or vb is None or va.slot != vb.slot or va.schema != vb.schema:
+            raise ValueError(f"{path} has no common layout at {a} and {b}")
+        tops = [self._sums(v).groupBy((F.col("bucket") % 64).alias("bucket")).agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")) for v in (va, vb)]
+        groups = [r.bucket for r in differing_buckets(*tops).collect()]
+        below = [self._sums(v).filter((F.col("bucket") % 64).isin(groups)) for v in (va, vb)]
+        found = differing_buckets(*below).orderBy(F.xxhash64("bucket", F.lit(0)), "bucket").collect() if groups else []
+        sample = [r.bucket for r in found[:take]]
+        scale, pk = F.lit(len(found) / max(1, len(sample))), va.schema.pk
+        old, new = (v.schema.read(self._stored(v, c, None, sample)) for v, c in ((va, a), (vb, b)))
+        changed = diffing.changed_keys(old, new, pk).agg(F.count(F.lit(1)).alias("c"))
+        return changed.select(F.round(F.col("c") * scale).cast("bigint").alias("estimate"), F.lit(len(found)).cast("bigint").alias("differing"), F.lit(len(found) <= take).alias("exact"))
 
     # -- reading differences --------------------------------------------------------
 
@@ -406,12 +564,7 @@ class VersionStore:
         new = self.read(path, b)
         pk = vb.schema.pk
         if va.slot == vb.slot and va.schema == vb.schema:
-            sums = self.spark.read.parquet(f"{self.root}/buckets")
-
-            def of(v: Version) -> DataFrame:
-                return sums.filter((F.col("slot") == v.slot) & (F.col("seq") == v.seq))
-
-            differing = differing_buckets(of(va), of(vb))
+            differing = differing_buckets(self._sums(va), self._sums(vb))
             old, new = (self._in_buckets(d, pk, differing) for d in (old, new))
         return diffing.diff(old, new, pk)
 
@@ -420,8 +573,6 @@ class VersionStore:
 
     @staticmethod
     def _in_buckets(df: DataFrame, pk: list[str], buckets: DataFrame) -> DataFrame:
-        from tidemark.operators.aggregates import bucket_of
-
         # At most BUCKETS rows are broadcast.
         return df.withColumn("bucket", bucket_of(pk, BUCKETS)).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
 
