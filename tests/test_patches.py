@@ -51,3 +51,52 @@ def test_partial_update_is_checked_against_whole_rows(spark):
     assert [tuple(r) for r in patches.apply_checked(delta, base, "k", base=base).collect()] == [(1, "z", 10)]
     with pytest.raises(Exception):
         patches.apply_checked(delta, table(spark, (1, "a", 11)), "k", base=base).collect()
+
+
+def test_documents_with_meta_items(spark, tmp_path):
+    """Written, read as one JSON value and line by line from a file: the same records."""
+    from tidemark.operators import diffing
+    from tidemark.sinks import render
+    from tidemark.sources import patchdoc
+
+    a = spark.createDataFrame([(1, "x"), (2, 'quote " and \n break')], "k long, v string")
+    b = spark.createDataFrame([(2, "y"), (3, None)], "k long, v string")
+    texts = spark.createDataFrame([("p", "q")], "id string, meta string")
+    meta = spark.createDataFrame(
+        [("a/t", "title", "update", "Old", 'New "title", with {braces}'), ("a/t", "schema.json", "update", "[1]", "[1,2]"), ("only meta", "description", "delete", "gone", None), ("meta", "tags", "insert", None, "")],
+        "dataset string, item string, change_type string, old_value string, new_value string",
+    )
+    for base in (None, "v1"):
+        lines = render.document({"a/t": diffing.diff(a, b, ["k"]), "feature": diffing.all_rows(texts, ["id"], "insert")}, meta, base=base)
+        text = "\n".join(r.line for r in lines.orderBy("position").collect())
+        whole = patchdoc.read_parts(spark.createDataFrame([(text,)], "doc string"))
+        path = tmp_path / f"{base}.json"
+        path.write_text(text)
+        laid = patchdoc.read_laid_document(patchdoc.document_lines(spark, str(path)))
+        as_set = lambda d: sorted(map(str, d.collect()))
+        assert as_set(laid) == as_set(whole.select(*laid.columns)) and laid.count() == 8
+        assert as_set(patchdoc.meta_deltas(laid)) == as_set(meta)
+        kind = a.schema
+        d = patches.as_delta(patchdoc.feature_changes(laid, kind, "k", "a/t"), "k")
+        assert {(r.old_key, r.new_key, r.change_type) for r in d.collect()} == {(1, None, "delete"), (2, 2, "update"), (None, 3, "insert")}
+        assert {r.base for r in laid.select("base").collect()} == {base}
+
+
+def test_unknown_parts_of_documents_fail(spark):
+    from tidemark.sources import patchdoc
+
+    text = '{"tidemark.diff/v1+hexwkb":{"d":{"feature":[],"other":[1]}}}'
+    with pytest.raises(Exception, match="unknown part"):
+        patchdoc.read_parts(spark.createDataFrame([(text,)], "doc string")).collect()
+
+
+def test_empty_documents(spark):
+    from tidemark.operators import diffing
+    from tidemark.sinks import render
+    from tidemark.sources import patchdoc
+
+    a = spark.createDataFrame([(1, "x")], "k long, v string")
+    lines = render.document({"t": diffing.diff(a, a, ["k"])})
+    text = "".join(r.line for r in lines.orderBy("position").collect())
+    assert text == '{"tidemark.diff/v1+hexwkb":{}}'
+    assert patchdoc.read_laid_document(lines).count() == 0

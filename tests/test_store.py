@@ -164,15 +164,52 @@ def test_commit_of_a_diff_must_fit(spark, store):
     assert store.version("t", "main").meta == {"title": "T"} and content(store.read("t", "main")) == [(1, "a"), (2, "c"), (4, "b")]
 
 
-def test_diffs_of_compound_keys_and_snapshots(spark, store):
+def test_rename_refuses_clashes(spark, store):
+    store.commit({"t": rows(spark, (1, "a")), "u": rows(spark, (1, "a"))}, "one", pks={"t": ["k"], "u": ["k"]})
+    for wrong in ("u", "U", "bad:name", ""):
+        with pytest.raises(ValueError):
+            store.rename("t", wrong, "no")
+    with pytest.raises(KeyError):
+        store.rename("missing", "x", "no")
+    with pytest.raises(DoesNotFit):
+        store.rename("t", "x", "no", dirty=spark.createDataFrame([("1",)], "pk string"))
+    before = store.version("t", "main")
+    store.rename("t", "x/y", "moved")
+    assert {r.path for r in store.datasets("main").collect()} == {"x/y", "u"} and content(store.read("x/y", "main")) == [(1, "a")]
+    assert store.version("t", "main") is None and store.version("x/y", "main").slot == before.slot and content(store.read("t", "main^")) == [(1, "a")]
+
+
+def test_workspace_commits(spark, store):
+    from tidemark.operators import workspace
+
+    base = rows(spark, (1, "a"), (2, "b"), (3, "c"))
+    store.commit({"t": base}, "one", pks={"t": ["k"]})
+    delta, dirty = delta_of(spark, ((1, "a"), (1, "A")), (None, (4, "d"))), spark.createDataFrame([("1",), ("3",), ("4",)], "pk string")
+    delta = delta.withColumns({"old_key": F.col("old.k"), "new_key": F.col("new.k")})
+    with pytest.raises(DoesNotFit):
+        workspace.commit_edits(store, "t", delta, dirty, "no", clashes=delta.filter("new_key = 4"))
+    assert store.commits().count() == 1
+    left = workspace.commit_edits(store, "t", delta, dirty, "yes", clashes=delta.limit(0))
+    assert content(left) == [("3",)] and content(store.read("t", "main")) == [(1, "A"), (2, "b"), (3, "c"), (4, "d")]
+    for path, pk in (("n", []), ("n", ["zz"]), ("T", ["k"]), ("a//b", ["k"])):
+        with pytest.raises(ValueError):
+            workspace.add_untracked(store, path, base, pk, "no")
+    with pytest.raises(InvalidRows):
+        workspace.add_untracked(store, "n", rows(spark, (1, "a"), (1, "b")), ["k"], "twice")
+    workspace.add_untracked(store, "n", base, ["k"], "add", meta={"title": "N"})
+    assert store.version("n", "main").meta == {"title": "N"} and store.read("n", "main").count() == 3
+
+
+def test_diffs_of_compound_keys_and_snapshots(spark, store, monkeypatch):
+    monkeypatch.setattr("tidemark.store.SNAPSHOT_EVERY", 4)
     schema = "k long, g string, v string"
     store.commit({"t": rows(spark, (1, "x", "a"), (1, "y", "b"), schema=schema)}, "one", pks={"t": ["k", "g"]})
-    for i in range(17):
+    for i in range(4):
         store.commit_delta("t", delta_of(spark, (None, (i + 10, "x", str(i))), schema=schema), f"c{i}")
-    assert store.read("t", "main").count() == 19 and store.version("t", "main").row_count == 19
-    assert spark.read.parquet(f"{store.root}/data/{store.version('t', 'main').slot}/snapshots").count() == 17
+    assert store.read("t", "main").count() == 6 and store.version("t", "main").row_count == 6
+    assert spark.read.parquet(f"{store.root}/data/{store.version('t', 'main').slot}/snapshots").count() == 5
     store.commit_delta("t", delta_of(spark, ((1, "x", "a"), None), schema=schema), "gone")
-    assert (1, "x", "a") not in content(store.read("t", "main")) and store.read("t", "main").count() == 18
+    assert (1, "x", "a") not in content(store.read("t", "main")) and store.read("t", "main").count() == 5
 
 
 def test_few_touched_keys_read_few_rows(spark, store):

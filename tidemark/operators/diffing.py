@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import fingerprint
+from tidemark.schema import VersionedSchema
 
 #: Flag bits of a delta (fixed values).
 WORKSPACE_EDIT = 0x1
@@ -43,8 +44,48 @@ def snapshot_side(df: DataFrame, pk: Sequence[str], side: str, columns: Sequence
     return df.select(key_of(pk).alias(f"{side}_key"), F.struct(*cols).alias(side))
 
 
+def through(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``old`` with the columns of ``new``: found by name, brought to its order and types.
+
+    A column that only ``new`` has is NULL, one that only ``old`` has is left out: adding or
+    dropping a column changes the schema, not every row.
+    """
+    if old.dtypes == new.dtypes:
+        return old
+    return old.select(*[(F.col(f"`{f.name}`") if f.name in old.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in new.schema.fields])
+
+
+def diff_versions(old: DataFrame, old_schema: VersionedSchema, new: DataFrame, new_schema: VersionedSchema, *, flags: int = 0, strategy: str = "wide") -> DataFrame:
+    """Feature deltas across a change of schema: columns are the same where their ids are, whatever their names and places.
+
+    Both halves of a delta have the columns of the newer schema. Where the key columns are
+    others, no row can be met by its key: all old rows go and all new ones come, each with its own columns
+    (a half has the columns of either version then).
+    """
+    if not old_schema.pk_compatible(new_schema):
+        gone, come = all_rows(old, old_schema.pk, "delete", flags), all_rows(new, new_schema.pk, "insert", flags)
+        old_type, new_type = gone.schema["old"].dataType, come.schema["new"].dataType
+        key = gone.schema["old_key"].dataType, come.schema["new_key"].dataType
+        gone = gone.withColumns({"new": F.lit(None).cast(new_type), "new_key": F.lit(None).cast(key[1])})
+        come = come.withColumns({"old": F.lit(None).cast(old_type), "old_key": F.lit(None).cast(key[0])})
+        return gone.select(*DELTA_COLUMNS).unionByName(come.select(*DELTA_COLUMNS))
+    now = new_schema.by_id()
+    names = {c.name: now[c.id].name for c in old_schema.columns if c.id in now}
+    met = old.select(*[F.col(f"`{a}`").alias(b) for a, b in names.items()])
+    return diff(met, new.select(*new_schema.names), new_schema.pk, flags=flags, strategy=strategy)
+
+
+def schema_delta(dataset: Column, old_schema: VersionedSchema | None, new_schema: VersionedSchema | None, spark: SparkSession) -> DataFrame:
+    """The meta delta that goes with a diff across schemas: no row where both are the same."""
+    old, new = (None if s is None else s.to_json() for s in (old_schema, new_schema))
+    one = spark.range(1).select(dataset.alias("dataset"), F.lit("schema.json").alias("item"), F.lit(old).cast("string").alias("old_value"), F.lit(new).cast("string").alias("new_value"))
+    kind = change_type(F.col("old_value").isNotNull(), F.col("new_value").isNotNull())
+    return one.filter(~F.col("old_value").eqNullSafe(F.col("new_value"))).select("dataset", "item", kind.alias("change_type"), "old_value", "new_value")
+
+
 def join_versions(old: DataFrame, new: DataFrame, pk: Sequence[str]) -> DataFrame:
-    """Both versions side by side on the key, changed or not."""
+    """Both versions side by side on the key, changed or not; columns are met by name."""
+    old = through(old, new)
     a = snapshot_side(old, pk, "old")
     b = snapshot_side(new, pk, "new")
     return a.join(b, F.col("old_key") == F.col("new_key"), "full_outer")
@@ -71,6 +112,7 @@ def diff(
         return all_rows(old, pk, "delete", flags)
     if old is None:
         return all_rows(new, pk, "insert", flags)
+    old = through(old, new)
     if strategy == "hash_first":
         changed = changed_keys(old, new, pk)
         a = snapshot_side(old, pk, "_old")
@@ -93,7 +135,11 @@ def diff(
 
 
 def changed_keys(old: DataFrame, new: DataFrame, pk: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """``old_key, new_key, change_type`` of the changed rows; only keys and hashes are shuffled."""
+    """``old_key, new_key, change_type`` of the changed rows; only keys and hashes are shuffled.
+
+    Columns are met by name; ``columns`` limits the comparison to some.
+    """
+    old = through(old, new)
     cols = [c for c in (columns or old.columns) if c not in pk]
     new_cols = [c for c in (columns or new.columns) if c not in pk]
     h1, h2 = fingerprint(cols)
@@ -180,9 +226,18 @@ def diff_maps(old: DataFrame, new: DataFrame, by: Sequence[str], value: str) ->
     return both.select(*by, kind.alias("change_type"), "old_value", "new_value")
 
 
-def repository_diff(versions: dict[str, tuple[DataFrame | None, DataFrame | None, Sequence[str]]]) -> DataFrame:
-    """Diffs of many datasets as one frame; rows and keys as JSON and text, since shapes differ."""
+def repository_diff(versions: dict[str, tuple[DataFrame | None, DataFrame | None, Sequence[str]]], meta: DataFrame | None = None) -> DataFrame:
+    """Diffs of many datasets as one frame; rows and keys as JSON and text, since shapes differ.
+
+    ``meta`` (dataset, item, change_type, old_value, new_value) adds the part ``meta``, keyed by item.
+    """
     parts = []
+    if meta is not None:
+        there = lambda c, kind: F.when(F.col("change_type") != kind, F.col(c))
+        parts.append(meta.select(
+            "dataset", F.lit("meta").alias("part"), there("item", "insert").alias("old_key"), there("item", "delete").alias("new_key"), "change_type",
+            F.col("old_value").alias("old"), F.col("new_value").alias("new"), F.lit(0).alias("flags"),
+        ))
     for path, (old, new, pk) in versions.items():
         d = diff(old, new, pk)
         parts.append(

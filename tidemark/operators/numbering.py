@@ -108,3 +108,19 @@ def previous(df: DataFrame, group: list[str], order: str, values: list[str], str
     for v in values:
         out = out.withColumn(f"prev_{v}", prev[v])
     return out.drop("_lag", "_from", "_b")
+
+
+def carried(df: DataFrame, order: str, values: list[str], stride: int = 1 << 16) -> DataFrame:
+    """Each of ``values`` with its NULLs filled by the last value before, by a unique integer ``order``.
+
+    Rows are looked at in stretches of ``stride``; what a stretch starts with comes from a
+    table of one row per stretch.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(order) / stride).cast("bigint"))
+    tails = rows.groupBy("_b").agg(*[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))).alias(f"_t_{v}") for v in values])
+    # One task, but one row per stretch.
+    across = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = tails.select("_b", *[F.last(f"_t_{v}", ignorenulls=True).over(across).alias(f"_s_{v}") for v in values])
+    inner = W.partitionBy("_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    met = rows.withColumns({v: F.last(v, ignorenulls=True).over(inner) for v in values}).join(starts, "_b")
+    return met.withColumns({v: F.coalesce(v, f"_s_{v}") for v in values}).drop("_b", *[f"_s_{v}" for v in values])

@@ -164,3 +164,38 @@ def dirty_report(base: DataFrame, edited: DataFrame, dirty: DataFrame, pk: str)
         .otherwise("U")
     )
     return both.select(F.col("_key").alias("key"), state.alias("state"))
+
+
+def commit_edits(store, path: str, delta: DataFrame, dirty: DataFrame, message: str, *, clashes: DataFrame | None = None, ref: str = "main") -> DataFrame:
+    """Commits workspace edits as a diff; returns the touched keys that are left.
+
+    ``clashes`` are inserts on keys of rows the spatial filter hides (``key_clashes``): while there are any, nothing is
+    committed, since they would overwrite rows nobody saw. Keys whose changes are committed are
+    no longer touched; those of rows that ended as they began stay listed until they are reset.
+    """
+    from tidemark.store import DoesNotFit
+
+    if clashes is not None:
+        wrong = clashes.limit(5).collect()
+        if wrong:
+            raise DoesNotFit("keys of rows outside the spatial filter: " + ", ".join(str(r.new_key) for r in wrong))
+    store.commit_delta(path, delta, message, ref=ref)
+    keys = [F.col(c).cast("string") for c in ("old_key", "new_key")]
+    committed = delta.select(F.explode(F.array_compact(F.array(*keys))).alias("pk"))
+    return clear_committed(dirty, committed)
+
+
+def add_untracked(store, path: str, table: DataFrame, pk: list[str], message: str, *, ref: str = "main", meta: dict[str, str] | None = None) -> str:
+    """Commits a table nobody tracked as a new dataset.
+
+    Refused without a key, with a key column the table has not, or at a path that is taken or
+    no valid one; the commit itself refuses keys that are NULL or come twice.
+    """
+    if not pk or any(c not in table.columns for c in pk):
+        raise ValueError(f"{path} needs key columns of its own: {pk}")
+    try:
+        head = store.resolve(ref)
+    except KeyError:
+        head = None
+    store.check_new_path(path, head)
+    return store.commit({path: table}, message, ref=ref, pks={path: pk}, metas={path: meta or {}})

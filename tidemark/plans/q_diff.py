@@ -14,6 +14,15 @@ WITH_DIFF = fx.ctes(edited=fx.EDITED, diff=fx.EDIT_DIFF)
 NEW_VALUES = [c for c in COLS if c != "o_orderkey"]
 
 
+META_OLD = """SELECT n_name AS dataset, 'title' AS item, 'Title of ' || n_name AS value FROM nation
+UNION ALL SELECT n_name AS dataset, 'description' AS item, 'Region ' || CAST(n_regionkey AS STRING) AS value FROM nation
+UNION ALL SELECT c_name AS dataset, 'title' AS item, c_mktsegment AS value FROM customer"""
+META_NEW = """SELECT n_name AS dataset, 'title' AS item, CASE WHEN n_nationkey % 3 = 0 THEN 'New title' ELSE 'Title of ' || n_name END AS value FROM nation
+UNION ALL SELECT n_name AS dataset, 'tags' AS item, 'a,b' AS value FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT c_name AS dataset, CASE WHEN c_custkey % 9 = 1 THEN 'description' ELSE 'title' END AS item,
+  CASE WHEN c_custkey % 9 = 0 THEN 'changed' ELSE c_mktsegment END AS value FROM customer"""
+
+
 def edit_diff(spark, sf, strategy="wide"):
     return diffing.diff(fx.orders(spark, sf), fx.edited(spark, sf), PK, strategy=strategy)
 
@@ -32,6 +41,73 @@ def dif1_hash_first(spark, sf):
     return fx.flat(edit_diff(spark, sf, "hash_first"), COLS)
 
 
+def schemas_of(old, new, pk=PK):
+    """Both schemas, the newer one with the ids of the older where columns are the same."""
+    from tidemark.schema import VersionedSchema
+
+    before = VersionedSchema.infer(old, pk, "orders")
+    return before, before.align(VersionedSchema.infer(new, pk, "orders"))
+
+
+@query("DIF1_REORDER", WITH_DIFF + "SELECT old_key, new_key, change_type, old_o_custkey, new_o_custkey, new_o_totalprice FROM diff")
+def dif1_reorder(spark, sf):
+    """Columns in another order are the same columns."""
+    moved = fx.edited(spark, sf).select(*reversed(COLS))
+    d = diffing.diff(fx.orders(spark, sf), moved, PK)
+    return fx.flat(d, ["o_custkey", "o_totalprice"]).drop("old_o_totalprice")
+
+
+@query("DIF1_RENAME", WITH_DIFF + "SELECT old_key, new_key, change_type, old_o_totalprice AS old_price, new_o_totalprice AS new_price FROM diff")
+def dif1_rename(spark, sf):
+    """A renamed column is known by its id; rows that differ in nothing else are unchanged."""
+    old, new = fx.orders(spark, sf), fx.edited(spark, sf).withColumnRenamed("o_totalprice", "price")
+    a, b = schemas_of(old, new)
+    d = diffing.diff_versions(old, a, new, b)
+    return d.select("old_key", "new_key", "change_type", F.col("old.price").alias("old_price"), F.col("new.price").alias("new_price"))
+
+
+@query(
+    "DIF1_ADD",
+    WITH_DIFF.rstrip() + """ SELECT old_key, new_key, change_type, CASE WHEN new_key % 10 = 3 THEN 'x' END AS note FROM diff
+UNION ALL SELECT e.o_orderkey, e.o_orderkey, 'update', 'x' FROM edited e JOIN orders o ON e.o_orderkey = o.o_orderkey WHERE e.o_orderkey % 10 = 3 AND e.o_orderkey NOT IN (SELECT new_key FROM diff WHERE new_key IS NOT NULL)""",
+)
+def dif1_add(spark, sf):
+    """A new column is NULL in old rows: only rows that fill it are updates."""
+    old, new = fx.orders(spark, sf), fx.edited(spark, sf).withColumn("note", F.when(F.col("o_orderkey") % 10 == 3, "x"))
+    a, b = schemas_of(old, new)
+    return diffing.diff_versions(old, a, new, b).select("old_key", "new_key", "change_type", F.col("new.note").alias("note"))
+
+
+@query(
+    "DIF1_DROP",
+    WITH_DIFF + """SELECT old_key, new_key, change_type FROM diff WHERE change_type <> 'update' OR old_o_custkey IS DISTINCT FROM new_o_custkey OR old_o_orderstatus IS DISTINCT FROM new_o_orderstatus
+ OR old_o_totalprice IS DISTINCT FROM new_o_totalprice OR old_o_orderdate IS DISTINCT FROM new_o_orderdate""",
+)
+def dif1_drop(spark, sf):
+    """Rows that differ in a dropped column alone are no updates; fingerprints decide here."""
+    old, new = fx.orders(spark, sf), fx.edited(spark, sf).drop("o_orderpriority")
+    a, b = schemas_of(old, new)
+    return diffing.diff_versions(old, a, new, b, strategy="hash_first").select("old_key", "new_key", "change_type")
+
+
+@query(
+    "DIF2_META",
+    fx.ctes(edited=fx.EDITED, d1=fx.EDIT_DIFF, mo=META_OLD, mn=META_NEW)
+    + """SELECT dataset, part, change_type, CAST(count(*) AS BIGINT) AS n FROM (
+ SELECT 'orders' AS dataset, 'feature' AS part, change_type FROM d1 UNION ALL SELECT 'orders', 'meta', 'update'
+ UNION ALL SELECT coalesce(a.dataset, b.dataset), 'meta', CASE WHEN a.item IS NULL THEN 'insert' WHEN b.item IS NULL THEN 'delete' ELSE 'update' END
+ FROM mo a FULL OUTER JOIN mn b ON a.dataset = b.dataset AND a.item = b.item WHERE a.value IS DISTINCT FROM b.value) x GROUP BY 1, 2, 3""",
+)
+def dif2_meta(spark, sf):
+    """Rows, schema and meta items of several datasets in one diff."""
+    old, new = fx.orders(spark, sf), fx.edited(spark, sf).withColumnRenamed("o_totalprice", "price")
+    a, b = schemas_of(old, new)
+    met = old.withColumnRenamed("o_totalprice", "price")
+    meta = diffing.diff_maps(fx.derive(spark, sf, META_OLD), fx.derive(spark, sf, META_NEW), ["dataset", "item"], "value")
+    whole = diffing.repository_diff({"orders": (met, new, PK)}, meta.unionByName(diffing.schema_delta(F.lit("orders"), a, b, spark)))
+    return whole.groupBy("dataset", "part", "change_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "JOI1",
     WITH_DIFF
@@ -86,13 +162,6 @@ def dif2(spark, sf):
     return aggregates.type_counts(whole, ["dataset"])
 
 
-META_OLD = """SELECT n_name AS dataset, 'title' AS item, 'Title of ' || n_name AS value FROM nation
-UNION ALL SELECT n_name AS dataset, 'description' AS item, 'Region ' || CAST(n_regionkey AS STRING) AS value FROM nation
-UNION ALL SELECT c_name AS dataset, 'title' AS item, c_mktsegment AS value FROM customer"""
-META_NEW = """SELECT n_name AS dataset, 'title' AS item, CASE WHEN n_nationkey % 3 = 0 THEN 'New title' ELSE 'Title of ' || n_name END AS value FROM nation
-UNION ALL SELECT n_name AS dataset, 'tags' AS item, 'a,b' AS value FROM nation WHERE n_nationkey % 5 = 0
-UNION ALL SELECT c_name AS dataset, CASE WHEN c_custkey % 9 = 1 THEN 'description' ELSE 'title' END AS item,
-  CASE WHEN c_custkey % 9 = 0 THEN 'changed' ELSE c_mktsegment END AS value FROM customer"""
 META_DIFF = """SELECT coalesce(a.dataset, b.dataset) AS dataset, coalesce(a.item, b.item) AS item,
  CASE WHEN a.item IS NULL THEN 'insert' WHEN b.item IS NULL THEN 'delete' ELSE 'update' END AS change_type, a.value AS old_value, b.value AS new_value
 FROM mo a FULL OUTER JOIN mn b ON a.dataset = b.dataset AND a.item = b.item WHERE a.value IS DISTINCT FROM b.value"""
@@ -334,6 +403,23 @@ def agg5(spark, sf):
     return aggregates.estimate_changed(fx.orders(spark, sf), fx.edited(spark, sf), PK, "good")
 
 
+@query("AGG5_STORED", WITH_DIFF + "SELECT CAST(count(*) AS BIGINT) AS changed, TRUE AS few_buckets_read, TRUE AS within FROM diff")
+def agg5_stored(spark, sf):
+    """The estimate of a version store, from stored sums and a few buckets of rows, held against the exact count."""
+    from tidemark.session import scratch_path
+    from tidemark.store import VersionStore
+
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    store.commit({"orders": fx.orders(spark, sf)}, "import", pks={"orders": PK})
+    store.commit({"orders": fx.edited(spark, sf)}, "edit")
+    found = store.estimate("orders", "main^", "main", "good")
+    exact = store.counts("orders", "main^", "main").agg(F.sum("n").alias("changed"))
+    near = F.abs(F.col("estimate") - F.col("changed")) <= F.greatest(F.col("changed") * 0.3, F.lit(5))
+    few = F.col("exact") | (F.col("differing") > 64)
+    both = found.withColumn("_one", F.lit(1)).join(exact.withColumn("_one", F.lit(1)), "_one")
+    return both.select("changed", few.alias("few_buckets_read"), near.alias("within"))
+
+
 @query("AGG5_EXACT", WITH_DIFF + "SELECT CAST(count(*) AS BIGINT) AS estimate, TRUE AS exact FROM diff")
 def agg5_exact(spark, sf):
     """With no more buckets than are sampled, the estimate is the exact count."""

@@ -381,6 +381,40 @@ def snk10(spark, sf):
     )
 
 
+@query("SNK10_DELTA", fx.ctes(edited=fx.EDITED, diff=fx.EDIT_DIFF) + "SELECT old_key, new_key, change_type, old_o_totalprice, new_o_totalprice, new_o_orderpriority FROM diff")
+def snk10_delta(spark, sf):
+    """A diff committed on the version it was made from, and read back from the store: the same row deltas."""
+    from tidemark.operators.diffing import diff
+    from tidemark.session import scratch_path
+    from tidemark.store import VersionStore
+
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    first = store.commit({"orders": fx.orders(spark, sf)}, "import", pks={"orders": ["o_orderkey"]})
+    store.commit_delta("orders", diff(fx.orders(spark, sf), fx.edited(spark, sf), ["o_orderkey"]), "edit")
+    d = store.diff("orders", first, "main")
+    return d.select(
+        "old_key", "new_key", "change_type", F.col("old.o_totalprice").alias("old_o_totalprice"), F.col("new.o_totalprice").alias("new_o_totalprice"),
+        F.col("new.o_orderpriority").alias("new_o_orderpriority"),
+    )
+
+
+@query("HIS11_STORE", "SELECT 'archive/customer' AS path, c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN '*' ELSE '' END AS c_name FROM customer")
+def his11_store(spark, sf):
+    """A dataset renamed in a store, then edited under its new path."""
+    from tidemark.operators.diffing import diff
+    from tidemark.session import scratch_path
+    from tidemark.store import VersionStore
+
+    customer = fx.table(spark, sf, "customer").select("c_custkey", "c_name")
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    store.commit({"customer": customer}, "import", pks={"customer": ["c_custkey"]})
+    store.rename("customer", "archive/customer", "rename")
+    edited = customer.withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit("*"))).otherwise(F.col("c_name")))
+    store.commit_delta("archive/customer", diff(customer, edited, ["c_custkey"]), "edit")
+    named = store.datasets("main").select("path")
+    return store.read("archive/customer", "main").join(named, F.lit(True)).select("path", "c_custkey", "c_name")
+
+
 @query("SNK11", "SELECT url || '#' || CAST(page_id AS STRING) AS path, substr(sha256(html), 1, 40) AS oid, length(html) > 0 AS kept FROM pages WHERE page_id % 3 <> 0")
 def snk11(spark, sf):
     """Files committed by path and content; empty ones are removed."""

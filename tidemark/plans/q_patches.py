@@ -74,6 +74,57 @@ def src12(spark, sf):
     return delta.select(F.lit("v1").alias("base"), "old_key", "new_key", "change_type", F.col("new.o_totalprice").alias("new_o_totalprice"))
 
 
+SCHEMA_OLD, SCHEMA_NEW = '[{"name":"o_orderkey"},{"name":"o_totalprice"}]', '[{"name":"o_orderkey"},{"name":"price"}]'
+SUPPLIER = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType())])
+WHOLE = fx.ctes(
+    edited=fx.EDITED, diff=fx.EDIT_DIFF, mo=META_OLD, mn=META_NEW, m=META_DIFF, named="SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 4 = 0",
+    parts=f"""SELECT 'orders' AS dataset, 'feature' AS part, CAST(NULL AS STRING) AS item, change_type, CAST(old_key AS STRING) AS old_value, CAST(new_key AS STRING) AS new_value FROM diff
+UNION ALL SELECT 'orders', 'meta', 'schema.json', 'update', '{SCHEMA_OLD}', '{SCHEMA_NEW}' UNION ALL SELECT 'orders', 'meta', 'crs/EPSG:4326.wkt', 'insert', NULL, 'GEOGCS["a ""quoted"" name"]'
+UNION ALL SELECT 'supplier', 'feature', NULL, 'delete', CAST(s_suppkey AS STRING), NULL FROM named UNION ALL SELECT dataset, 'meta', item, change_type, old_value, new_value FROM m""",
+)
+
+
+def whole_lines(spark, sf, base):
+    """Rows of two datasets and meta items of many, in one document."""
+    old, new = meta_sides(spark, sf)
+    own = spark.createDataFrame(
+        [("orders", "schema.json", "update", SCHEMA_OLD, SCHEMA_NEW), ("orders", "crs/EPSG:4326.wkt", "insert", None, 'GEOGCS["a ""quoted"" name"]')],
+        "dataset string, item string, change_type string, old_value string, new_value string",
+    )
+    meta = diffing.diff_maps(old, new, ["dataset", "item"], "value").unionByName(own)
+    gone = fx.table(spark, sf, "supplier").filter("s_suppkey % 4 = 0").select("s_suppkey", "s_name")
+    return render.document({"orders": edit_diff(spark, sf), "supplier": diffing.all_rows(gone, ["s_suppkey"], "delete")}, meta, base=base)
+
+
+def whole_parts(spark, sf, base):
+    """The document written to files and read back line by line, in as many tasks as it has parts."""
+    from tidemark.session import scratch_path
+
+    path = scratch_path(spark, "document")
+    whole_lines(spark, sf, base).write.parquet(path)
+    parts = patchdoc.read_laid_document(spark.read.parquet(path))
+    meta = patchdoc.meta_deltas(parts).select("dataset", F.lit("meta").alias("part"), "item", "change_type", "old_value", "new_value")
+    for name, kind, pk in (("orders", ROW, "o_orderkey"), ("supplier", SUPPLIER, "s_suppkey")):
+        d = patches.as_delta(patchdoc.feature_changes(parts, kind, pk, name), pk)
+        meta = meta.unionByName(d.select(
+            F.lit(name).alias("dataset"), F.lit("feature").alias("part"), F.lit(None).cast("string").alias("item"), "change_type",
+            F.col("old_key").cast("string").alias("old_value"), F.col("new_key").cast("string").alias("new_value"),
+        ))
+    return meta
+
+
+@query("SNK7_META", WHOLE + "SELECT * FROM parts")
+def snk7_meta(spark, sf):
+    """A patch with schema, reference system and titles of several datasets, written and read back."""
+    return whole_parts(spark, sf, "v1")
+
+
+@query("SNK2_META", WHOLE + "SELECT * FROM parts")
+def snk2_meta(spark, sf):
+    """The same as a plain diff."""
+    return whole_parts(spark, sf, None)
+
+
 @query(
     "PAT2",
     """SELECT c_name AS dataset, CASE WHEN c_custkey % 3 = 0 THEN 'create_dataset' WHEN c_custkey % 3 = 1 THEN 'delete_dataset' ELSE 'meta_update' END AS meta_change,

@@ -105,16 +105,33 @@ def wsp8(spark, sf):
 
 @query("WSP9", WITH + "SELECT change_type, CAST(count(*) AS BIGINT) AS n FROM diff GROUP BY change_type")
 def wsp9(spark, sf):
-    """Workspace edits committed to a store; the counts of the new commit are read from it."""
-    from tidemark.operators.patches import apply
+    """Workspace edits committed to a store as a diff; the counts of the new commit are read from it."""
+    store, first = ws_store(spark, sf)
+    workspace.commit_edits(store, "orders", ws_diff(spark, sf), dirty(spark, sf), "workspace edits")
+    return store.counts("orders", first, "main")
+
+
+def ws_store(spark, sf):
     from tidemark.session import scratch_path
     from tidemark.store import VersionStore
 
     store = VersionStore(spark, scratch_path(spark, "store"))
-    first = store.commit({"orders": fx.orders(spark, sf)}, "import", pks={"orders": PK})
-    after = apply(ws_diff(spark, sf), store.read("orders", "main"), KEY)
-    store.commit({"orders": after}, "workspace edits")
-    return store.counts("orders", first, "main")
+    return store, store.commit({"orders": fx.orders(spark, sf)}, "import", pks={"orders": PK})
+
+
+@query("WSP9_LEFT", WITH + "SELECT pk FROM dirty WHERE pk NOT IN (SELECT CAST(coalesce(new_key, old_key) AS STRING) FROM diff)")
+def wsp9_left(spark, sf):
+    """Touched keys after the commit: those of rows that ended as they began."""
+    store, _ = ws_store(spark, sf)
+    return workspace.commit_edits(store, "orders", ws_diff(spark, sf), dirty(spark, sf), "workspace edits")
+
+
+@query("WSP10_COMMIT", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def wsp10_commit(spark, sf):
+    """The untracked table as the store gives it back after its commit."""
+    store, _ = ws_store(spark, sf)
+    workspace.add_untracked(store, "customer", fx.table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"], "add")
+    return store.read("customer", "main")
 
 
 @query("WSP10", "SELECT c_custkey AS new_key, 'insert' AS change_type, c_name AS name, 1 AS flags FROM customer")

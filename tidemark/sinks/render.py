@@ -221,6 +221,72 @@ def patch_lines(delta: DataFrame, dataset: str, base: str, order: Sequence[str |
     return start.unionByName(body).unionByName(tail)
 
 
+def json_text(value: Column) -> Column:
+    """A text as a JSON string, NULL as NULL."""
+    packed = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), packed.substr(F.lit(2), F.length(packed) - 2))
+
+
+def meta_change_json(meta: DataFrame, advanced: bool = False) -> Column:
+    """``{"-": old, "+": new}`` of a meta delta; values of ``.json`` items stand there as JSON, others as strings."""
+    lone = lambda mark, kind: F.when(F.col("change_type") == kind, mark * 2).otherwise(mark) if advanced else F.lit(mark)
+
+    def half(mark: Column, value: str) -> Column:
+        shown = F.when(F.col("item").endswith(".json"), F.col(value)).otherwise(json_text(F.col(value)))
+        return F.concat(F.lit('"'), mark, F.lit('":'), shown)
+
+    return F.concat(F.lit("{"), F.concat_ws(",", half(lone("-", "delete"), "old_value"), half(lone("+", "insert"), "new_value")), F.lit("}"))
+
+
+def document(deltas: dict[str, DataFrame], meta: DataFrame | None = None, *, base: str | None = None, message: str = "", crs: str | None = None) -> DataFrame:
+    """A JSON diff, or with ``base`` a patch, of several datasets and their meta items as numbered lines (position, line).
+
+    Each record is a line of its own: of a dataset first its meta items by name, then its features by key.
+    Only lines that open a dataset end in ``: {``, so that tasks can read any stretch of a long document.
+    Lines are numbered by ranges, so no task holds a whole document. Datasets with meta
+    changes alone are in it too; without any change the document is empty but whole.
+    """
+    import json
+
+    patch = base is not None
+    nothing = "dataset string, rank int, number bigint, name string, line string"
+    spark = next(iter(deltas.values())).sparkSession if deltas else meta.sparkSession
+    lines = spark.createDataFrame([], nothing)
+    for name, delta in deltas.items():
+        key = F.coalesce("new_key", "old_key")
+        numeric = isinstance(delta.schema["new_key"].dataType, T.IntegralType)
+        number, text = (key.cast("bigint"), F.lit(None).cast("string")) if numeric else (F.lit(None).cast("bigint"), _key_json(delta, key))
+        packed = delta.withColumn("_line", change_json(delta, patch, drop_old_of_updates=crs is not None))
+        lines = lines.union(packed.select(F.lit(name), F.lit(5), number, text, "_line"))
+    if meta is not None:
+        one = F.concat(json_text(F.col("item")), F.lit(":"), meta_change_json(meta, patch))
+        lines = lines.union(meta.select("dataset", F.lit(2), F.lit(None).cast("bigint"), "item", one))
+    parts = lines.groupBy("dataset").agg(F.max((F.col("rank") == 2).cast("int")).alias("m"), F.max((F.col("rank") == 5).cast("int")).alias("f"))
+    one_line = lambda rank, text: F.struct(F.lit(rank).alias("rank"), text.alias("line"))
+    has_meta, has_features = F.col("m") == 1, F.col("f") == 1
+    frame = F.array(
+        one_line(0, F.concat(json_text(F.col("dataset")), F.lit(": {"))),
+        F.when(has_meta, one_line(1, F.lit('"meta":{'))), F.when(has_meta, one_line(3, F.lit("}"))),
+        F.when(has_features, one_line(4, F.when(has_meta, ',"feature":[').otherwise('"feature":['))), F.when(has_features, one_line(6, F.lit("]"))),
+        one_line(7, F.lit("}")),
+    )
+    frames = parts.select("dataset", F.explode(F.filter(frame, lambda x: x.isNotNull())).alias("x")).select("dataset", "x.rank", F.lit(None).cast("bigint"), F.lit(None).cast("string"), "x.line")
+    placed = number_all(lines.union(frames), ["dataset", "rank", "number", "name"], "position")
+    # A record takes a comma unless it is the first of its section, a dataset unless it is the first of all.
+    section = F.when(F.col("rank") == 0, F.lit("")).otherwise(F.col("dataset"))
+    firsts = placed.filter(F.col("rank").isin(0, 2, 5)).groupBy(section.alias("s"), "rank").agg(F.min("position").alias("position")).select("position", F.lit(True).alias("_first"))
+    comma = F.when(F.col("rank").isin(0, 2, 5) & F.col("_first").isNull(), F.lit(",")).otherwise(F.lit(""))
+    body = placed.join(firsts, "position", "left").select("position", F.concat(comma, "line").alias("line"))
+    head = {"base": base, "message": message, **({"crs": crs} if crs else {})}
+    start = "{" + (f'"{PATCH_TAG}":{json.dumps(head)},' if patch else "") + f'"{DIFF_TAG}":{{'
+    tail = body.agg((F.coalesce(F.max("position"), F.lit(0)) + 1).alias("position")).select("position", F.lit("}}").alias("line"))
+    return spark.range(1).select(F.lit(0).cast("bigint").alias("position"), F.lit(start).alias("line")).unionByName(body).unionByName(tail)
+
+
+def _key_json(delta: DataFrame, key: Column) -> Column:
+    return F.to_json(key) if isinstance(delta.schema["new_key"].dataType, T.StructType) else key.cast("string")
+
+
 def file_delta_text(delta: DataFrame, old: str = "old_content", new: str = "new_content") -> DataFrame:
     """File deltas with their contents inline: ``text:`` for UTF-8 without NUL, else ``base64:``."""
     def shown(name: str) -> Column:

@@ -35,7 +35,7 @@ from tidemark.functions.hashing import fingerprint
 from tidemark.operators import diffing
 from tidemark.operators.aggregates import ACCURACY, bucket_of, bucket_sums, differing_buckets, type_counts
 from tidemark.operators.history import CommitGraph
-from tidemark.operators.schemas import violation_examples
+from tidemark.operators.schemas import path_problem, violation_examples
 from tidemark.schema import VersionedSchema
 from tidemark.session import cut
 
@@ -470,6 +470,40 @@ class VersionStore:
         self.move_ref(ref, commit_id)
         return commit_id
 
+    def rename(self, path: str, to: str, message: str, *, ref: str = "main", dirty: DataFrame | None = None, author: str = "") -> str:
+        """Record that a dataset has another path from now on; its rows, their layout and their history stay where they are.
+
+        Refused if there is no such dataset, if ``to`` is taken or breaks the rules of paths, or
+        if ``dirty`` (touched keys of a workspace) has rows: they name the old path.
+        """
+        head = self.resolve(ref)
+        v = self.version(path, head)
+        if v is None:
+            raise KeyError(f"no dataset {path} at {ref}")
+        self.check_new_path(to, head, besides=path)
+        if dirty is not None and dirty.limit(1).count():
+            raise DoesNotFit(f"{path} has edits that are not committed")
+        seq = self.commits().agg(F.max("seq")).first()[0] + 1
+        commit_id = hashlib.sha256(json.dumps([[head], path, to, message, author, seq]).encode()).hexdigest()[:40]
+        self._store_version(to, v.slot, seq, commit_id, v.schema, v.meta, v.row_count, v.checksum, None, self._sums(v), lambda: self._stored(v, head))
+        self._append("versions", (commit_id, seq, path, v.slot, v.schema.to_json(), v.meta, 0, "dropped", True), VERSIONS)
+        now = self.spark.sql("SELECT current_timestamp()").first()[0]
+        self._append("commits", (commit_id, seq, [head], author, message, now, 0), COMMITS)
+        self.move_ref(ref, commit_id)
+        return commit_id
+
+    def check_new_path(self, path: str, revision: str | None, besides: str | None = None) -> None:
+        """Refuses a path for a new dataset that is no valid one, is taken, or differs from a taken one in case alone."""
+        problem = self.spark.range(1).select(path_problem(F.lit(path)).alias("p")).first().p
+        if problem:
+            raise ValueError(f"{path}: {problem}")
+        if revision is None:
+            return
+        others = self.datasets(revision).filter((F.lower("path") == path.lower()) & (F.col("path") != F.lit(besides or "")))
+        clash = others.select("path").first()
+        if clash:
+            raise ValueError(f"{path}: there is a dataset {clash.path}")
+
     def _sums(self, v: Version) -> DataFrame:
         """Bucket sums of a version; at most BUCKETS rows."""
         return self.spark.read.parquet(f"{self.root}/buckets").filter((F.col("slot") == v.slot) & (F.col("seq") == v.seq)).select("bucket", "n", "x1", "x2")
