@@ -8,7 +8,9 @@ changed key: ``seq, dataset, key, op`` (``put`` or ``del``) and the row's values
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,57 +18,78 @@ from tidemark.operators.numbering import previous
 from tidemark.session import cut
 
 
+#: Commits (by seq) that one task walks, and how many tips it walks them for.
+BLOCK, TIPS = 8192, 64
+
+
+def linked(commits: DataFrame) -> DataFrame:
+    """``commits`` with ``ups``: the seqs of their parents in order, NULL for one that is not in the table."""
+    seqs = commits.select(F.col("commit_id").alias("_p"), F.col("seq").alias("_up"))
+    edges = commits.select("seq", F.posexplode("parents").alias("_n", "_p")).join(seqs, "_p", "left")
+    ups = edges.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_up"))), lambda x: x["_up"]).alias("ups"))
+    return commits.join(ups, "seq", "left").withColumn("ups", F.coalesce("ups", F.array().cast("array<bigint>")))
+
+
+def _in_block(first: int) -> Column:
+    return F.col("seq").between(first, first + BLOCK - 1)
+
+
 class CommitGraph:
-    """Reachability over commits in a number of steps that grows with the logarithm of depth.
+    """Reachability over commits, block by block of their seqs, from the latest down.
 
-    First parents form a forest, so tables of 2^k-th first parents walk a chain of any
-    length in a few joins. What is left are the other parents of merges: they open a new
-    round, and there are as many rounds as merges are nested, not as there are commits.
+    A commit comes after its parents, so what is reached inside a block is known once the
+    block has been walked; parents in earlier blocks wait for theirs. A task holds one block
+    of ``BLOCK`` commits, and there are as many rounds as blocks with something to walk,
+    however merges are nested. ``commits`` that hold ``ups`` (see :func:`linked`), as those
+    of a store do, are used as they are.
     """
 
     def __init__(self, commits: DataFrame):
-        self.commits = cut(commits)
-        n = max(self.commits.count(), 1)
-        self.ids = self.commits.select("commit_id")
-        jump = cut(
-            self.commits.select("commit_id", F.get("parents", F.lit(0)).alias("up"))
-            .filter(F.col("up").isNotNull())
-            .join(self.ids.withColumnRenamed("commit_id", "up"), "up", "left_semi")
-            .select("commit_id", "up")
-        )
-        self.jumps = [jump]
-        # A level is the join of the level below with itself, so plans double from level to
-        # level; they are cut at every third one.
-        for level in range(1, max(n - 1, 1).bit_length()):
-            step = jump.select(F.col("commit_id").alias("up"), F.col("up").alias("_next"))
-            jump = jump.join(step, "up").select("commit_id", F.col("_next").alias("up"))
-            if level % 3 == 0:
-                jump = cut(jump)
-            self.jumps.append(jump)
-
-    def _along_first_parents(self, starts: DataFrame) -> DataFrame:
-        out = starts
-        for jump in self.jumps:
-            stay_or_go = jump.unionByName(self.ids.select("commit_id", F.col("commit_id").alias("up")))
-            out = out.join(stay_or_go, "commit_id").select("tip", F.col("up").alias("commit_id"))
-        return out.distinct()
+        self.commits = commits if "ups" in commits.columns else cut(linked(cut(commits)))
 
     def first_parent_chain(self, tips: DataFrame) -> DataFrame:
-        return self._along_first_parents(tips.select("tip", F.col("tip").alias("commit_id")))
+        """``tip, commit_id`` for each tip (column ``tip``), its first parent, and so on down."""
+        return self._walk(tips, True)
 
     def ancestors(self, tips: DataFrame) -> DataFrame:
         """``tip, commit_id`` for every commit reachable from each tip, itself included."""
-        others = self.commits.select(
-            "commit_id", F.explode(F.slice("parents", 2, F.greatest(F.size("parents") - 1, F.lit(0)))).alias("up")
-        )
-        reached = frontier = cut(self.first_parent_chain(tips))
+        return self._walk(tips, False)
+
+    def _walk(self, tips: DataFrame, first_only: bool) -> DataFrame:
+        ids = self.commits.select("commit_id", "seq")
+        frontier = cut(tips.select("tip").distinct().join(ids, F.col("tip") == F.col("commit_id")).select("tip", "seq"))
+        found = frontier.limit(0)
         while True:
-            side = frontier.join(others, "commit_id").select("tip", F.col("up").alias("commit_id")).distinct()
-            side = side.join(self.ids, "commit_id", "left_semi").join(reached, ["tip", "commit_id"], "left_anti")
-            frontier = cut(self._along_first_parents(side).join(reached, ["tip", "commit_id"], "left_anti"))
-            if frontier.isEmpty():
-                return reached
-            reached = reached.unionByName(frontier)
+            top, n = frontier.agg(F.max("seq"), F.count_distinct("tip")).first()
+            if top is None:
+                return found.join(ids, "seq").select("tip", "commit_id")
+            first = top // BLOCK * BLOCK
+            chunks = ceil(n / TIPS)
+
+            def walk(key: tuple, mine: pa.Table, block: pa.Table) -> pa.Table:
+                names = sorted(set(mine.column("tip").to_pylist()))
+                bit = {name: 1 << i for i, name in enumerate(names)}
+                reached: dict[int, int] = {}
+                for tip, seq in zip(mine.column("tip").to_pylist(), mine.column("seq").to_pylist()):
+                    reached[seq] = reached.get(seq, 0) | bit[tip]
+                ups = dict(zip(block.column("seq").to_pylist(), block.column("ups").to_pylist()))
+                for seq in sorted(ups, reverse=True):
+                    for up in (ups[seq][:1] if first_only else ups[seq]) if seq in reached else ():
+                        if up is not None:
+                            reached[up] = reached.get(up, 0) | reached[seq]
+                out = [(name, seq) for seq, mask in reached.items() for name in names if mask & bit[name]]
+                return pa.table({
+                    "tip": pa.array([x[0] for x in out], pa.string()), "seq": pa.array([x[1] for x in out], pa.int64()),
+                    "inside": pa.array([x[1] >= first for x in out], pa.bool_()),
+                })
+
+            here = frontier.filter(_in_block(first)).withColumn("chunk", F.pmod(F.xxhash64("tip"), F.lit(chunks)))
+            block = self.commits.filter(_in_block(first)).select("seq", "ups", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"))
+            walked = here.groupBy("chunk").cogroup(block.groupBy("chunk")).applyInArrow(walk, "tip string, seq bigint, inside boolean")
+            waiting = frontier.filter(F.col("seq") < first).withColumn("inside", F.lit(False))
+            walked = cut(walked.unionByName(waiting).distinct())
+            found = found.unionByName(walked.filter("inside").drop("inside"))
+            frontier = walked.filter("NOT inside").drop("inside")
 
     def merge_bases(self, pairs: DataFrame) -> DataFrame:
         """The latest common ancestor of each pair ``(a, b)``; NULL when unrelated.
@@ -132,22 +155,61 @@ def tree_changes(commits: DataFrame, versions: DataFrame) -> DataFrame:
 def first_parent_lanes(commits: DataFrame) -> DataFrame:
     """Commits dealt into lanes: ``seq, lane, up_lane, fork_seq``.
 
-    A lane goes on from a commit to the earliest of the commits that have it as first
-    parent; the others open lanes of their own, which hang on the commit with seq
-    ``fork_seq`` of lane ``up_lane``. A lane is named by the seq it starts at.
+    A lane goes on from a commit to that commit on top of it (by first parents) on which most
+    commits stand, the earlier one of two that are alike; the others open lanes of their own,
+    which hang on the commit with seq ``fork_seq`` of lane ``up_lane``. A lane is named by the
+    seq it starts at. Going over to the lane above at least doubles what stands on a commit,
+    so lanes nest no deeper than the logarithm of the number of commits.
+
+    Blocks of ``BLOCK`` commits are weighed from the latest down, each in one task; what stands
+    on a commit in later blocks is summed up before it gets there. ``commits`` that hold
+    lanes, as those of a store do, are used as they are.
     """
-    parent = commits.select(F.col("commit_id").alias("_p"), F.col("seq").alias("up"))
-    linked = commits.select("seq", F.get("parents", F.lit(0)).alias("_p")).join(parent, "_p", "left").select("seq", "up")
-    heirs = linked.filter(F.col("up").isNotNull()).groupBy("up").agg(F.min("seq").alias("heir"))
-    linked = cut(linked.join(heirs, "up", "left").select("seq", "up", F.coalesce(F.col("seq") == F.col("heir"), F.lit(False)).alias("goes_on")))
-    # Where each commit's lane starts: steps back along a lane, doubled from round to round.
-    steps = linked.select("seq", F.when(F.col("goes_on"), F.col("up")).otherwise(F.col("seq")).alias("lane"))
-    for _ in range(max(linked.count() - 1, 1).bit_length()):
-        on = steps.select(F.col("seq").alias("lane"), F.col("lane").alias("_next"))
-        steps = cut(steps.join(on, "lane").select("seq", F.col("_next").alias("lane")))
-    forks = linked.filter(~F.col("goes_on")).select(F.col("seq").alias("lane"), F.col("up").alias("fork_seq"))
-    above = steps.select(F.col("seq").alias("fork_seq"), F.col("lane").alias("up_lane"))
-    return cut(steps.join(forks.join(above, "fork_seq", "left"), "lane").select("seq", "lane", "up_lane", "fork_seq"))
+    if "lane" in commits.columns:
+        return commits.select("seq", "lane", "up_lane", "fork_seq")
+    own = commits if "ups" in commits.columns else cut(linked(cut(commits)))
+    own = own.select("seq", F.get("ups", F.lit(0)).alias("up"))
+    top, low = own.agg(F.max("seq"), F.min("seq")).first()
+    schema = "seq bigint, up bigint, weight bigint, heir bigint, head bigint"
+    done = own.sparkSession.createDataFrame([], schema)
+    firsts = [] if top is None else range(top // BLOCK * BLOCK, low // BLOCK * BLOCK - 1, -BLOCK)
+    for first in firsts:
+
+        def weigh(key: tuple, mine: pa.Table, above: pa.Table) -> pa.Table:
+            up = dict(zip(mine.column("seq").to_pylist(), mine.column("up").to_pylist()))
+            weight, best = dict.fromkeys(up, 1), {}
+            for row in above.to_pylist():
+                weight[row["up"]] += row["weight"]
+                best[row["up"]] = (row["most"], -row["child"])
+            for seq in sorted(up, reverse=True):
+                if up[seq] in up:
+                    weight[up[seq]] += weight[seq]
+                    best[up[seq]] = max(best.get(up[seq], (0, 0)), (weight[seq], -seq))
+            head: dict[int, int] = {}
+            for seq in sorted(up):
+                goes_on = up[seq] in up and best[up[seq]][1] == -seq
+                head[seq] = head[up[seq]] if goes_on else seq
+            seqs = list(up)
+            columns = [seqs, [up[s] for s in seqs], [weight[s] for s in seqs], [-best[s][1] if s in best else None for s in seqs], [head[s] for s in seqs]]
+            return pa.table([pa.array(c, pa.int64()) for c in columns], names=["seq", "up", "weight", "heir", "head"])
+
+        into = done.filter(F.col("up").between(first, first + BLOCK - 1)).groupBy("up").agg(
+            F.sum("weight").alias("weight"), F.max("weight").alias("most"), (-F.max(F.struct("weight", -F.col("seq")))["col2"]).alias("child")
+        )
+        block = own.filter(_in_block(first)).groupBy(F.lit(first).alias("first"))
+        done = done.unionByName(cut(block.cogroup(into.groupBy(F.lit(first).alias("first"))).applyInArrow(weigh, schema)))
+    # Heads whose lane goes on in an earlier block: steps from block to block, doubled from round to round.
+    heads = done.select(F.col("seq").alias("up"), F.col("heir").alias("_heir"), F.col("head").alias("_next"))
+    steps = done.filter("seq = head").join(heads, "up", "left").select(
+        "head", "up", F.when(F.col("_heir") == F.col("head"), F.col("_next")).otherwise(F.col("head")).alias("lane")
+    )
+    for _ in range(max(len(firsts) - 1, 0).bit_length()):
+        on = steps.select(F.col("head").alias("lane"), F.col("lane").alias("_next"))
+        steps = cut(steps.join(on, "lane").select("head", "up", F.col("_next").alias("lane")))
+    lanes = cut(done.select("seq", "head").join(steps.select("head", "lane"), "head").select("seq", "lane"))
+    forks = steps.filter("head = lane AND up IS NOT NULL").select("lane", F.col("up").alias("fork_seq"))
+    above = lanes.select(F.col("seq").alias("fork_seq"), F.col("lane").alias("up_lane"))
+    return cut(lanes.join(forks.join(above, "fork_seq", "left"), "lane", "left").select("seq", "lane", "up_lane", "fork_seq"))
 
 
 def previous_on_first_parents(changes: DataFrame, commits: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
