@@ -234,3 +234,28 @@ def test_estimates_from_stored_sums(spark, store):
     many = store.estimate("t", "main~2", "main", "good").first()
     assert not many.exact and abs(many.estimate - 2002) < 500
     assert store.estimate("t", "main", "main").first().estimate == 0
+
+
+def test_history_by_the_lanes_kept_with_the_commits(spark, store):
+    one = store.commit({"t": rows(spark, (1, "a"), (2, "b"))}, "one", pks={"t": ["k"]})
+    store.move_ref("side", one)
+    # The side line is the first to go on from commit one, so the main line opens a lane.
+    side = store.commit({"t": rows(spark, (2, "b"))}, "side", ref="side")
+    two = store.commit({"t": rows(spark, (1, "A"), (2, "b"), (3, "c"))}, "two")
+    three = store.commit({"t": rows(spark, (1, "x"), (3, "c"))}, "three", parents=[two, side])
+    place = {r.commit_id: (r.ups, r.lane, r.up_lane, r.fork_seq) for r in store.commits().collect()}
+    assert place == {one: ([], 0, None, None), side: ([0], 0, None, None), two: ([0], 2, 0, 0), three: ([2, 1], 2, 0, 0)}
+    assert {r.commit_id: (r.inserts, r.updates, r.deletes) for r in store.change_counts("t").collect()} == {
+        one: (2, 0, 0), side: (0, 0, 1), two: (1, 1, 0), three: (0, 1, 1)
+    }
+    assert {r.commit_id: r.refs for r in store.log("main").collect()} == {one: None, side: "side", two: None, three: "main"}
+    assert {r.commit_id for r in store.log("side").collect()} == {one, side}
+    keys = spark.createDataFrame([(1,), (9,)], "k long")
+    lines = [(r.commit_id, r.change_type, r.old and r.old.v, r.new and r.new.v) for r in store.row_history("t", keys).orderBy("seq").collect()]
+    assert lines == [(one, "insert", None, "a"), (two, "update", "a", "A"), (three, "update", "A", "x")]
+    assert store.row_history("t", keys, "side").filter("change_type = 'delete'").first().old.v == "a"
+    assert store.resolve("main~2") == one and store.resolve("main^") == two
+    with pytest.raises(KeyError):
+        store.resolve("main~3")
+    again = VersionStore(spark, store.root)
+    assert content(again.read("t", "main~1")) == [(1, "A"), (2, "b"), (3, "c")]

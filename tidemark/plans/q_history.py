@@ -398,6 +398,35 @@ def snk10_delta(spark, sf):
     )
 
 
+@query("HIS4_STORE", fx.ctes(edited=fx.EDITED, diff=fx.EDIT_DIFF) + """SELECT 'import' AS message, CAST(count(*) AS BIGINT) AS inserts, CAST(0 AS BIGINT) AS updates, CAST(0 AS BIGINT) AS deletes FROM orders
+UNION ALL SELECT 'edit', CAST(count(*) FILTER (change_type = 'insert') AS BIGINT), CAST(count(*) FILTER (change_type = 'update') AS BIGINT), CAST(count(*) FILTER (change_type = 'delete') AS BIGINT) FROM diff""")
+def his4_store(spark, sf):
+    """Counts per commit of a dataset in a store."""
+    from tidemark.session import scratch_path
+    from tidemark.store import VersionStore
+
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    store.commit({"orders": fx.orders(spark, sf)}, "import", pks={"orders": ["o_orderkey"]})
+    store.commit({"orders": fx.edited(spark, sf)}, "edit")
+    return store.commits().select("seq", "message").join(store.change_counts("orders"), "seq").select("message", "inserts", "updates", "deletes")
+
+
+@query("HIS6_STORE", fx.ctes(edited=fx.EDITED, diff=fx.EDIT_DIFF) + """SELECT 'import' AS message, 'insert' AS change_type, CAST(NULL AS DOUBLE) AS old_price, o_totalprice AS new_price FROM orders WHERE o_custkey % 10 = 3
+UNION ALL SELECT 'edit', change_type, old_o_totalprice, new_o_totalprice FROM diff WHERE coalesce(old_key, new_key) IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)""")
+def his6_store(spark, sf):
+    """Every version of some rows of a dataset in a store."""
+    from tidemark.session import scratch_path
+    from tidemark.store import VersionStore
+
+    store = VersionStore(spark, scratch_path(spark, "store"))
+    store.commit({"orders": fx.orders(spark, sf)}, "import", pks={"orders": ["o_orderkey"]})
+    store.commit({"orders": fx.edited(spark, sf)}, "edit")
+    keys = fx.orders(spark, sf).filter("o_custkey % 10 = 3").select("o_orderkey")
+    versions = store.row_history("orders", keys)
+    shown = ["message", "change_type", F.col("old.o_totalprice").alias("old_price"), F.col("new.o_totalprice").alias("new_price")]
+    return store.commits().select("seq", "message").join(versions, "seq").select(*shown)
+
+
 @query("HIS11_STORE", "SELECT 'archive/customer' AS path, c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN '*' ELSE '' END AS c_name FROM customer")
 def his11_store(spark, sf):
     """A dataset renamed in a store, then edited under its new path."""

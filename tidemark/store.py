@@ -2,7 +2,8 @@
 
 Layout below the root::
 
-    commits/            one row per commit
+    commits/            one row per commit, with its place in the commit graph: the seqs of its
+                        parents, its lane, and where the lane hangs
     refs/               log of ref moves; the last move of a name counts
     versions/           dataset versions: commit, path, schema, meta, checksum
     data/<n>/changes/   rows changed by a commit, columns named by column id
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.hashing import fingerprint
-from tidemark.operators import diffing
+from tidemark.operators import diffing, history
 from tidemark.operators.aggregates import ACCURACY, bucket_of, bucket_sums, differing_buckets, type_counts
 from tidemark.operators.history import CommitGraph
 from tidemark.operators.schemas import path_problem, violation_examples
@@ -48,6 +49,10 @@ COMMITS = T.StructType(
         T.StructField("message", T.StringType()),
         T.StructField("commit_time", T.TimestampType()),
         T.StructField("offset_min", T.IntegerType()),
+        T.StructField("ups", T.ArrayType(T.LongType())),
+        T.StructField("lane", T.LongType()),
+        T.StructField("up_lane", T.LongType()),
+        T.StructField("fork_seq", T.LongType()),
     ]
 )
 REFS = T.StructType(
@@ -149,8 +154,21 @@ class VersionStore:
         return self._table("versions", VERSIONS)
 
     def graph(self) -> CommitGraph:
+        """The commit graph as the commits were written: nothing is worked out anew."""
         return CommitGraph(self.commits())
 
+    def _record(self, commit_id: str, seq: int, parents: list[str], author: str, message: str) -> None:
+        """Appends a commit. It takes its parent's lane further if it is the first to do so, else it opens a lane."""
+        known = {r.commit_id: r for r in self.commits().filter(F.col("commit_id").isin(parents)).collect()} if parents else {}
+        ups = [known[p].seq if p in known else None for p in parents]
+        first = known.get(parents[0]) if parents else None
+        place = (seq, None, None)
+        if first is not None:
+            last = self.commits().filter(F.col("lane") == first.lane).agg(F.max("seq")).first()[0]
+            place = (first.lane, first.up_lane, first.fork_seq) if last == first.seq else (seq, first.lane, first.seq)
+        now = self.spark.sql("SELECT current_timestamp()").first()[0]
+        self._append("commits", (commit_id, seq, parents, author, message, now, 0, ups, *place), COMMITS)
+
     def resolve(self, revision: str) -> str | None:
         """Commit id of a ref, an id or a unique prefix of one, with ``^`` and ``~n`` suffixes."""
         if revision in self._chains:
@@ -170,11 +188,13 @@ class VersionStore:
         if len(found) != 1:
             raise KeyError(f"no such revision: {revision}" if not found else f"ambiguous revision: {revision}")
         commit = found[0][0]
-        for _ in range(steps):
-            row = self.commits().filter(F.col("commit_id") == commit).select("parents").first()
-            if not row.parents:
+        if steps:
+            # Seqs fall along first parents, so the n-th commit down is the n-th of the chain.
+            line = self.commits().join(self._chain(commit), "commit_id", "left_semi")
+            down = line.orderBy(F.col("seq").desc()).offset(steps).select("commit_id").first()
+            if down is None:
                 raise KeyError(f"no such revision: {revision}")
-            commit = row.parents[0]
+            commit = down.commit_id
         return commit
 
     def move_ref(self, name: str, commit_id: str | None) -> None:
@@ -315,8 +335,7 @@ class VersionStore:
         commit_id = hashlib.sha256(identity.encode()).hexdigest()[:40]
         for p in changed:
             self._write(p, commit_id, seq)
-        now = self.spark.sql("SELECT current_timestamp()").first()[0]
-        self._append("commits", (commit_id, seq, parents, author, message, now, 0), COMMITS)
+        self._record(commit_id, seq, parents, author, message)
         self.move_ref(ref, commit_id)
         return commit_id
 
@@ -465,8 +484,7 @@ class VersionStore:
             return kept.unionByName(changes.filter("_op = 'put'").drop("_op"), allowMissingColumns=True)
 
         self._store_version(path, v.slot, seq, commit_id, schema, new_meta, row_count, checksum, changes, sums, whole)
-        now = self.spark.sql("SELECT current_timestamp()").first()[0]
-        self._append("commits", (commit_id, seq, parents, author, message, now, 0), COMMITS)
+        self._record(commit_id, seq, parents, author, message)
         self.move_ref(ref, commit_id)
         return commit_id
 
@@ -487,8 +505,7 @@ class VersionStore:
         commit_id = hashlib.sha256(json.dumps([[head], path, to, message, author, seq]).encode()).hexdigest()[:40]
         self._store_version(to, v.slot, seq, commit_id, v.schema, v.meta, v.row_count, v.checksum, None, self._sums(v), lambda: self._stored(v, head))
         self._append("versions", (commit_id, seq, path, v.slot, v.schema.to_json(), v.meta, 0, "dropped", True), VERSIONS)
-        now = self.spark.sql("SELECT current_timestamp()").first()[0]
-        self._append("commits", (commit_id, seq, [head], author, message, now, 0), COMMITS)
+        self._record(commit_id, seq, [head], author, message)
         self.move_ref(ref, commit_id)
         return commit_id
 
@@ -602,6 +619,52 @@ class VersionStore:
             old, new = (self._in_buckets(d, pk, differing) for d in (old, new))
         return diffing.diff(old, new, pk)
 
+    # -- history --------------------------------------------------------------------
+
+    def log(self, revision: str = "main") -> DataFrame:
+        """Commits a revision reaches, with the refs that point at them."""
+        tips = self.spark.createDataFrame([(self.resolve(revision),)], "tip string")
+        return history.log(self.graph(), tips, self.refs())
+
+    def change_counts(self, path: str, revision: str = "main") -> DataFrame:
+        """``seq, commit_id, inserts, updates, deletes`` of every commit that stored rows of a dataset, on any branch.
+
+        Each is held against its first parent, by the lanes kept with the commits. A dataset
+        whose key was changed has a layout, and so a history, from that commit on.
+        """
+        v = self.version(path, revision)
+        if v is None:
+            raise KeyError(f"no dataset {path} at {revision}")
+        rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/data/{v.slot}/changes")
+        rows = rows.withColumnRenamed("_op", "op")
+        ids = [c.id for c in v.schema.columns if c.pk_index is not None]
+        typed = history.typed_changes(rows.select("seq", *ids, "op"), self.commits(), ids)
+        counts = history.counts_per_commit(typed.withColumn("dataset", F.lit(path))).drop("dataset")
+        return self.commits().select("seq", "commit_id").join(counts, "seq")
+
+    def row_history(self, path: str, keys: DataFrame, revision: str = "main") -> DataFrame:
+        """``seq, commit_id, change_type, old, new`` of the rows at ``keys`` (the key columns), in the commits below a revision.
+
+        Row groups without the buckets of the keys, at most BUCKETS of them, are not read.
+        """
+        v = self.version(path, revision)
+        if v is None:
+            raise KeyError(f"no dataset {path} at {revision}")
+        pk, schema = v.schema.pk, v.schema
+        ids = {c.name: c.id for c in schema.columns}
+        buckets = [r[0] for r in keys.select(bucket_of(pk, BUCKETS)).distinct().collect()]
+        found = self._changes(v, -1, self.resolve(revision))
+        if len(buckets) <= PRUNED_BUCKETS:
+            found = found.filter(F.col("_bucket").isin(buckets))
+        wanted = keys.select(*[F.col(k).alias(ids[k]) for k in pk]).distinct()
+        found = found.join(wanted, [ids[k] for k in pk], "left_semi")
+        have = set(found.columns)
+        fields = [(F.col(ids[f.name]) if ids[f.name] in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.struct()]
+        lines = found.select("seq", "commit_id", *[F.col(ids[k]).alias(f"_k_{k}") for k in pk], F.when(F.col("_op") == "put", F.struct(*fields)).alias("new"))
+        seen = history.row_history(lines, F.lit(True), [f"_k_{k}" for k in pk], ["new"]).withColumnRenamed("prev_new", "old")
+        kind = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("update")
+        return seen.filter("old IS NOT NULL OR new IS NOT NULL").select("seq", "commit_id", kind.alias("change_type"), "old", "new")
+
     def _on_chain(self, commit_id: str, tip: str) -> bool:
         return self._chain(tip).filter(F.col("commit_id") == commit_id).limit(1).count() > 0
 
