@@ -66,6 +66,23 @@ def test_index_without_rows(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in permutation.search(two, two.select("vec_id")).orderBy("query_id").collect()] == [(1, 1, 2), (2, 1, 1)]
 
 
+def test_index_with_repeated_ids_and_extreme_components(spark):
+    rows = [(0, [1.0, 0.0], 0), (0, [0.0, 1.0], 0), (0, [0.0, 1.0], 1), (1, [1e200, 1e199], 0), (2, [1e-200, 3e-200], 0), (3, [-2e-308, 1e-310], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("query_id", F.lit("clash")).withColumn("v", F.lit(1)).withColumn("name", F.lit("n"))
+    distinct = sorted({(i, tuple(v)) for i, v, _ in rows})
+
+    def cosine(a, b):
+        a, b = (np.array(x) / np.abs(x).max() for x in (a, b))
+        return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+    wanted = []
+    for i, v in distinct:
+        near = sorted((-round(cosine(v, w), 9), j) for j, w in distinct if (j, w) != (i, v))[:3]
+        wanted += [(i, n + 1, j, -c) for n, (c, j) in enumerate(near)]
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in permutation.search(df, df.select("vec_id"), k=3).collect()]
+    assert sorted(got) == sorted(wanted)
+
+
 def test_index_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = df.collect()

@@ -73,9 +73,14 @@ class Shard:
         return rows[best], cosine[best]
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two next to their largest component: cosines stay bit for bit, squares stay finite."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return scaled(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1))
 
 
 def search(
@@ -87,46 +92,50 @@ def search(
     Vectors that are NULL, zero, or hold NULL or non-finite components take no part, nor do
     those of another length than the most frequent one or without id. Equal vectors are one
     row of the index with their ``k`` + 1 smallest ids, so copies, however many, are searched
-    once and found exactly; rows alike in id and vector are one. Ties go to the smaller id.
-    Fewer candidates than ``k`` give fewer rows; no vectors give none.
+    once and found exactly; rows alike in id and vector are one. Rows that share an id but not
+    the vector are rows of their own: each asks for itself, and each can be found, also by the
+    other. Ties go to the smaller id. Fewer candidates than ``k`` give fewer rows; no vectors
+    give none.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).groupBy("v", "id").agg(F.lit(1).alias("one")).select("v", "id")
     few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
-    same = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("name"), "ids", "v"))
+    # Names are row numbers; they are fixed by being written.
+    same = cut(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.monotonically_increasing_id().alias("name"), "ids", "v"))
     wanted = usable(vectors, id_col, vector_col).join(queries.select(F.col(queries.columns[0]).cast("bigint").alias("q")).distinct(), F.col("id") == F.col("q"), "left_semi").distinct()
     asking = cut(wanted.join(same.select("name", F.col("v").alias("w")), F.col("v") == F.col("w")).select(F.col("id").alias("query_id"), "name", "v"))
     total, asked_total = same.count(), asking.select("name").distinct().count()
-    chosen = [r.v for r in same.orderBy(F.xxhash64("v"), "name").limit(pivots).select("v").collect()]
+    chosen = [r.v for r in same.orderBy(F.xxhash64("v"), F.col("ids")[0]).limit(pivots).select("v").collect()]
     if not chosen:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    table = np.array(chosen)
+    table = scaled(np.array(chosen))
     sent = spark.sparkContext.broadcast(table / np.sqrt((table * table).sum(axis=1))[:, None])
     shards, blocks = max(1, ceil(total / SHARD_ROWS)), max(1, ceil(asked_total / BLOCK_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = same.select("name", "v", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", every(blocks))
+    left = same.select("name", F.col("ids")[0].alias("least"), "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", every(blocks))
     right = asking.select("name", "v").dropDuplicates(["name"]).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "name"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
 
     def meet(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         if mine.num_rows and theirs.num_rows:
-            names = mine.column("name").to_numpy()
+            names, least = mine.column("name").to_numpy(), mine.column("least").to_numpy()
             shard = Shard(_matrix(mine.column("v")), sent.value, posted)
             asks = _matrix(theirs.column("v"))
             norms = np.sqrt((asks * asks).sum(axis=1))
             seen = orders(asks / norms[:, None], sent.value, min(asked, shard.depth))
             ranked = max(least_ranked, ceil(share * len(names)))
             for i, q in enumerate(theirs.column("name").to_numpy()):
-                best, cosine = shard.nearest(seen[i], asks[i], norms[i], ranked, k + 1, names)
-                found.append((np.full(len(best), q), names[best], cosine))
-        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"q": pa.array(parts[0], pa.int64()), "name": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
-
-    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "q bigint, name bigint, score double")
-    best = met.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "name"))).where(F.col("n") <= k + 1)
-    spread = best.join(same.select("name", "ids"), "name").select("q", "score", F.explode("ids").alias("vec_id"))
-    listed = spread.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))
+                best, cosine = shard.nearest(seen[i], asks[i], norms[i], ranked, k + 1, least)
+                found.append((np.full(len(best), q), names[best], least[best], cosine))
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        columns = {"q": pa.int64(), "name": pa.int64(), "least": pa.int64(), "score": pa.float64()}
+        return pa.table({name: pa.array(part, kind) for part, (name, kind) in zip(parts, columns.items())})
+
+    met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, "q bigint, name bigint, least bigint, score double")
+    best = met.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1)
+    spread = best.join(same.select("name", "ids"), "name").select("q", "name", "score", F.explode("ids").alias("vec_id"))
+    listed = spread.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", F.col("name").alias("of")))).alias("near"))
     out = asking.join(listed, F.col("name") == F.col("q"))
-    out = out.select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
-    out = out.select("query_id", F.posexplode("near").alias("n", "x"))
+    others = F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["of"] != F.col("name")))
+    out = out.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("n", "x"))
     return out.select("query_id", (F.col("n") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.far")).alias("score"))
