@@ -150,6 +150,47 @@ def check(base: DataFrame, edited: DataFrame, dirty: DataFrame, pk: str) -> Data
     return out
 
 
+def row_errors(base: DataFrame, edited: DataFrame, dirty: DataFrame, pk: str, limit: int = 100) -> DataFrame:
+    """``key, state`` of the first rows, by key as text, that differ though nobody listed them as touched: I, D or U.
+
+    ``limit`` makes it a report; :func:`check` counts them all.
+    """
+    from tidemark.operators.diffing import changed_keys
+
+    changed = changed_keys(base, edited, [pk]).select(F.coalesce("old_key", "new_key").cast("string").alias("_key"), "change_type")
+    missed = changed.join(_dirty_keys(dirty), "_key", "left_anti")
+    return missed.select(F.col("_key").alias("key"), F.upper(F.substring("change_type", 1, 1)).alias("state")).orderBy("key").limit(limit)
+
+
+def status(store, deltas: dict[str, DataFrame], tables: DataFrame, *, ref: str = "main", upstream: str | None = None, conflicts: DataFrame | None = None) -> DataFrame:
+    """Where a workspace stands: ``section, name, what, n``.
+
+    ``branch``: commits ``ref`` is ahead of and behind ``upstream``. ``merge``: only while there is a merge, that
+    is ``conflicts`` are given (none left: n is 0). ``changes``: inserts, updates and deletes of every dataset that
+    has any, from its delta. ``untracked``: tables (column ``name``) that no dataset at ``ref`` has.
+    """
+    from tidemark.operators.sets import untracked
+
+    spark, count = tables.sparkSession, F.count(F.lit(1)).alias("n")
+    parts = [
+        delta.groupBy(F.col("change_type").alias("what")).agg(count).select(F.lit("changes").alias("section"), F.lit(path).alias("name"), "what", "n")
+        for path, delta in deltas.items()
+    ]
+    known = store.datasets(ref).select(F.col("path").alias("name"))
+    parts.append(untracked(tables, known).select(F.lit("untracked").alias("section"), "name", F.lit("table").alias("what"), F.lit(1).cast("bigint").alias("n")))
+    if upstream is not None:
+        pair = spark.createDataFrame([(store.resolve(ref), store.resolve(upstream))], "branch string, upstream string")
+        apart = store.graph().ahead_behind(pair)
+        sides = F.explode(F.create_map(F.lit("ahead"), F.col("ahead"), F.lit("behind"), F.col("behind"))).alias("what", "n")
+        parts.append(apart.select(F.lit("branch").alias("section"), F.lit(upstream).alias("name"), sides))
+    if conflicts is not None:
+        parts.append(conflicts.agg(count).select(F.lit("merge").alias("section"), F.lit(ref).alias("name"), F.lit("conflicts").alias("what"), "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def dirty_report(base: DataFrame, edited: DataFrame, dirty: DataFrame, pk: str) -> DataFrame:
     """State of every touched key: I, D, U, or R for one that ended where it began."""
     keys = _dirty_keys(dirty)

@@ -184,3 +184,30 @@ def wsp11(spark, sf):
     from tidemark.operators.filters import exclude_datasets
 
     return exclude_datasets(fx.table(spark, sf, "part").select("p_partkey", "p_type"), ["ECONOMY", "PROMO"], "p_type")
+
+
+@query(
+    "WSP12_ERRORS",
+    WITH + "SELECT CAST(coalesce(old_key, new_key) AS STRING) AS key, upper(substr(change_type, 1, 1)) AS state FROM diff WHERE CAST(coalesce(old_key, new_key) AS STRING) NOT IN (SELECT pk FROM dirty WHERE CAST(pk AS BIGINT) % 20 <> 7) ORDER BY key LIMIT 100",
+)
+def wsp12_errors(spark, sf):
+    """The first hundred rows that differ and were not tracked."""
+    some = dirty(spark, sf).filter(F.col("pk").cast("bigint") % 20 != 7)
+    return workspace.row_errors(fx.orders(spark, sf), fx.edited(spark, sf), some, KEY)
+
+
+@query(
+    "WSP13_REPORT",
+    WITH
+    + """SELECT 'changes' AS section, 'orders' AS name, change_type AS what, CAST(count(*) AS BIGINT) AS n FROM diff GROUP BY change_type
+ UNION ALL SELECT 'untracked', n_name, 'table', 1 FROM nation UNION ALL SELECT 'branch', 'origin', 'ahead', 1 UNION ALL SELECT 'branch', 'origin', 'behind', 0
+ UNION ALL SELECT 'merge', 'main', 'conflicts', CAST(count(*) AS BIGINT) FROM diff WHERE change_type = 'update'""",
+)
+def wsp13_report(spark, sf):
+    """A workspace in a merge, one commit ahead, with edits and with tables named after nations that nobody tracks."""
+    store, first = ws_store(spark, sf)
+    store.move_ref("origin", first)
+    store.commit_delta("orders", None, "title", meta={"title": "Orders"})
+    tables = fx.table(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(store.datasets("main").select(F.col("path").alias("name")))
+    edits = ws_diff(spark, sf)
+    return workspace.status(store, {"orders": edits}, tables, upstream="origin", conflicts=edits.filter("change_type = 'update'"))
