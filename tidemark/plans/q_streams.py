@@ -42,19 +42,32 @@ def str2(spark, sf):
     return spark.read.parquet(target).select("oid", F.col("box.w").alias("w"), F.col("box.s").alias("s"))
 
 
+EVERY_CHANGE = fx.ctes(
+    changes=fx.CHANGES,
+    before="SELECT seq, dataset, op, coalesce(lag(op) OVER (PARTITION BY dataset, key ORDER BY seq), 'del') AS was FROM changes",
+)
+
+
 @query(
     "STR3",
-    f"""SELECT {fx.SEQ} AS seq, event_type AS dataset, CAST(count(*) FILTER (event_id % 5 = 1) AS BIGINT) AS inserts, CAST(count(*) FILTER (event_id % 5 > 1) AS BIGINT) AS updates,
- CAST(count(*) FILTER (event_id % 5 = 0) AS BIGINT) AS deletes FROM events GROUP BY 1, 2""",
+    EVERY_CHANGE
+    + """SELECT seq, dataset, CAST(count(*) FILTER (op = 'put' AND was = 'del') AS BIGINT) AS inserts, CAST(count(*) FILTER (op = 'put' AND was = 'put') AS BIGINT) AS updates,
+ CAST(count(*) FILTER (op = 'del') AS BIGINT) AS deletes FROM before WHERE seq % 9 <> 4 AND (op = 'put' OR was = 'put') GROUP BY 1, 2""",
 )
 def str3(spark, sf):
-    n = F.col("event_id") % 5
-    typed = event_stream(spark, sf).select(
-        F.expr(fx.SEQ).alias("seq"), F.col("event_type").alias("dataset"), F.when(n == 0, "delete").when(n == 1, "insert").otherwise("update").alias("change_type")
+    """Counts per commit of edits that come in four files, each with edits of every commit; every ninth commit is known."""
+    arrivals = scratch_path(spark, "arrivals")
+    edits = fx.table(spark, sf, "events").select(
+        F.expr(fx.SEQ).alias("seq"), F.col("event_type").alias("dataset"), F.col("user_id").alias("key"),
+        F.when(F.col("event_id") % 7 == 0, "del").otherwise("put").alias("op"), "event_id", "ts",
     )
+    for part in range(4):
+        edits.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).write.parquet(f"{arrivals}/part={part}")
+    stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 8).parquet(f"{arrivals}/part=*")
+    known = edits.select("seq").distinct().filter("seq % 9 = 4")
     target = scratch_path(spark, "annotations")
-    jobs.grow_annotations(typed, target, scratch_path(spark, "annotations-progress"))
-    return jobs.annotations(spark, target)
+    jobs.annotate_changes(stream, "ts", target, scratch_path(spark, "annotations-progress"), "3650 days", "event_id", known)
+    return jobs.annotations(spark, target).drop("late")
 
 
 @query("STR4", "SELECT event_type AS dataset, event_id AS key, user_id FROM events")

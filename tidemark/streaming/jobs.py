@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.aggregates import type_count_columns
 from tidemark.operators.spatial import index_entries
 from tidemark.sinks.render import change_json
+from tidemark.streaming.typed import typed_stream
 
 
 def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True):
@@ -70,9 +71,28 @@ def grow_annotations(typed: DataFrame, target: str, checkpoint: str, available_n
     return _run(typed, write, checkpoint, available_now)
 
 
+def annotate_changes(
+    changes: DataFrame, time: str, target: str, checkpoint: str, delay: str, order: str | None = None,
+    known: DataFrame | None = None, available_now: bool = True,
+):
+    """Stream of changes to change counts per commit and dataset, their types told by the state of each row.
+
+    See :func:`tidemark.streaming.typed.typed_stream`; late changes are counted beside the others.
+    """
+    counts = [F.sum(F.when(F.col("change_type") == kind, F.col("n")).otherwise(0)).alias(f"{kind}s") for kind in ("insert", "update", "delete", "late")]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("seq", "dataset").agg(*counts).withColumnRenamed("lates", "late").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return _run(typed_stream(changes, time, delay, order, known), write, checkpoint, available_now)
+
+
 def annotations(spark: SparkSession, target: str) -> DataFrame:
+    """Summed counts per commit and dataset; commits that changed nothing have no row."""
     rows = spark.read.parquet(target)
-    return rows.groupBy("seq", "dataset").agg(*[F.sum(c).alias(c) for c in ("inserts", "updates", "deletes")])
+    sums = [F.sum(c).alias(c) for c in ("inserts", "updates", "deletes", "late") if c in rows.columns]
+    totals = rows.groupBy("seq", "dataset").agg(*sums)
+    return totals.filter(F.greatest(*[c for c in totals.columns if c not in ("seq", "dataset")]) > 0)
 
 
 def stream_lines(deltas: DataFrame, dataset: Column, target: str, checkpoint: str, available_now: bool = True):
