@@ -259,3 +259,22 @@ def test_history_by_the_lanes_kept_with_the_commits(spark, store):
         store.resolve("main~3")
     again = VersionStore(spark, store.root)
     assert content(again.read("t", "main~1")) == [(1, "A"), (2, "b"), (3, "c")]
+
+
+def test_wider_type_is_read_from_narrower_files(spark, store):
+    store.commit({"t": rows(spark, (1, 5), (2, 6), schema="k long, n int")}, "int", pks={"t": ["k"]})
+    store.commit({"t": rows(spark, (1, 5), (2, 1 << 40), schema="k long, n long")}, "long")
+    assert content(store.read("t", "main")) == [(1, 5), (2, 1 << 40)]
+    assert content(store.read("t", "main^")) == [(1, 5), (2, 6)]
+    assert content(store.diff("t", "main^", "main").select("change_type", "new.n")) == [("update", 1 << 40)]
+    assert content(store.change_counts("t").select("seq", "inserts", "updates")) == [(0, 2, 0), (1, 0, 1)]
+
+
+def test_snapshots_and_diffs_of_an_empty_dataset(spark, store, monkeypatch):
+    monkeypatch.setattr("tidemark.store.SNAPSHOT_EVERY", 2)
+    store.commit({"t": rows(spark)}, "none", pks={"t": ["k"]})
+    store.commit({"t": rows(spark, (1, "a"))}, "one")
+    store.commit({"t": rows(spark)}, "none again")
+    store.commit({"t": rows(spark, (2, "b"))}, "another")
+    assert [content(store.read("t", f"main~{n}")) for n in range(4)] == [[(2, "b")], [], [(1, "a")], []]
+    assert content(store.diff("t", "main~2", "main").select("change_type")) == [("delete",), ("insert",)]

@@ -318,14 +318,22 @@ def missing_annotations(commits: DataFrame, cache: DataFrame) -> DataFrame:
     return commits.join(cache.select("commit_id").distinct(), "commit_id", "left_anti")
 
 
-def crs_applicable(rows: DataFrame, crs_history: DataFrame) -> DataFrame:
+def crs_applicable(rows: DataFrame, crs_history: DataFrame, salts: int = 64) -> DataFrame:
     """Every reference system a dataset had at a row's commit or later.
 
-    ``crs_history`` has ``dataset, seq, crs``. It is first reduced to the last commit of
-    each system, so a row meets at most as many rows as its dataset ever had systems.
+    ``crs_history`` has ``dataset, seq, crs``; it becomes one row per dataset, with the last commit of
+    each system it ever had. That table is written, so Spark knows its size and broadcasts a
+    small one. Where it is too large for that, the join is on (dataset, salt), so that a dataset
+    with most of the rows is ``salts`` groups.
     """
     last = crs_history.groupBy("dataset", "crs").agg(F.max("seq").alias("last_seq"))
-    return rows.join(last, "dataset").filter(F.col("last_seq") >= F.col("seq")).drop("last_seq")
+    systems = cut(last.groupBy("dataset").agg(F.collect_list(F.struct("crs", "last_seq")).alias("_systems")))
+    salted = systems.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Any even spread will do; nested values such as geometries would be dear to hash.
+    plain = [c for c, kind in rows.dtypes if not kind.startswith(("struct", "array", "map"))]
+    met = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")).join(salted, ["dataset", "_salt"])
+    fitting = F.filter("_systems", lambda s: s["last_seq"] >= F.col("seq"))
+    return met.withColumn("_system", F.explode(fitting)).select(*rows.columns, F.col("_system.crs").alias("crs"))
 
 
 def previous_import(items: DataFrame, key: Sequence[str], value: str) -> DataFrame:

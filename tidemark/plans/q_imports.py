@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import content_id, text_content_id
-from tidemark.operators import aggregates, diffing, keygen, ordering, schemas, workspace
+from tidemark.operators import aggregates, diffing, imports, keygen, ordering, schemas, workspace
 from tidemark.plans import fixtures as fx
 from tidemark.plans import q_history
 from tidemark.plans.q_diff import COLS, PK, WITH_DIFF
 from tidemark.plans.registry import query
 from tidemark.schema import ColumnSpec, VersionedSchema
+from tidemark.session import scratch_path
+from tidemark.store import VersionStore
 
 # -- generated keys -------------------------------------------------------------------
 
@@ -146,13 +148,20 @@ CUSTOMER = VersionedSchema(
 )
 
 
+ROOMY = VersionedSchema(tuple(ColumnSpec(c.id, c.name, c.data_type, c.pk_index, {"length": 25} if c.data_type == "text" else c.info) for c in CUSTOMER.columns))
+
+
 @query("IMP1", "SELECT * FROM customer")
 def imp1(spark, sf):
-    """Rows that keep every rule of their schema, seen as the new dataset."""
-    rows = fx.table(spark, sf, "customer")
-    wide = VersionedSchema(tuple(ColumnSpec(c.id, c.name, c.data_type, c.pk_index) for c in CUSTOMER.columns))
-    broken = schemas.violations(rows, wide).select(F.col("key").cast("bigint").alias("c_custkey"))
-    return rows.join(broken, "c_custkey", "left_anti").select(*rows.columns)
+    """A new dataset with declared text lengths and integer sizes, as the store gives it back."""
+    store = new_store(spark)
+    imports.import_new(store, "customer", fx.table(spark, sf, "customer"), ["c_custkey"], "import", schema=ROOMY)
+    held = fx.table(spark, sf, "customer")
+    return store.read("customer", "main").select(*[F.col(c).cast(t).alias(c) for c, t in held.dtypes])
+
+
+def new_store(spark):
+    return VersionStore(spark, scratch_path(spark, "store"))
 
 
 @query("IMP2", WITH_DIFF + "SELECT change_type, CAST(count(*) AS BIGINT) AS n FROM diff GROUP BY change_type")
@@ -184,6 +193,28 @@ def imp6(spark, sf):
     return keygen.kept_rows(imported, replaced, "c_custkey", ["c_custkey", "c_name", "c_nationkey"])
 
 
+@query("IMP2_STORE", WITH_DIFF + "SELECT change_type, CAST(count(*) AS BIGINT) AS n, 'Orders' AS title FROM diff GROUP BY change_type")
+def imp2_store(spark, sf):
+    """A dataset of a store replaced: the net change of the commit, and the title that stays."""
+    store = new_store(spark)
+    first = imports.import_new(store, "orders", fx.orders(spark, sf), PK, "import", meta={"title": "Orders"})
+    imports.import_over(store, "orders", fx.edited(spark, sf), "again", meta={"description": "edited"})
+    return store.counts("orders", first, "main").withColumn("title", F.lit(store.version("orders", "main").meta["title"]))
+
+
+@query("IMP6_WALK", "SELECT c_custkey, CAST(CASE WHEN c_custkey % 7 = 0 THEN 2 WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS seq FROM customer")
+def imp6_walk(spark, sf):
+    """Two imports that change the schema: a column added, one dropped; each row keeps the commit its content came with."""
+    c, key = fx.table(spark, sf, "customer"), F.col("c_custkey")
+    store = new_store(spark)
+    imports.import_new(store, "customer", c, ["c_custkey"], "import")
+    noted = c.withColumn("note", F.when(key % 5 == 0, "n"))
+    imports.import_over(store, "customer", noted, "a column more")
+    renamed = noted.drop("c_acctbal").withColumn("c_name", F.when(key % 7 == 0, F.lit("renamed")).otherwise(F.col("c_name")))
+    imports.import_over(store, "customer", renamed, "a column less")
+    return imports.written(store, "customer").drop("commit_id")
+
+
 @query("JOI14", fx.ctes(edited=fx.EDITED) + "SELECT e.o_orderkey, o.o_orderkey IS NOT NULL AND (" + " AND ".join(f"e.{c} IS NOT DISTINCT FROM o.{c}" for c in COLS) + ") AS kept FROM edited e LEFT JOIN orders o ON e.o_orderkey = o.o_orderkey")
 def joi14(spark, sf):
     return keygen.kept_rows(fx.edited(spark, sf), fx.orders(spark, sf), "o_orderkey", COLS)

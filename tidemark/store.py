@@ -37,7 +37,7 @@ from tidemark.operators import diffing, history
 from tidemark.operators.aggregates import ACCURACY, bucket_of, bucket_sums, differing_buckets, type_counts
 from tidemark.operators.history import CommitGraph
 from tidemark.operators.schemas import path_problem, violation_examples
-from tidemark.schema import VersionedSchema
+from tidemark.schema import VersionedSchema, spark_type
 from tidemark.session import cut
 
 COMMITS = T.StructType(
@@ -123,6 +123,7 @@ class VersionStore:
         # What a commit id stands for never changes, so it is worked out once.
         self._chains: dict[str, DataFrame] = {}
         self._versions: dict[tuple[str, str], Version | None] = {}
+        self._stored_under: dict[tuple[str, int | None], list[tuple[VersionedSchema, list[int]]]] = {}
 
     # -- small tables ---------------------------------------------------------------
 
@@ -249,10 +250,55 @@ class VersionStore:
         stored = self._stored(v, self.resolve(revision))
         return v.schema.read(stored)
 
+    def _legends(self, v: Version, upto: int | None) -> list[tuple[VersionedSchema, list[int]]]:
+        """Schemas that rows of a layout were stored under, each with the seqs of its commits, up to a seq."""
+        known = self._stored_under.get((v.slot, upto))
+        if known is None:
+            held = self.versions().filter((F.col("slot") == v.slot) & ~F.col("dropped"))
+            held = held if upto is None else held.filter(F.col("seq") <= upto)
+            known = [(VersionedSchema.from_json(r.schema_json), list(r.seqs)) for r in held.groupBy("schema_json").agg(F.collect_set("seq").alias("seqs")).collect()]
+            if upto is not None:
+                self._stored_under[v.slot, upto] = known
+        return known
+
+    def _change_log(self, v: Version, upto: int | None = None) -> DataFrame:
+        """Stored changes of a layout, with the columns of a version, on all branches.
+
+        The stored schemas say what the files hold, so no file is opened to learn it. Commits that stored a
+        column as another type are read as they were written, and cast.
+        """
+        path = f"{self.root}/data/{v.slot}/changes"
+        groups: dict[tuple, list[int]] = {}
+        for schema, seqs in self._legends(v, upto):
+            groups.setdefault(self._physical(v, schema), []).extend(seqs)
+        if len(groups) == 1:
+            return self.spark.read.schema(self._file_schema(v, next(iter(groups)), "_op string, _bucket int, seq bigint, commit_id string")).parquet(path)
+        parts = []
+        for kinds, seqs in groups.items():
+            rows = self.spark.read.schema(self._file_schema(v, kinds, "_op string, _bucket int, seq bigint, commit_id string")).parquet(path)
+            parts.append(self._as_now(v, rows.filter(F.col("seq").isin(seqs))))
+        return reduce(DataFrame.unionByName, parts)
+
+    @staticmethod
+    def _physical(v: Version, schema: VersionedSchema) -> tuple:
+        """Types in the files of another schema where they differ from those of a version."""
+        there = schema.by_id()
+        kinds = ((c.id, spark_type(there[c.id]).simpleString()) for c in v.schema.columns if c.id in there and spark_type(there[c.id]) != spark_type(c))
+        return tuple(sorted(kinds))
+
+    @staticmethod
+    def _file_schema(v: Version, kinds: tuple, more: str) -> str:
+        other = dict(kinds)
+        own = [f"`{c.id}` {other.get(c.id, spark_type(c).simpleString())}" for c in v.schema.columns]
+        return ", ".join([*own, more])
+
+    @staticmethod
+    def _as_now(v: Version, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({c.id: F.col(f"`{c.id}`").cast(spark_type(c)) for c in v.schema.columns})
+
     def _changes(self, v: Version, after: int, commit: str) -> DataFrame:
         """What the commits of a version stored after ``after``, as written."""
-        changes = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/data/{v.slot}/changes")
-        return changes.filter((F.col("seq") > after) & (F.col("seq") <= v.seq)).join(self._chain(commit), "commit_id", "left_semi")
+        return self._change_log(v, v.seq).filter((F.col("seq") > after) & (F.col("seq") <= v.seq)).join(self._chain(commit), "commit_id", "left_semi")
 
     def _stored(self, v: Version, commit: str, keys: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
         """Latest stored row per key: the newest snapshot on the chain, then later changes.
@@ -266,11 +312,15 @@ class VersionStore:
         snaps = f"{base}/snapshots"
         start, rows = -1, None
         if self._exists(snaps):
-            marks = self.spark.read.parquet(snaps).select("seq", "commit_id").distinct().join(chain, "commit_id", "left_semi")
+            marked = self.spark.read.schema("_bucket int, seq bigint, commit_id string").parquet(snaps)
+            marks = marked.select("seq", "commit_id").distinct().join(chain, "commit_id", "left_semi")
             mark = marks.orderBy(F.col("seq").desc()).first()
             if mark is not None:
                 start = mark.seq
-                rows = self.spark.read.parquet(f"{snaps}/seq={start}/commit_id={mark.commit_id}")
+                legend = next(schema for schema, seqs in self._legends(v, v.seq) if start in seqs)
+                held = self._file_schema(v, self._physical(v, legend), "_bucket int")
+                rows = self.spark.read.schema(held).parquet(f"{snaps}/seq={start}/commit_id={mark.commit_id}")
+                rows = self._as_now(v, rows)
         later = self._changes(v, start, commit)
         if buckets is not None and len(buckets) <= PRUNED_BUCKETS:
             later = later.filter(F.col("_bucket").isin(buckets))
@@ -302,6 +352,7 @@ class VersionStore:
         ref: str = "main",
         pks: Mapping[str, list[str]] | None = None,
         metas: Mapping[str, Mapping[str, str]] | None = None,
+        schemas: Mapping[str, VersionedSchema] | None = None,
         author: str = "",
         parents: list[str] | None = None,
         allow_empty: bool = False,
@@ -310,7 +361,8 @@ class VersionStore:
         """Record the given tables as the next version of ``ref`` (``None`` drops a dataset).
 
         Rows are checked against their schema, only changed rows are stored, and a commit
-        without changes is an error unless ``allow_empty``.
+        without changes is an error unless ``allow_empty``. ``schemas`` declares narrower types
+        than those of the DataFrame; their key columns are those of ``pks``.
         """
         try:
             head = self.resolve(ref)
@@ -326,7 +378,7 @@ class VersionStore:
         seq = 0 if top is None else top + 1
         prepared = []
         for path, rows in tables.items():
-            prepared.append(self._prepare(path, rows, first, (pks or {}).get(path), (metas or {}).get(path)))
+            prepared.append(self._prepare(path, rows, first, (pks or {}).get(path), (metas or {}).get(path), (schemas or {}).get(path)))
         changed = [p for p in prepared if p["changed"]]
         if not changed and not allow_empty and len(parents) < 2:
             raise NoChanges("no changes to commit")
@@ -339,7 +391,7 @@ class VersionStore:
         self.move_ref(ref, commit_id)
         return commit_id
 
-    def _prepare(self, path, rows, parent, pk, meta):
+    def _prepare(self, path, rows, parent, pk, meta, declared=None):
         old = self.version(path, parent) if parent else None
         if rows is None:
             if old is None:
@@ -348,12 +400,16 @@ class VersionStore:
         pk = pk or (old.schema.pk if old else None)
         if not pk:
             raise ValueError(f"dataset {path} needs a primary key")
-        schema = VersionedSchema.infer(rows, pk, salt=path)
+        schema = declared or VersionedSchema.infer(rows, pk, salt=path)
+        if schema.pk != list(pk) or sorted(schema.names) != sorted(rows.columns):
+            raise ValueError(f"{path}: the declared schema has other columns or keys than the rows")
         if old:
             schema = old.schema.align(schema)
         bad = violation_examples(rows, schema).limit(5).collect()
         if bad:
             raise InvalidRows("; ".join(f"{b.column}: {b.value!r} breaks {b.rule}" for b in bad))
+        if declared:
+            rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct()])
         # Replay keeps one row per key, so a key that comes twice or not at all would lose rows.
         counted = rows.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"))
         absent = [F.col(k).isNull() for k in pk]
@@ -523,7 +579,8 @@ class VersionStore:
 
     def _sums(self, v: Version) -> DataFrame:
         """Bucket sums of a version; at most BUCKETS rows."""
-        return self.spark.read.parquet(f"{self.root}/buckets").filter((F.col("slot") == v.slot) & (F.col("seq") == v.seq)).select("bucket", "n", "x1", "x2")
+        held = self.spark.read.schema("bucket int, n bigint, x1 bigint, x2 bigint, slot string, seq bigint").parquet(f"{self.root}/buckets")
+        return held.filter((F.col("slot") == v.slot) & (F.col("seq") == v.seq)).select("bucket", "n", "x1", "x2")
 
     @staticmethod
     def _typed(delta: DataFrame, schema: VersionedSchema) -> DataFrame:
@@ -635,8 +692,7 @@ class VersionStore:
         v = self.version(path, revision)
         if v is None:
             raise KeyError(f"no dataset {path} at {revision}")
-        rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/data/{v.slot}/changes")
-        rows = rows.withColumnRenamed("_op", "op")
+        rows = self._change_log(v).withColumnRenamed("_op", "op")
         ids = [c.id for c in v.schema.columns if c.pk_index is not None]
         typed = history.typed_changes(rows.select("seq", *ids, "op"), self.commits(), ids)
         counts = history.counts_per_commit(typed.withColumn("dataset", F.lit(path))).drop("dataset")
