@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.geometry import let
+
 #: Spherical radius of web mercator, and ellipsoids (fixed values).
 MERCATOR_RADIUS = 6378137.0
 WGS84 = (6378137.0, 1 / 298.257223563)
@@ -107,6 +110,44 @@ def from_lonlat(crs: str, lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.lit(fe) + eta * (k0 * radius), F.lit(fn) + xi * (k0 * radius)
 
 
+def _unprojected(params: tuple, x: Column, y: Column, hold: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """Struct ``x, y`` in degrees of a transverse Mercator point; ``hold(value, body)`` binds what later steps name often."""
+    (a, f), lon0, k0, fe, fn = params
+    n = f / (2 - f)
+    _, beta, factor = _series(n)
+    radius = a * factor
+    e2 = f * (2 - f)
+
+    def conformal(g: Column) -> Column:
+        xi, eta = g["xi"], g["eta"]
+        xi0, eta0 = xi, eta
+        for j, c in enumerate(beta, 1):
+            xi0 = xi0 - F.lit(c) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
+            eta0 = eta0 - F.lit(c) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
+        return hold(F.struct(xi0.alias("xi"), eta0.alias("eta")), angles)
+
+    def angles(g: Column) -> Column:
+        chi = F.asin(F.sin(g["xi"]) / F.cosh(g["eta"]))
+        lam = F.atan2(F.sinh(g["eta"]), F.cos(g["xi"]))
+        return hold(F.struct(chi.alias("chi"), (F.degrees(lam) + lon0).alias("lon")), degrees)
+
+    def degrees(g: Column) -> Column:
+        # Latitude from conformal latitude by its series in the eccentricity.
+        e4, e6, e8 = e2**2, e2**3, e2**4
+        chi, lon = g["chi"], g["lon"]
+        phi = (
+            chi
+            + F.sin(chi * 2) * (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360)
+            + F.sin(chi * 4) * (7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520)
+            + F.sin(chi * 6) * (7 * e6 / 120 + 81 * e8 / 1120)
+            + F.sin(chi * 8) * (4279 * e8 / 161280)
+        )
+        wrapped = F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
+        return F.struct(wrapped.alias("x"), F.degrees(phi).alias("y"))
+
+    return hold(F.struct(((y - fn) / (k0 * radius)).alias("xi"), ((x - fe) / (k0 * radius)).alias("eta")), conformal)
+
+
 def to_lonlat(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
     """Degrees of a projected point; longitudes fall into -180..180 as projections leave them."""
     if crs in GEOGRAPHIC:
@@ -118,31 +159,20 @@ def to_lonlat(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
     params = transverse_parameters(crs)
     if params is None:
         raise ValueError(f"reference system {crs} is not supported")
-    (a, f), lon0, k0, fe, fn = params
-    n = f / (2 - f)
-    _, beta, factor = _series(n)
-    radius = a * factor
-    e2 = f * (2 - f)
-    xi = (y - fn) / (k0 * radius)
-    eta = (x - fe) / (k0 * radius)
-    xi0, eta0 = xi, eta
-    for j, c in enumerate(beta, 1):
-        xi0 = xi0 - F.lit(c) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        eta0 = eta0 - F.lit(c) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    lam = F.atan2(F.sinh(eta0), F.cos(xi0))
-    # Latitude from conformal latitude by its series in the eccentricity.
-    e4, e6, e8 = e2**2, e2**3, e2**4
-    phi = (
-        chi
-        + F.sin(chi * 2) * (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360)
-        + F.sin(chi * 4) * (7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520)
-        + F.sin(chi * 6) * (7 * e6 / 120 + 81 * e8 / 1120)
-        + F.sin(chi * 8) * (4279 * e8 / 161280)
-    )
-    lon = F.degrees(lam) + lon0
-    wrapped = F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
-    return wrapped, F.degrees(phi)
+    place = _unprojected(params, x, y, lambda value, body: body(value))
+    return place["x"], place["y"]
+
+
+def lonlat_point(crs: str, x: Column, y: Column) -> Column:
+    """:func:`to_lonlat` as a struct ``x, y`` that works out each step once.
+
+    For lambdas, where Spark does not share what an expression names twice.
+    """
+    params = transverse_parameters(crs)
+    if params is None:
+        lon, lat = to_lonlat(crs, x, y)
+        return F.struct(lon.alias("x"), lat.alias("y"))
+    return _unprojected(params, x, y, let)
 
 
 def reproject_xy(source: str, target: str, x: Column, y: Column) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from tidemark.operators import history, spatial
 from tidemark.plans import fixtures as fx
 from tidemark.plans.q_scalars import wrap_sql
 from tidemark.plans.registry import query
+from tidemark.session import spread
 
 #: Points, lines, boxes and empty shapes made from customer keys.
 SHAPES = """SELECT fid, x, y, name, CAST(fid % 4 AS INTEGER) AS shape FROM (SELECT c_custkey AS fid, CAST(c_custkey % 360 - 180 AS DOUBLE) AS x, CAST(c_custkey % 170 - 85 AS DOUBLE) AS y, c_name AS name FROM customer) p"""
@@ -209,10 +210,11 @@ def geo13_tm(spark, sf):
     k = F.col("fid")
     x0, y0 = F.lit(1000000.0) + k % 1500 * 1000, F.lit(4800000.0) + k % 1300 * 1000
     x1, y1 = x0 + k % 7 * 60000, y0 + k % 5 * 40000
-    boxes = b.select("fid", envelopes.project_box("EPSG:2193", x0, y0, x1, y1).alias("b"))
-    corners = [crs.to_lonlat("EPSG:2193", x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), ((x0 + x1) / 2, y0), ((x0 + x1) / 2, y1))]
-    east = [F.pmod(lon - F.col("b.w"), F.lit(360.0)) for lon, _ in corners]
-    lats = [lat for _, lat in corners]
+    edges = ((x0, y0), (x1, y0), (x1, y1), (x0, y1), ((x0 + x1) / 2, y0), ((x0 + x1) / 2, y1))
+    places = F.array(*[crs.lonlat_point("EPSG:2193", x, y) for x, y in edges])
+    boxes = spread(b).select("fid", envelopes.project_box("EPSG:2193", x0, y0, x1, y1).alias("b"), places.alias("p"))
+    east = [F.pmod(F.col("p")[i]["x"] - F.col("b.w"), F.lit(360.0)) for i in range(len(edges))]
+    lats = [F.col("p")[i]["y"] for i in range(len(edges))]
     width = F.pmod(F.col("b.e") - F.col("b.w"), F.lit(360.0))
     covers = (F.greatest(*east) <= width + 1e-9) & (F.least(*lats) >= F.col("b.s") - 1e-9) & (F.greatest(*lats) <= F.col("b.n") + 1e-9)
     narrow = (width <= F.greatest(*east) - F.least(*east) + 0.3) & (F.col("b.n") - F.col("b.s") <= F.greatest(*lats) - F.least(*lats) + 0.5)

@@ -59,6 +59,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` dealt evenly to as many tasks as shuffles have.
+
+    For work on single rows that costs far more than their shuffle: a scan has one task per
+    row group, however many rows a small file holds.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, for tables a job writes and reads back."""
     from uuid import uuid4
