@@ -28,6 +28,8 @@ LOOK = 16
 SIEVE_BITS = 1 << 23
 #: Members of a bucket that are held against each other at once; larger buckets go in pairs of such pieces.
 BLOCK = 512
+#: Pairs whose MinHash values are compared at once, so that a full block takes few MB beside its rows.
+PAIRS = 1 << 15
 
 _random = np.random.default_rng(77)
 _MULTIPLY = _random.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -139,6 +141,12 @@ def likely_pairs(sigs: np.ndarray, side: np.ndarray, band: int, least: dict[int,
         a, b = a[new], b[new]
     same = keys[a, band] == keys[b, band]
     a, b = a[same], b[same]
+    left = [likely(sigs, a[at : at + PAIRS], b[at : at + PAIRS], least) for at in range(0, len(a), PAIRS)]
+    return (np.concatenate([x for x, _ in left]), np.concatenate([y for _, y in left])) if left else (a, b)
+
+
+def likely(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs that stay in at every look at the odds."""
     hits = np.zeros(len(a), dtype=np.int64)
     for n in range(LOOK, HASHES + 1, LOOK):
         hits += (sigs[a, n - LOOK : n] == sigs[b, n - LOOK : n]).sum(axis=1)

@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Texts hashed together, by bytes; a longer text is a part of its own.
 PART_BYTES = 4_000_000
+#: The same where shingles are made: hashing takes some 65 bytes per byte of text at once.
+SHINGLE_BYTES = 500_000
 
 _random = np.random.default_rng(20240611)
 _LETTER = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -25,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def parts(texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def parts(texts: pa.StringArray, most: int = PART_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Pieces of the batch: first row, bytes, and where each row's bytes end."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32 if pa.types.is_string(texts.type) else np.int64)
     offsets = offsets[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -33,7 +35,7 @@ def parts(texts: pa.StringArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         end = min(end, len(texts))
         yield at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
@@ -70,7 +72,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, blanks: np.ndarray = _BLAN
 
 def shingles(texts: pa.StringArray, size: int) -> Iterator[np.ndarray]:
     """Per row the hashes of its runs of ``size`` words, repeats included; a shorter text is one run, a blank one none."""
-    for _, data, bounds in parts(texts):
+    for _, data, bounds in parts(texts, SHINGLE_BYTES):
         words, firsts = word_hashes(data, bounds)
         full = len(words) - size + 1
         total = np.zeros(max(full, 0), dtype=np.uint64)
