@@ -88,3 +88,35 @@ def test_folding_keeps_later_types():
     floor, alive = typed.fold(None, False, entries, 25)
     assert (floor, alive, sorted(entries)) == (1, True, [2, 3])  # 3 is old, but 2 before it is not
     assert typed.change_types(alive, entries) == {s: k for s, k in before.items() if s > 1}
+
+
+def test_one_call_takes_the_rows_of_a_group(spark, tmp_path):
+    """More rows than groups: calls of the worker are bounded per batch, and no row's state mixes with another's."""
+    keys = spark.range(3000).selectExpr("id AS key").crossJoin(spark.createDataFrame([(1, "put"), (2, "put"), (3, "del")], "seq bigint, op string"))
+    rows = keys.selectExpr("if(key % 2 = 0, 'a', NULL) AS dataset", "key", "seq", "op", "key * 4 + seq AS edit", "timestamp_seconds(seq * 86400) AS at")
+    rows.write.parquet(str(tmp_path / "in"))
+    out = run(spark, tmp_path)
+    assert out == {(seq, d): tuple(1500 * (seq == k) for k in (1, 2, 3)) + (0,) for seq in (1, 2, 3) for d in ("a", None)}
+    stream = typed.typed_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), "at", "100 days", "edit")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert f"cast({typed.GROUPS} as bigint)" in plan or f", {typed.GROUPS}" in plan
+
+
+def test_keys_of_other_types_come_back_as_they_were(spark, tmp_path):
+    kinds = {"string": "concat('k', id, if(id = 3, ' ', ''))", "timestamp": "timestamp_micros(1700000000000000 + id)", "binary": "unhex(hex(id * 77 + 200))", "double": "if(id = 1, double('NaN'), id / 3)", "date": "date_add(date'2024-01-01', cast(id AS int))"}
+    for kind, made in kinds.items():
+        folder = str(tmp_path / kind)
+        rows = spark.range(5).selectExpr("'a' AS dataset", f"if(id = 4, NULL, {made}) AS key", "id AS seq", "'put' AS op", "id AS edit", "timestamp_seconds(id * 86400) AS at")
+        rows.write.parquet(folder)
+        got = []
+        stream = typed.typed_stream(spark.readStream.schema(rows.schema).parquet(folder), "at", "100 days", "edit")
+        jobs._run(stream, lambda batch, _: got.extend((r.seq, r.key, r.change_type, r.n) for r in batch.collect()), str(tmp_path / f"{kind}-progress"))
+        want = [(r.seq, r.key, "insert", 1) for r in rows.collect()]
+        assert repr(sorted(got)) == repr(sorted(want)), kind
+
+
+def test_known_commits_are_read_once(spark, tmp_path):
+    known = spark.range(5).selectExpr("id AS seq").filter("seq * 2 = 4")
+    rows = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    plan = typed.typed_stream(rows, "at", "100 days", "edit", known)._jdf.queryExecution().analyzed().toString()
+    assert "Range" not in plan

@@ -13,15 +13,25 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.session import cut
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: ``floor`` is the last commit folded away and ``alive`` what the row was then; the arrays are one
-#: entry per later commit, ascending: its seq, its last edit's order, its time in ms, put or delete.
-STATE = "floor bigint, alive boolean, seqs array<bigint>, orders array<bigint>, times array<bigint>, puts array<boolean>"
+#: Groups that rows are dealt to. A call of the worker costs far more than the work on one row, so a
+#: call takes the rows of a group together; a group is touched once per batch, whatever it holds.
+GROUPS = 1 << 14
+
+#: One element per row of the group: its names, ``floors`` is the last commit folded away and ``alive``
+#: what the row was then; the inner arrays have one entry per later commit, ascending: its seq, its
+#: last edit's order, its time in ms, put or delete.
+STATE = (
+    "datasets array<string>, keys array<string>, floors array<bigint>, alive array<boolean>, "
+    "seqs array<array<bigint>>, orders array<array<bigint>>, times array<array<bigint>>, puts array<array<boolean>>"
+)
 
 Entry = tuple[int, int, bool]  # order, time, put
 
@@ -46,30 +56,58 @@ def fold(floor: int | None, alive: bool, entries: dict[int, Entry], watermark: i
     return floor, alive
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    floor, alive, entries = None, False, {}
-    if state.exists:
-        floor, alive, *columns = state.get
-        entries = {int(s): (int(o), int(t), bool(p)) for s, o, t, p in zip(*columns)}
-    before = change_types(alive, entries)
+def _advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    columns = [list(c) for c in state.get] if state.exists else [[] for _ in range(8)]
+    datasets, keys, floors, alives, *held = columns
+    place = {name: i for i, name in enumerate(zip(datasets, keys))}
+    touched: dict[int, dict[int, Entry]] = {}
+    before = {}
     signed = []
     for batch in batches:
-        for seq, order, time, put in zip(batch["seq"], batch["order"], batch["ms"], batch["put"]):
-            if floor is not None and seq <= floor:
-                signed.append((seq, "late", 1))
+        names = [batch[c].astype(object).where(batch[c].notna(), None) for c in ("dataset", "key")]
+        for dataset, key, seq, order, time, put in zip(*names, *(batch[c].tolist() for c in ("seq", "order", "ms", "put"))):
+            i = place.setdefault((dataset, key), len(datasets))
+            if i == len(datasets):
+                for column, value in zip(columns, (dataset, key, None, False, [], [], [], [])):
+                    column.append(value)
+            if i not in touched:
+                touched[i] = {s: (o, t, p) for s, o, t, p in zip(*(column[i] for column in held))}
+                before[i] = change_types(alives[i], touched[i])
+            entries = touched[i]
+            if floors[i] is not None and seq <= floors[i]:
+                signed.append((dataset, key, seq, "late", 1))
             elif seq not in entries or order > entries[seq][0]:
-                entries[int(seq)] = (int(order), int(time), bool(put))
-    after = change_types(alive, entries)
-    for seq in sorted(entries):
-        was, now = before.get(seq), after.get(seq)
-        if was != now:
-            signed += [(seq, kind, n) for kind, n in ((was, -1), (now, 1)) if kind]
-    floor, alive = fold(floor, alive, entries, state.getCurrentWatermarkMs())
-    held = sorted(entries)
-    state.update((floor, alive, held, *([entries[s][i] for s in held] for i in range(3))))
+                entries[seq] = (order, time, put)
+    watermark = state.getCurrentWatermarkMs()
+    for i, entries in touched.items():
+        after = change_types(alives[i], entries)
+        for seq in sorted(entries):
+            was, now = before[i].get(seq), after.get(seq)
+            if was != now:
+                signed += [(datasets[i], keys[i], seq, kind, n) for kind, n in ((was, -1), (now, 1)) if kind]
+        floors[i], alives[i] = fold(floors[i], alives[i], entries, watermark)
+        seqs = sorted(entries)
+        for column, values in zip(held, (seqs, *([entries[s][k] for s in seqs] for k in range(3)))):
+            column[i] = values
+    state.update(tuple(columns))
     if signed:
-        seqs, kinds, counts = zip(*signed)
-        yield pd.DataFrame({"dataset": key[0], "key": key[1], "seq": seqs, "change_type": kinds, "n": counts})
+        yield pd.DataFrame(signed, columns=["dataset", "key", "seq", "change_type", "n"])
+
+
+def _key_text(key: Column, kind: str) -> Column:
+    """A key as text, one text per key, whatever its type."""
+    if kind == "binary":
+        return F.base64(key)
+    if kind == "timestamp":
+        return F.unix_micros(key).cast("string")
+    # Adding zero makes -0.0 and 0.0, which are one key, one text.
+    return (key + F.lit(0).cast(kind) if kind in ("float", "double") else key).cast("string")
+
+
+def _text_key(text: Column, kind: str) -> Column:
+    if kind == "binary":
+        return F.unbase64(text)
+    return F.timestamp_micros(text.cast("bigint")) if kind == "timestamp" else text.cast(kind)
 
 
 def typed_stream(changes: DataFrame, time: str, delay: str, order: str | None = None, known: DataFrame | None = None) -> DataFrame:
@@ -84,19 +122,20 @@ def typed_stream(changes: DataFrame, time: str, delay: str, order: str | None =
     reported as type ``late`` instead of being lost, be it new or a repeat. Changes of ``known`` commits (column ``seq``) enter the state but are not reported.
     Rows without seq, order or time belong to no commit and take no part; a NULL dataset or key is a value.
 
-    A row's state is bounded by its commits within ``delay``. The rows of one key in a batch are read
-    by one task, one Arrow batch after the other.
+    A row's state is bounded by its commits within ``delay``. Rows are dealt to GROUPS groups by the
+    hash of dataset and key, and the state is kept by group. The rows of one key in a batch are read
+    by one task, one Arrow batch after the other. ``known`` is read once, when the stream is made.
     """
+    key_type = changes.schema["key"].dataType.simpleString()
     rows = changes.withColumn("_time", F.col(time).cast("timestamp")).select(
-        "dataset", "key", F.col("seq").cast("bigint").alias("seq"),
+        F.col("dataset").cast("string").alias("dataset"), _key_text(F.col("key"), key_type).alias("key"), F.col("seq").cast("bigint").alias("seq"),
         (F.col(order) if order else F.lit(0)).cast("bigint").alias("order"),
         (~F.coalesce(F.col("op") == "del", F.lit(False))).alias("put"), "_time",
     ).withWatermark("_time", delay).withColumn("ms", F.unix_millis("_time")).dropna(subset=["seq", "order", "ms"])
-    key_type = rows.schema["key"].dataType.simpleString()
     # Without a timeout late rows reach the function, which reports them.
-    out = rows.groupBy("dataset", "key").applyInPandasWithState(
-        _advance, f"dataset string, key {key_type}, seq bigint, change_type string, n int", STATE, "append", GroupStateTimeout.NoTimeout
+    out = rows.withColumn("group", F.pmod(F.xxhash64("dataset", "key"), F.lit(GROUPS)).cast("int")).groupBy("group").applyInPandasWithState(
+        _advance, "dataset string, key string, seq bigint, change_type string, n int", STATE, "append", GroupStateTimeout.NoTimeout
     )
     # A projection, since rows as they come out of Python cannot be shuffled.
-    out = out.withColumn("n", F.col("n").cast("bigint"))
-    return out if known is None else out.join(known.select(F.col("seq").cast("bigint").alias("seq")).distinct(), "seq", "left_anti")
+    out = out.withColumn("key", _text_key(F.col("key"), key_type)).withColumn("n", F.col("n").cast("bigint"))
+    return out if known is None else out.join(cut(known.select(F.col("seq").cast("bigint").alias("seq")).distinct()), "seq", "left_anti")
