@@ -30,3 +30,12 @@ def test_projection_names_each_function_once(spark):
     assert (plan.count("asin("), plan.count("atan2(")) == (2, 2)
     lon, lat = crs.to_lonlat("EPSG:2193", x, y)
     assert frame.filter(~crs.lonlat_point("EPSG:2193", x, y).eqNullSafe(F.struct(lon.alias("x"), lat.alias("y")))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["GEO1", "GEO3", "GEO4"])
+def test_shapes_go_through_python_in_many_tasks(spark, customers, name):
+    out = entry.queries()[name](spark, customers)
+    partitions = out.rdd.getNumPartitions()
+    assert partitions >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    rows = out.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(rows) == 200 and max(rows) <= 100

@@ -19,8 +19,10 @@ BOX_SQL = "CASE WHEN shape < 3 THEN x END AS minx, CASE WHEN shape < 3 THEN y EN
 WITH = fx.ctes(shapes=SHAPES)
 
 
-def shapes(spark, sf):
+def shapes(spark, sf, dealt=False):
+    """Shapes of all kinds; ``dealt`` to all tasks where each goes through Python."""
     s = fx.derive(spark, sf, SHAPES)
+    s = spread(s) if dealt else s
     x, y = F.col("x"), F.col("y")
     line = geometry.build("LINESTRING", F.array(F.array(F.array(F.array(x, y), F.array(x + 1, y), F.array(x + 3, y + 1)))))
     geom = (
@@ -37,7 +39,7 @@ def box_columns(g="g"):
 @query("GEO1", WITH + f"SELECT fid, {KIND_SQL} AS kind, shape = 3 AS empty, CASE WHEN fid % 3 = 1 THEN 4326 ELSE 0 END AS srid, {BOX_SQL} FROM shapes")
 def geo1(spark, sf):
     """WKB, EWKB and GeoPackage bytes decoded."""
-    s = shapes(spark, sf)
+    s = shapes(spark, sf, dealt=True)
     n = F.col("fid") % 3
     tagged = s.withColumn("geom", F.when(n == 1, geometry.with_srid(F.col("geom"), 4326)).otherwise(F.col("geom")))
     data = [
@@ -71,7 +73,7 @@ def geo2(spark, sf):
 @query("GEO3", WITH + "SELECT fid, TRUE AS same_bytes, CASE shape WHEN 0 THEN 29 WHEN 1 THEN 8 + 32 + 9 + 48 WHEN 2 THEN 8 + 32 + 9 + 4 + 80 ELSE 29 END AS n_bytes FROM shapes")
 def geo3(spark, sf):
     """However a geometry was encoded, its stored form has the same bytes."""
-    s = shapes(spark, sf)
+    s = shapes(spark, sf, dealt=True)
     a = wkb.decode(wkb.to_wkb(F.col("geom")))
     b = wkb.decode(wkb.to_ewkb(geometry.with_srid(F.col("geom"), 2193)))
     both = s.select("fid", wkb.to_gpkg(a).alias("a"), wkb.to_gpkg(b).alias("b"))
@@ -89,7 +91,7 @@ def geo3(spark, sf):
  ELSE '{"type":"Point","coordinates":[]}' END AS geojson FROM shapes""",
 )
 def geo4(spark, sf):
-    s = shapes(spark, sf)
+    s = shapes(spark, sf, dealt=True)
     return s.select("fid", F.length(wkb.to_hex_wkb(F.col("geom"))).alias("hex_length"), geometry.to_geojson(F.col("geom")).alias("geojson"))
 
 
@@ -411,6 +413,6 @@ def snk1(spark, sf):
     from tidemark.sinks.export import export
 
     path = scratch_path(spark, "export")
-    export(shapes(spark, sf).select("fid", "name", "geom"), path, "parquet", geom="geom", pk="fid", source_crs="EPSG:4326", target_crs="EPSG:3857", drop_empty=True)
+    export(shapes(spark, sf, dealt=True).select("fid", "name", "geom"), path, "parquet", geom="geom", pk="fid", source_crs="EPSG:4326", target_crs="EPSG:3857", drop_empty=True)
     out = spark.read.parquet(path)
     return out.select("fid", "name", wkb.decode(F.col("geom")).alias("g")).select("fid", "name", rounded(F.col("g.minx")).alias("minx"))
