@@ -9,7 +9,7 @@ import pyarrow as pa
 
 #: Texts hashed together, by bytes; a longer text is a part of its own.
 PART_BYTES = 4_000_000
-#: The same where shingles are made: hashing takes some 65 bytes per byte of text at once.
+#: The same where shingles are made: hashing takes some 40 bytes per byte of text at once.
 SHINGLE_BYTES = 500_000
 
 _random = np.random.default_rng(20240611)
