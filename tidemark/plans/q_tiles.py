@@ -8,7 +8,8 @@ from tidemark.operators import aggregates, tiles
 from tidemark.plans import fixtures as fx
 from tidemark.plans.q_history import graph, graph_sql, seqs_of
 from tidemark.plans.registry import query
-from tidemark.plans.tilebytes import tile_content
+from tidemark.plans.tilebytes import tile_files
+from tidemark.session import spread
 from tidemark.sources import tilefiles
 
 PLACED = "SELECT p_partkey AS k, CAST(p_partkey % 300 - 150 AS DOUBLE) AS x, CAST(p_partkey % 140 - 70 AS DOUBLE) AS y FROM part"
@@ -18,8 +19,7 @@ def binary_files(spark, sf):
     """Rows as Spark's binaryFile source gives them."""
     p = fx.derive(spark, sf, PLACED)
     name = F.concat(F.lit("s3://bucket/tiles/t"), F.col("k").cast("string"), F.when(F.col("k") % 5 == 4, ".tif").otherwise(".laz"))
-    content = tile_content(F.col("k"), F.col("x"), F.col("y"))
-    return p.select("k", name.alias("path"), content.alias("content"))
+    return tile_files(spread(p).withColumn("path", name))
 
 
 FORMAT = """CASE WHEN k % 5 = 4 THEN CASE WHEN k % 10 = 4 THEN 'geotiff/cog' ELSE 'geotiff' END ELSE CASE WHEN k % 2 = 1 THEN 'laz' ELSE 'las' END || '-1.' || CASE WHEN k % 3 = 0 THEN '2' ELSE '4' END

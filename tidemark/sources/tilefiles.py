@@ -1,13 +1,15 @@
 """Tile files: headers of LAS point clouds and GeoTIFF rasters, read once per file.
 
 Files come as Spark's ``binaryFile`` rows (``path, length, content``). Ids and sizes are
-plain expressions; only the header needs Python, and it is asked for in Arrow batches.
+plain expressions; only the header needs Python, and it is asked for in Arrow batches of
+the few bytes that are read of each file, so that a batch has no more of large files than of small ones.
 """
 
 from __future__ import annotations
 
 import struct
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,12 +22,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HEADER = (
     "struct<kind:string,version:string,compressed:boolean,copc:boolean,pdrf:int,record_length:int,points:bigint,"
-    "native_extent:string,width:int,height:int,cog:boolean,order:string,scale_at:bigint,tie_at:bigint>"
+    "native_extent:string,width:int,height:int,cog:boolean>"
 )
 _FIELDS = [
     ("kind", pa.string()), ("version", pa.string()), ("compressed", pa.bool_()), ("copc", pa.bool_()), ("pdrf", pa.int32()),
     ("record_length", pa.int32()), ("points", pa.int64()), ("native_extent", pa.string()), ("width", pa.int32()),
-    ("height", pa.int32()), ("cog", pa.bool_()), ("order", pa.string()), ("scale_at", pa.int64()), ("tie_at", pa.int64()),
+    ("height", pa.int32()), ("cog", pa.bool_()),
 ]
 
 
@@ -49,12 +51,12 @@ def las_header(data: bytes) -> dict | None:
 
 
 class _Tiff:
-    """Number forms of a TIFF: byte order and, for the large form, wider counts and offsets."""
+    """Number forms of a TIFF: byte order and, for the large form, wider counts."""
 
     def __init__(self, head: bytes) -> None:
         self.order = {b"II": "<", b"MM": ">"}[head[:2]]
         self.big = struct.unpack_from(self.order + "H", head, 2)[0] == 43
-        self.entry, self.wide, self.first = ("HHQ", "Q", 12) if self.big else ("HHI", "I", 8)
+        self.entry, self.first = ("HHQ", 12) if self.big else ("HHI", 8)
 
     def tags(self, directory: bytes) -> dict[int, tuple[int, int, bytes]]:
         """Type, count and value field of each tag of a directory."""
@@ -71,25 +73,21 @@ class _Tiff:
         form = {3: "H", 4: "I", 16: "Q"}[value[0]]
         return struct.unpack_from(self.order + form, value[2], 0)[0]
 
-    def offset(self, value: tuple[int, int, bytes]) -> int:
-        return struct.unpack_from(self.order + self.wide, value[2], 0)[0]
 
-
-def tiff_layout(head: bytes, directory: bytes | None) -> dict | None:
-    """Size and tiling of the first image of a TIFF, and where its placement is written.
+def tiff_layout(head: bytes, directory: bytes | None, marked: bool | None, scale: bytes | None, tie: bytes | None) -> dict | None:
+    """Size, tiling and placement of the first image of a TIFF.
 
     ``cog`` is told by the layout mark that writers of cloud-optimised files put behind the
-    header, on a tiled image.
+    header, on a tiled image. ``scale`` and ``tie`` are the values the directory points to; an
+    image whose directory has both is only read if they are there.
     """
     if head[:4] not in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+") or not directory:
         return None
     form = _Tiff(head)
     tags = form.tags(directory)
-    mark = head[16 if form.big else 8 :]
-    cog = 322 in tags and b"LAYOUT=IFDS_BEFORE_DATA" in mark and b"KNOWN_INCOMPATIBLE_EDITION=YES" not in mark
-    out = {"kind": "geotiff", "width": form.number(tags[256]), "height": form.number(tags[257]), "cog": cog, "order": form.order}
-    if 33550 in tags and 33922 in tags:
-        out |= {"scale_at": form.offset(tags[33550]), "tie_at": form.offset(tags[33922])}
+    out = {"kind": "geotiff", "width": form.number(tags[256]), "height": form.number(tags[257]), "cog": 322 in tags and bool(marked)}
+    if SCALE in tags and TIE in tags:
+        out["native_extent"] = tiff_extent(form.order, out["width"], out["height"], scale or b"", tie or b"")
     return out
 
 
@@ -102,22 +100,19 @@ def tiff_extent(order: str, width: int, height: int, scale: bytes, tie: bytes) -
     return f"POLYGON(({x0!r} {y1!r},{x0!r} {y0!r},{x1!r} {y0!r},{x1!r} {y1!r},{x0!r} {y1!r}))"
 
 
-def _headers(heads: pa.Array, directories: pa.Array) -> pa.Array:
-    rows = []
-    for head, directory in zip(heads.to_pylist(), directories.to_pylist()):
-        row = None
-        if head is not None:
-            try:
-                row = las_header(head) or tiff_layout(head, directory)
-            except (struct.error, KeyError, IndexError):
-                row = None
-        rows.append(row)
-    return pa.array(rows, pa.struct(_FIELDS))
-
-
-def _extents(order: pa.Array, width: pa.Array, height: pa.Array, scale: pa.Array, tie: pa.Array) -> pa.Array:
-    rows = zip(*(c.to_pylist() for c in (order, width, height, scale, tie)))
-    return pa.array([None if None in r else tiff_extent(*r) for r in rows], pa.string())
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for head, *pieces in zip(*(batch.column(c).to_pylist() for c in ("head", "directory", "marked", "scale", "tie"))):
+            row = None
+            if head is not None:
+                try:
+                    row = las_header(head) or tiff_layout(head, *pieces)
+                except (struct.error, KeyError, IndexError):
+                    row = None
+            rows.append(row)
+        kept = [batch.column(c) for c in ("path", "oid", "size")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.struct(_FIELDS))], ["path", "oid", "size", "h"])
 
 
 def _unsigned(content: Column, at: Column | int, size: int, little: Column) -> Column:
@@ -144,29 +139,65 @@ def tiff_directory(content: Column) -> Column:
     return F.when(tiff & (magic == 42), cut_out(_unsigned(content, 4, 4, little), 2, 12)).when(tiff & (magic == 43), cut_out(_unsigned(content, 8, 8, little), 8, 20))
 
 
-#: A LAS header and the record behind it end here at the latest: its size is a 16-bit number.
+def _placed_at(directory: Column, little: Column, big: Column, tag: int) -> Column:
+    """Where a directory says that the value of a tag is, by the tag's last entry; NULL without one."""
+    first, step = F.when(big, 8).otherwise(2), F.when(big, 20).otherwise(12)
+    entries = F.floor((F.octet_length(directory) - first) / step).cast("int")
+    name = F.when(little, F.lit(tag.to_bytes(2, "little"))).otherwise(F.lit(tag.to_bytes(2, "big")))
+    having = F.filter(F.when(entries > 0, F.sequence(F.lit(0), entries - 1)), lambda i: F.substring(directory, first + i * step + 1, F.lit(2)) == name)
+    at = first + F.array_max(having) * step
+    return F.when(big, _unsigned(directory, at + 12, 8, little)).otherwise(_unsigned(directory, at + 8, 4, little))
+
+
+#: Tags of the pixel scale and the tie point of an image.
+SCALE, TIE = 33550, 33922
+#: The layout mark of cloud-optimised files, and what takes it back, are looked for up to here.
 HEAD_BYTES = (1 << 16) + 64
+LAYOUT, BROKEN_LAYOUT = b"LAYOUT=IFDS_BEFORE_DATA", b"KNOWN_INCOMPATIBLE_EDITION=YES"
+
+
+def pieces(files: DataFrame) -> DataFrame:
+    """Path, id and size of every file and the bytes that header readers need, cut out at their own places.
+
+    Of a LAS file these are the header and the name of the record behind it; of a TIFF the
+    header, whether the layout mark follows, the directory, and pixel scale and tie point,
+    wherever they are. Contents go no further than this.
+    """
+    content = F.col("content")
+    little = F.substring(content, 1, 2) == F.lit(b"II")
+    rows = files.select("path", "content", little.alias("little"), (_unsigned(content, 2, 2, little) == 43).alias("big"), tiff_directory(content).alias("directory"))
+    places = [_placed_at(F.col("directory"), F.col("little"), F.col("big"), tag).alias(name) for name, tag in (("scale_at", SCALE), ("tie_at", TIE))]
+    rows = rows.select("*", *places)
+    las = F.substring(content, 1, 4) == F.lit(b"LASF")
+    head = F.when(las, F.substring(content, F.lit(1), F.greatest(F.lit(255), _unsigned(content, 94, 2, F.lit(True)).cast("int") + 18))).otherwise(F.substring(content, 1, 16))
+    mark = F.when(F.col("big"), F.substring(content, 17, HEAD_BYTES - 16)).otherwise(F.substring(content, 9, HEAD_BYTES - 8))
+    marked = F.contains(mark, F.lit(LAYOUT)) & ~F.contains(mark, F.lit(BROKEN_LAYOUT))
+    values = [
+        F.when(F.col(at) < F.octet_length(content), F.substring(content, (F.col(at) + 1).cast("int"), F.lit(n))).alias(name)
+        for name, at, n in (("scale", "scale_at", 16), ("tie", "tie_at", 40))
+    ]
+    return rows.select(
+        "path",
+        F.concat(F.lit("sha256:"), F.sha2(content, 256)).alias("oid"),
+        F.octet_length(content).cast("bigint").alias("size"),
+        head.alias("head"),
+        "directory",
+        F.when(F.col("directory").isNotNull(), marked).alias("marked"),
+        *values,
+    )
 
 
 def catalogue(files: DataFrame, crs: str = "EPSG:4326", url: bool = False) -> DataFrame:
     """One summary row per tile file. With ``url`` the path is kept and the file stays where it is.
 
-    The id is taken from the whole content. The header readers are given the header, the
-    directory and the values they need, cut out at their own places in the file, so that
-    whole tiles never travel to Python. A file that is no tile fails the job by name.
+    The id is taken from the whole content. The header readers are given the pieces of a file
+    that they need, once, so that whole tiles neither travel to Python nor wait for it. A file
+    that is no tile fails the job by name.
     """
-    content = F.col("content")
-    head = F.arrow_udf(_headers, HEADER)(F.substring("content", 1, HEAD_BYTES), tiff_directory(content))
     error = F.raise_error(F.concat(F.lit("not a readable tile file: "), F.col("path")))
-    read_rows = files.withColumn("h", head).withColumn("_error", F.when(F.col("h").isNull(), error).cast("string")).filter(F.col("_error").isNull())
-    values = [F.substring(content, (F.col(f"h.{at}") + 1).cast("int"), F.lit(n)) for at, n in (("scale_at", 16), ("tie_at", 40))]
-    placed = F.arrow_udf(_extents, "string")(F.col("h.order"), F.col("h.width"), F.col("h.height"), *values)
-    rows = read_rows.withColumn("_extent", placed).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("oid"),
-        F.octet_length("content").cast("bigint").alias("size"),
-        F.struct("h.*", F.coalesce("h.native_extent", "_extent").alias("extent")).alias("h"),
-        *([F.col("path").alias("url")] if url else []),
+    read_rows = pieces(files).mapInArrow(_headers, f"path string, oid string, size bigint, h {HEADER}")
+    rows = read_rows.withColumn("_error", F.when(F.col("h").isNull(), error).cast("string")).filter(F.col("_error").isNull()).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "oid", "size", "h", *([F.col("path").alias("url")] if url else [])
     )
     las = F.col("h.kind") == "las"
     fmt = F.when(
@@ -175,13 +206,13 @@ def catalogue(files: DataFrame, crs: str = "EPSG:4326", url: bool = False) -> Da
             F.when(F.col("h.compressed"), "laz").otherwise("las"), F.col("h.version"), F.when(F.col("h.copc"), F.lit("copc")), F.lit("1.0")
         ),
     ).when(F.col("h.kind") == "geotiff", raster_format(F.coalesce("h.cog", F.lit(False))))
-    box = native_box(F.col("h.extent"))
+    box = native_box(F.col("h.native_extent"))
     return rows.select(
         "name",
         fmt.alias("format"),
-        F.when(F.col("h.extent").isNotNull(), corner_ring(box, crs)).alias("crs84_extent"),
+        F.when(F.col("h.native_extent").isNotNull(), corner_ring(box, crs)).alias("crs84_extent"),
         F.when(F.col("h.width").isNotNull(), F.concat_ws("x", "h.width", "h.height")).alias("dimensions"),
-        F.col("h.extent").alias("native_extent"),
+        F.col("h.native_extent").alias("native_extent"),
         F.col("h.points").alias("point_count"),
         F.col("h.pdrf").alias("pdrf"),
         F.col("h.record_length").alias("record_length"),
